@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
 QUERIES = {
+    "op9_packing": packing.op9_packing,
     "op8_simhash": simhash.op8_simhash,
 }
 
