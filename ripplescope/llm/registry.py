@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, simhash, substring
 
 QUERIES = {
     "op9_packing": packing.op9_packing,
+    "op7_substring": substring.op7_substring,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_substring": substring.ORACLE}
