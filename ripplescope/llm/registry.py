@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substring
+from . import packing, secrets, simhash, substring
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
     "op9_packing": packing.op9_packing,
     "op7_substring": substring.op7_substring,
     "op8_simhash": simhash.op8_simhash,
