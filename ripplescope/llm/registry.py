@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, secrets, simhash, substring
+from . import neighbours, packing, secrets, simhash, substring, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op9_packing": packing.op9_packing,
+    "op3_urls": urls.op3_urls,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op7_substring": substring.op7_substring,
     "op8_simhash": simhash.op8_simhash,
 }
