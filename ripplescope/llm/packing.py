@@ -29,56 +29,92 @@ _ROUND = 8192
 _FLUSH_BYTES = 4 << 20
 
 
+class _Recent:
+    """A map that keeps the entries used of late: two generations of at most `cap` each."""
+
+    def __init__(self, cap: int) -> None:
+        self.cap, self.new, self.old = cap, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Keys without an entry; entries of the others are kept on."""
+        if len(self.new) + len(keys) > self.cap:
+            self.new, self.old = {}, self.new
+        absent, old = keys.difference(self.new), self.old
+        fresh = absent.difference(old)
+        for key in absent.difference(fresh) if len(fresh) < len(absent) else ():
+            self.new[key] = old[key]
+        return fresh
+
+
+#: Letters of one part that certainly belong together; other scripts' words are encoded whole.
+_HEAD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
 class Encoder:
     """Token ids by a tokenizers file, as little-endian unsigned 32-bit bytes.
 
-    A space before a non-space always starts a new piece of the byte-level pattern, so a text is cut before each such space
-    and each part is encoded once: new parts in runs of text, whose ids are dealt to them by their lengths in bytes.
+    The byte-level pattern starts a new piece at a space that a non-space follows and where letters end, so a text is cut
+    there, and each different part is encoded once: a word's letters in runs of many words, whose ids are dealt to them by
+    their lengths in bytes, and what follows the letters by itself.
     """
 
-    def __init__(self, path: str, cache: int = 600_000) -> None:
+    def __init__(self, path: str, cache: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        #: Parts after a space, without it, and parts at a text's start.
-        self.spaced: dict[str, bytes] = {}
-        self.leading: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parts, self.heads, self.others = _Recent(cache), _Recent(cache), _Recent(cache // 4)
         special = {i: x.content for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = re.compile("|".join(map(re.escape, special.values())) or "(?!)")
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # in a byte-level vocabulary each character of an entry stands for one byte; added tokens stand for themselves
         self.bytes_of = np.array([len(special[i].encode()) if i in special else len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
 
-    def _learn(self, parts: list[str]) -> None:
-        groups = [parts[i : i + 200] for i in range(0, len(parts), 200)]
+    def _learn_heads(self, heads: list[str]) -> None:
+        groups = [heads[i : i + 200] for i in range(0, len(heads), 200)]
         runs = self.tokenizer.encode_batch_fast(["".join([" " + x for x in group]) for group in groups], add_special_tokens=False)
         for group, run in zip(groups, runs):
             ids = np.array(run.ids, "<u4")
             ends = np.cumsum(self.bytes_of[ids])
             at = np.searchsorted(ends, np.cumsum([len(x.encode()) + 1 for x in group])) + 1
             raw, last = ids.tobytes(), 0
-            for part, end in zip(group, (4 * at).tolist()):
-                self.spaced[part] = raw[last:end]
+            for head, end in zip(group, (4 * at).tolist()):
+                self.heads.new[head] = raw[last:end]
                 last = end
 
+    def _learn_others(self, others: list[str]) -> None:
+        for x, run in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.others.new[x] = np.array(run.ids, "<u4").tobytes()
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        cut, heads, others = [], set(), set()
+        for part in parts:
+            found = _HEAD.match(part)
+            head = found[0] if found else ""
+            rest = part[len(head) :]
+            if head and (not rest or not rest[0].isalpha()) and not self.added.search(part):
+                heads.add(head)
+            else:
+                head, rest = "", " " + part
+            if rest:
+                others.add(rest)
+            cut.append((part, head, rest))
+        self._learn_heads(list(self.heads.missing(heads)))
+        self._learn_others(list(self.others.missing(others)))
+        for part, head, rest in cut:
+            self.parts.new[part] = (self.heads.new[head] if head else b"") + (self.others.new[rest] if rest else b"")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [re.split(r" (?=\S)", x) if re.search(r" \s", x) else x.split(" ") for x in texts]
-        if len(self.spaced) > self.cache:
-            self.spaced, self.leading = {}, {}
-        fresh: set[str] = set()
+        used: set[str] = set()
         for parts in cut:
-            fresh.update(parts[1:])
-        self_contained = [x for x in fresh - self.spaced.keys() if x and not x[-1].isspace()]
-        if self_contained:
-            self._learn(self_contained)
-        for x in fresh - self.spaced.keys():  # a part that ends in white space joins the next one's
-            self.spaced[x] = np.array(self.tokenizer.encode(" " + x, add_special_tokens=False).ids, "<u4").tobytes()
-        spaced, out = self.spaced, []
-        for parts in cut:
-            if (first := self.leading.get(parts[0])) is None:
-                first = self.leading[parts[0]] = np.array(self.tokenizer.encode(parts[0], add_special_tokens=False).ids, "<u4").tobytes()
-            out.append(first + b"".join([spaced[x] for x in parts[1:]]))
-        return out
+            used.update(parts[1:])
+        if absent := self.parts.missing(used):
+            self._learn_parts(absent)
+        first = {parts[0] for parts in cut}
+        self._learn_others(list(self.others.missing(first)))
+        known, leading = self.parts.new, self.others.new
+        return [leading[parts[0]] + b"".join([known[x] for x in parts[1:]]) for parts in cut]
 
 
 class HarmonicPacker:
