@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neighbours, packing, secrets, simhash, substring, toxicity, urls
+from . import decontaminate, neighbours, packing, secrets, simhash, substring, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_urls": urls.op3_urls,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_neighbours": neighbours.op5_neighbours,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_substring": substring.op7_substring,
     "op8_simhash": simhash.op8_simhash,
 }
