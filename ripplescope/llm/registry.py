@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neighbours, packing, pii, secrets, simhash, substring, toxicity, urls
+from . import decontaminate, maxent, neighbours, packing, pii, secrets, simhash, substring, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op10_pii": pii.op10_pii,
     "op9_packing": packing.op9_packing,
+    "op2_maxent": maxent.op2_maxent,
     "op3_urls": urls.op3_urls,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_neighbours": neighbours.op5_neighbours,
