@@ -222,13 +222,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """docs, all columns, without the documents that hold a benchmark item."""
-    for templates in blocks(benchmark, window, share, run):
 
+    def clean(templates: Templates):
         @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, templates=templates) -> pd.Series:
+        def judge(texts: pd.Series) -> pd.Series:
             return pd.Series([not templates.search((t or "").encode()) for t in texts], dtype=bool)
 
-        docs = docs.where(clean(F.col("text").cast("string")))
+        return judge
+
+    for templates in blocks(benchmark, window, share, run):
+        docs = docs.where(clean(templates)(F.col("text").cast("string")))
     return docs
 
 

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -246,9 +247,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
     model = train(feature_rows(docs.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")), labels, most)
 
     @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
-
+    def clean(texts: pd.Series) -> pd.Series:
         x = np.stack([features((t or "").encode()) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)), np.float32)
         return pd.Series(model.score(x) < threshold)
 
