@@ -101,7 +101,7 @@ def permuted_digits(digits: Column, key: Column) -> Column:
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
     power = lambda k: F.rpad(F.lit("1"), k + 1, F.lit("0")).cast("long")
-    moved = _permuted(F.coalesce(digits.substr(F.lit(1), half).cast("long"), F.lit(0)), digits.substr(half + 1, n - half), power(half), power(n - half), F.concat(key, n.cast("string")))
+    moved = _permuted(F.coalesce(digits.substr(F.lit(1), half).try_cast("long"), F.lit(0)), digits.substr(half + 1, n - half), power(half), power(n - half), F.concat(key, n.cast("string")))
     join = lambda s: F.concat(F.when(half > 0, F.lpad(s["left"].cast("string"), half, F.lit("0"))).otherwise(""), F.lpad(s["right"].cast("string"), n - half, F.lit("0")))
     return _let(moved, join)
 

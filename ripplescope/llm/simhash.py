@@ -169,7 +169,7 @@ def near_links(marks: DataFrame, radius: int = 2, shard_cap: int = SHARD_CAP) ->
     reach = (radius + 1) // 2
     flips = [_signed(sum(1 << b for b in bits)) for k in range(reach + 1) for bits in itertools.combinations(range(64), k)]
     hot = dealt.join(large, "shard", "left_semi").select("fp").distinct()
-    balls = hot.select("fp", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip")).select(F.xxhash64(F.lit(-1), F.col("fp").bitwiseXOR("flip")).alias("shard"), "fp")
+    balls = hot.select("fp", F.explode(F.array(*[F.lit(x) for x in flips])).alias("flip")).select(F.xxhash64(F.lit(-1), F.col("fp").bitwiseXOR(F.col("flip"))).alias("shard"), "fp")
     return _search_shards(dealt.join(large, "shard", "left_anti"), radius).unionByName(_search_shards(balls, radius))
 
 
