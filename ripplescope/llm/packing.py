@@ -86,35 +86,43 @@ class Encoder:
         for x, run in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             self.others.new[x] = np.array(run.ids, "<u4").tobytes()
 
-    def _learn_parts(self, parts: set[str]) -> None:
-        cut, heads, others = [], set(), set()
-        for part in parts:
+    def _learn_parts(self, parts: set[str], special: bool) -> dict[str, bytes]:
+        fresh = self.parts.missing(parts)
+        letters = {x for x in fresh if x.isalpha()}  # one piece in any script
+        cut, heads, others = [], set(letters), set()
+        for part in fresh - letters:
             found = _HEAD.match(part)
             head = found[0] if found else ""
             rest = part[len(head) :]
-            if head and (not rest or not rest[0].isalpha()) and not self.added.search(part):
-                heads.add(head)
-            else:
+            if not head or rest[:1].isalpha() or special and self.added.search(part):
                 head, rest = "", " " + part
-            if rest:
-                others.add(rest)
+            else:
+                heads.add(head)
+            others.add(rest)
             cut.append((part, head, rest))
         self._learn_heads(list(self.heads.missing(heads)))
         self._learn_others(list(self.others.missing(others)))
+        known, head_ids, other_ids = self.parts.new, self.heads.new, self.others.new
+        for x in letters:
+            known[x] = head_ids[x]
         for part, head, rest in cut:
-            self.parts.new[part] = (self.heads.new[head] if head else b"") + (self.others.new[rest] if rest else b"")
+            known[part] = head_ids[head] + other_ids[rest] if head else other_ids[rest]
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [re.split(r" (?=\S)", x) if re.search(r" \s", x) else x.split(" ") for x in texts]
-        used: set[str] = set()
-        for parts in cut:
-            used.update(parts[1:])
-        if absent := self.parts.missing(used):
-            self._learn_parts(absent)
-        first = {parts[0] for parts in cut}
-        self._learn_others(list(self.others.missing(first)))
-        known, leading = self.parts.new, self.others.new
-        return [leading[parts[0]] + b"".join([known[x] for x in parts[1:]]) for parts in cut]
+        first = [parts.pop(0) for parts in cut]
+        get = self.parts.new.get
+        found = [list(map(get, parts)) for parts in cut]
+        gaps = [i for i, ids in enumerate(found) if not all(ids)]
+        if gaps:
+            absent = {x for i in gaps for x, ids in zip(cut[i], found[i]) if ids is None}
+            known = self._learn_parts(absent, any(self.added.search(x) for x in texts))
+            for i in gaps:
+                found[i] = [known[x] if ids is None else ids for x, ids in zip(cut[i], found[i])]
+        self._learn_others(list(self.others.missing(set(first))))
+        leading = self.others.new
+        return [leading[x] + b"".join(ids) for x, ids in zip(first, found)]
 
 
 class HarmonicPacker:
