@@ -29,7 +29,7 @@ def _statements(files: DataFrame, pattern: str, groups: int) -> DataFrame:
 
 
 def _names(text):
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"[{}]", ""), ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"[{}]", ""), ","), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def imports(files: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def read_tree(spark: SparkSession, root: str, tree: str, config: Config = Config
     marker = root.rstrip("/") + "/"
     named = raw.select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"), "content").select(F.split_part("path", F.lit(marker), F.lit(2)).alias("file"), "content")
     kept = kept_files(named, config)
-    return kept.select(F.lit(tree).alias("tree"), "file", F.col("file").rlike(r"\.(js|jsx|mjs|cjs)$").alias("is_js"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return kept.select(F.lit(tree).alias("tree"), "file", F.col("file").rlike(r"\.(js|jsx|mjs|cjs)$").alias("is_js"), F.decode("content", "UTF-8").alias("text"))
 
 
 def workspace_packages(manifests: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
@@ -48,7 +48,8 @@ def change_set(lines: DataFrame) -> DataFrame:
     """lines(value), 'status<TAB>path[<TAB>new path]' each, to (path, status, renamed_from)."""
     v = F.split("value", "\t")
     renamed = v[0].startswith("R")
-    return lines.where(F.size(v) >= 2).select(F.when(renamed, F.get(v, F.lit(2))).otherwise(v[1]).alias("path"), F.substring(v[0], 1, 1).alias("status"), F.when(renamed, v[1]).alias("renamed_from"))
+    second = F.get(v, F.lit(1))
+    return lines.where(F.size(v) >= 2).select(F.when(renamed, F.get(v, F.lit(2))).otherwise(second).alias("path"), F.substring(v[0], 1, 1).alias("status"), F.when(renamed, second).alias("renamed_from"))
 
 
 def source_lines(files: DataFrame) -> DataFrame:
