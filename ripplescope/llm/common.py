@@ -2,54 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_roots: dict[str, str] = {}
-_cleaned: set[str] = set()
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one in local mode only."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
-        _own_roots[app] = tempfile.mkdtemp(prefix="ripplescope-")
-    return _own_roots[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session has ended; the folder goes with the cluster's own clean-up
-        pass
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet into the shared folder and read it again: lineage is cut, and lost executors lose nothing."""
-    spark = df.sparkSession
-    base = f"{checkpoint_root(spark)}/ripplescope-{spark.sparkContext.applicationId}"
-    if base not in _cleaned:
-        _cleaned.add(base)
-        atexit.register(_remove, spark, base)
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..storage import materialize
 
 #: Plans of these nodes only give the same rows in the same partitions each time they run.
 _STABLE = {"Relation", "LocalRelation", "Project", "SubqueryAlias", "View", "LogicalRDD"}
@@ -69,18 +27,6 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary").alias("text")
 
 
-def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most size rows from an iterable of tuples."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
 def crc32_remainder(column: str, modulus: int):
     """crc32 of a column's text, modulo; a null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
@@ -88,3 +34,6 @@ def crc32_remainder(column: str, modulus: int):
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+__all__ = ["crc32_remainder", "documents", "materialize", "row_keyed", "text_bytes"]
