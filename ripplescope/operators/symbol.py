@@ -69,15 +69,18 @@ def walk(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: D
         zoned = homes.select("symbol", zone("home").alias("zone"))
     start = seeds.join(zoned, "symbol").select("zone", F.col("symbol").alias("seed"), F.col("fn_id").alias("node"))
     found = bfs(edges, start, max_depth, ["zone"]).select("zone", F.col("seed").alias("symbol"), F.col("node").alias("fn_id"), F.col("hops").alias("depth"))
-    return _cut(found, functions, calls, call_stops, max_nodes, max_depth, edges)
+    return _cut(found, functions, calls, call_stops, max_nodes, max_depth, edges if column else None)
 
 
-def _cut(found: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_nodes: int, max_depth: int, edges: DataFrame) -> Walk:
+def _cut(found: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_nodes: int, max_depth: int, edges: DataFrame | None) -> Walk:
     ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("depth", "fn_id")))
     nodes = materialize(ranked.where(F.col("n") <= max_nodes).drop("n").join(functions, "fn_id"), "walk")
     out = nodes.select("zone", "symbol", F.col("fn_id").alias("from_fn")).join(calls, "from_fn")
-    inside = edges.select("zone", F.col("src").alias("from_fn"), F.col("dst").alias("to_fn")).distinct()
-    crossed = out.join(inside, ["zone", "from_fn", "to_fn"], "left_anti")
+    if edges is None:  # nothing lies outside the repository
+        crossed = out.where(F.lit(False))
+    else:
+        inside = edges.select("zone", F.col("src").alias("from_fn"), F.col("dst").alias("to_fn")).distinct()
+        crossed = out.join(inside, ["zone", "from_fn", "to_fn"], "left_anti")
     target = functions.select(F.col("fn_id").alias("to_fn"), "name", "file", "module", "package")
     crossings = crossed.join(target, "to_fn").groupBy("symbol", F.lit("call").alias("kind"), "name", "file", "module", "package").agg(F.count("*").alias("count"))
     crossings = crossings.withColumn("type_only", F.lit(False))
