@@ -32,7 +32,7 @@ RUN = 13
 #: A window of the benchmark takes part if so many of its words are no placeholders.
 LITERALS = 4
 BLOCK_WORDS = 2_000_000
-_VOCABULARY = 400_000
+_VOCABULARY = 150_000
 
 UNITS = frozenset(
     """mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ml l liter liters litre
@@ -209,6 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
                 found = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for x in templates.search(t.as_py())]
                 columns = zip(*found) if found else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            _codes.clear()  # a worker serves other operators too
 
         return run_
 
@@ -225,8 +226,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
     def clean(templates: Templates):
         @F.pandas_udf("boolean")
-        def judge(texts: pd.Series) -> pd.Series:
-            return pd.Series([not templates.search((t or "").encode()) for t in texts], dtype=bool)
+        def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series([not templates.search((t or "").encode()) for t in texts], dtype=bool)
+            _codes.clear()
 
         return judge
 

@@ -25,6 +25,7 @@ from .common import documents
 CAPACITY = 2048
 CLASSES = 16
 END_ID = 1
+CACHE = 400_000
 _ROUND = 8192
 _FLUSH_BYTES = 4 << 20
 
@@ -58,7 +59,7 @@ class Encoder:
     their lengths in bytes, and what follows the letters by itself.
     """
 
-    def __init__(self, path: str, cache: int = 400_000) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -216,9 +217,11 @@ class HarmonicPacker:
         return self._drain()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, classes: int = CLASSES, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, classes: int = CLASSES, end_id: int = END_ID, cache: int = CACHE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
+    cache: parts of texts whose ids a worker keeps, about 200 bytes each in four generations; it changes speed and memory only.
+
     Each document's ids are its text's, then end_id; null and empty texts give end_id alone. A null doc_id stays null and
     repeated rows are packed each by itself; extra columns are not read; an empty table gives no rows. sequence_id is unique over
     partitions: the partition in the high bits. Nothing is shuffled.
@@ -231,7 +234,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path, cache)
         packer = HarmonicPacker(capacity, classes, TaskContext.get().partitionId() << 36)
         rows: list[tuple] = []
         held = 0
@@ -253,14 +256,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, cache: int) -> Encoder:
     """One per worker process: its cache serves the tasks that follow."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, cache) not in _encoders:
+        _encoders.clear()
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import arrow_batches
 from .common import crc32_remainder, documents, materialize, text_bytes
 
 THRESHOLD = 0.7
 #: Labelled rows used for training, those with the smallest hashes of doc_id.
 TRAINING_ROWS = 60_000
+BATCH_ROWS = 1_024
 
 #: Insults of four languages, in their base spelling.
 LEXICON = frozenset(
@@ -37,7 +39,7 @@ SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein d
 NEAR = 5
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"})
 _PLAIN, _DISGUISED, _PERSON, _CAPS, _MIXED, _SINGLE = 1, 2, 4, 8, 16, 32
-_VOCABULARY = 400_000
+_VOCABULARY = 150_000
 FEATURES = ("log_words", "plain", "disguised", "any_lexicon", "near_person", "person", "caps_words", "mixed_words", "capitals", "exclaim", "question", "punctuation", "run_of_marks", "digits", "spelled_out")
 
 
@@ -114,6 +116,8 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             rows = np.concatenate([features(x.as_py()) for x in part.column(2)])
             values = pa.FixedSizeListArray.from_arrays(pa.array(rows, pa.float32()), len(FEATURES)).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], names=["doc_id", "held_out", "features"])
+    _codes.clear()  # a worker serves other operators too
+    pa.default_memory_pool().release_unused()
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
@@ -215,7 +219,8 @@ def train(rows: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Mode
     """Fit on feature rows that are labelled and not held out. Without such rows every score is 0.5."""
     toxic = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"))
     known = rows.where("not held_out").join(toxic, "doc_id").select("features", "label", F.xxhash64("doc_id").alias("h"), "doc_id")
-    got = known.orderBy("h", "doc_id", "label").limit(most).select("features", "label").toArrow()
+    with arrow_batches(rows.sparkSession, BATCH_ROWS):
+        got = known.orderBy("h", "doc_id", "label").limit(most).select("features", "label").toArrow()
     x = got.column("features").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(got) else np.zeros((0, len(FEATURES)), np.float32)
     return Model(x, got.column("label").to_numpy().astype(float))
 
@@ -238,18 +243,22 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     Null and empty texts have all-zero features and are scored like others; a null doc_id stays null and has no label; null
     labels are left out, repeated ones count each; extra columns are not read; an empty table gives no rows.
     """
-    rows = materialize(feature_rows(docs), "features")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        rows = materialize(feature_rows(docs), "features")
     return rows.mapInArrow(_scored(train(rows, labels, most), threshold), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRAINING_ROWS) -> DataFrame:
     """docs, all columns, without the documents whose score reaches the threshold."""
-    model = train(feature_rows(docs.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")), labels, most)
+    model = train(feature_rows(docs), labels, most)
 
     @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        x = np.stack([features((t or "").encode()) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)), np.float32)
-        return pd.Series(model.score(x) < threshold)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.stack([features((t or "").encode()) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)), np.float32)
+            yield pd.Series(model.score(x) < threshold)
+        _codes.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.where(clean(F.col("text").cast("string")))
 
