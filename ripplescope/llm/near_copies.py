@@ -8,8 +8,11 @@ whatever the size of the corpus.
 
 A shard keeps one list of BK-trees per group found so far and stops at the first confirmed hit in each, so a shard full of
 copies costs few distances for each. A shard of more than SHARD_CAP texts is dealt into several; groups of at least GROUP
-texts in them send MEMBERS members each to a next round, where they meet those of the other parts. No task holds more than a
-shard of SHARD_CAP texts.
+texts in them send MEMBERS members each to a next round, where they meet those of the other parts. That joins most of a large
+group cheaply, but not all links of the shard. So the texts of such shards then meet anew by prefix filter: with shingles
+ordered from rare to common, two texts at the similarity share one of their first shingles, without exception. Only shingles
+whose texts are not yet one component are searched, and if more than SHARD_CAP texts have one, as all pairs of its parts. No
+task holds more than SHARD_CAP texts or so at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import arrow_batches
@@ -170,6 +173,44 @@ def _search(dealt: DataFrame, similarity: float) -> DataFrame:
     return grouped.mapInArrow(run, "shard long, u long, v long, mark binary, shingles binary")
 
 
+def _listed(texts: DataFrame) -> DataFrame:
+    """(node, shingles) to (node, size, s): one row per shingle."""
+    types = [pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [np.frombuffer(x.as_py(), np.int32) for x in part.column(1)]
+                sizes = np.array([len(x) for x in sets], np.int32)
+                columns = [np.repeat(part.column(0).to_numpy(), sizes), np.repeat(sizes, sizes), np.concatenate(sets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["node", "size", "s"])
+
+    return texts.select("node", "shingles").mapInArrow(run, "node long, size int, s int")
+
+
+def _prefix_shards(texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(node, mark, shingles) to such rows with shard and a null part: any two at the similarity that are not of one root meet.
+
+    A text's first size - ceil(similarity * size) + 1 shingles, rare ones first, have one in common with those of any such
+    other. Shingles of one text only come first in that order and are counted, not joined.
+    """
+    listed = _listed(texts)
+    often = listed.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("node")
+    ranked = listed.join(often, "s").withColumns({"r": F.row_number().over(own.orderBy("n", "s")), "shared": F.count("*").over(own)})
+    first = ranked.where(F.col("r") <= F.col("shared") - F.ceil(F.col("size") * similarity - 1e-6) + 1).select("s", "node")
+    first = materialize(first.join(roots, "node", "left").select("s", "node", F.coalesce("root", "node").alias("root")), "prefixes")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"h{k}") for k in (1, 2)]
+    shards = first.groupBy("s").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), *marks).where("a < b")
+    # shingles of the same texts are one shard
+    shards = shards.groupBy("n", "h1", "h2").agg(F.min("s").alias("s")).select("s", F.when(F.col("n") > SHARD_CAP, F.ceil(F.col("n") / (SHARD_CAP // 2))).otherwise(1).cast("long").alias("parts"))
+    dealt = first.join(shards, "s").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("parts = 1 or other <> mine")
+    shard = F.xxhash64("s", F.least("mine", "other"), F.greatest("mine", "other"))
+    return dealt.select(shard.alias("shard"), F.lit(None).cast("long").alias("part"), "node").join(texts, "node")
+
+
 def near_copy_roots(keyed: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(__row, text) to (__row, root) for the rows that are not the first of their group: root is the first."""
     with arrow_batches(keyed.sparkSession, BATCH_ROWS):
@@ -194,6 +235,13 @@ def near_copy_roots(keyed: DataFrame, shingle: int = 5, similarity: float = 0.8)
         if not more.head(1):
             break
         met = more.join(counted, "shard")
+    hot = placed.join(shared.where(F.col("n") > SHARD_CAP), "shard", "left_semi").select("node").distinct()
+    texts = materialize(hot.join(rows.select(F.col("__row").alias("node"), "mark", "shingles"), "node"), "hot-texts")
+    if texts.head(1):
+        roots = connected_components(links)
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        with arrow_batches(keyed.sparkSession, BATCH_ROWS):
+            links = links.unionByName(materialize(_search(_prefix_shards(texts, roots, similarity), similarity), "near-copies").select("u", "v"))
     return connected_components(links).select(F.col("node").alias("__row"), "root")
 
 

@@ -128,6 +128,24 @@ def test_near_copies_against_brute_force(spark, monkeypatch, cap):
     assert near_copies.drop_near_copies(empty(spark)).count() == 0
 
 
+def test_small_groups_of_a_hot_shard_are_joined(spark, monkeypatch):
+    """Many texts share a passage that holds their smallest shingles; pairs and small families among them are still found."""
+    monkeypatch.setattr(near_copies, "SHARD_CAP", 8)
+    rnd = random.Random(4)
+    passage, rows = random_text(rnd, 105), []
+    for i in range(120):
+        own = random_text(rnd, 15, 5000).split()
+        rows.append((len(rows), " ".join(own) + " " + passage))
+        for _ in range(12 if i < 4 else i % 3):
+            copy = own[:]
+            copy[rnd.randrange(15)] = f"z{rnd.randrange(999)}"
+            rows.append((len(rows), " ".join(copy) + " " + passage))
+    sets = [brute_shingles(t) for _, t in rows]
+    root = groups(len(rows), lambda i, j: near(sets[i], sets[j]))
+    kept = near_copies.drop_near_copies(table(spark, rows).coalesce(1))
+    assert got(kept, "doc_id") == sorted([(i,) for i, _ in rows if root[i] == i], key=lambda r: str(r[0]))
+
+
 def brute_removed(rows, window):
     seen: dict = {}
     split = [words(t) for _, t in rows]
