@@ -4,7 +4,8 @@ A text becomes a template: numbers, units after numbers and names inside sentenc
 into their lower case without punctuation. Windows of WINDOW template words are hashed and joined with those of the
 benchmark, so a question with other numbers or names still meets its origin. Matches of one alignment are then checked for
 consistent slots: what the benchmark holds in a slot and what the document holds there must map one to one over all matched
-words. An item counts as found if SHARE of its windows, or a run of RUN words, matches.
+words. An item counts as found if SHARE of its windows, or a run of RUN words, matches. Windows of few other words than
+placeholders would match nearly anything, so they are looked up by their words instead and match if all are equal.
 
 The benchmark goes to the workers in blocks of at most BLOCK_WORDS words, each block against all documents; each different
 word of the documents is judged once per worker and kept in a bounded cache.
@@ -29,7 +30,7 @@ from .substring import _BASES, _Prefix
 WINDOW = 8
 SHARE = 0.5
 RUN = 13
-#: A window of the benchmark takes part if so many of its words are no placeholders.
+#: A window of the benchmark with fewer words that are no placeholders matches by its words, not by its template.
 LITERALS = 4
 BLOCK_WORDS = 2_000_000
 _VOCABULARY = 150_000
@@ -77,8 +78,8 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def template(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Template codes, each word's slot type (0: none), the words; words of punctuation alone are left out."""
+def template(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Template codes, codes of the words, each word's slot type (0: none), the words; words of punctuation alone are left out."""
     words = text.split()
     if len(_codes) > _VOCABULARY:
         _codes.clear()
@@ -92,10 +93,11 @@ def template(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     unit = ((flags & _UNIT) > 0) & ((before & _NUM) > 0) & ~number
     name = ~number & ~unit & ((((flags & _CAP) > 0) & ((before & _END) == 0)) | ((flags & _NAMED) > 0))
     slot = np.select([number, unit, name], [_NUM, _UNIT, _CAP], 0).astype(np.uint8)
-    code = raw & ~np.uint64(_FLAGS)
+    plain = raw & ~np.uint64(_FLAGS)
+    code = plain.copy()
     for kind, value in _TYPE.items():
         code[slot == kind] = value
-    return code, slot, words
+    return code, plain, slot, words
 
 
 def _windows(code: np.ndarray, width: int) -> np.ndarray:
@@ -108,31 +110,28 @@ class Templates:
 
     def __init__(self, items: list[tuple[object, str]], window: int, share: float, run: int) -> None:
         self.window, self.share, self.run = window, share, run
-        self.items, hashes, self.short = [], [], defaultdict(list)
+        self.items = []
+        # by (width, whether by words): (hash, item, place in the item)
+        hashes: dict[tuple[int, bool], list[tuple[int, int, int]]] = defaultdict(list)
         for item_id, text in items:
-            code, slot, words = template((text or "").encode())
+            code, plain, slot, words = template((text or "").encode())
             n = len(code)
             if not n:
                 continue
             width = min(window, n)
-            hashed = _windows(code, width)
             literal = np.convolve(slot == 0, np.ones(width, int), "valid")
-            used = literal >= min(LITERALS, width)
+            typed = literal >= min(LITERALS, width)
             index = len(self.items)
-            self.items.append((item_id, slot, [_core(w).lower() for w in words], int(used.sum()), n, width))
-            if width < window:
-                if used.any():
-                    self.short[width].append((int(hashed[0]), index))
-            else:
-                hashes += [(int(h), index, j) for j, (h, u) in enumerate(zip(hashed.tolist(), used.tolist())) if u]
-        self.by_hash = defaultdict(list)
-        for h, index, j in hashes:
-            self.by_hash[h].append((index, j))
-        for width, found in self.short.items():
-            for h, index in found:
-                self.by_hash[h].append((index, 0))
-        self.filters = {width: self._filter([h for h, _ in found]) for width, found in self.short.items()}
-        self.filters[window] = self._filter([h for h, _, _ in hashes])
+            self.items.append((item_id, slot, [_core(w).lower() for w in words], typed, n, width))
+            hashed = np.where(typed, _windows(code, width), _windows(plain, width))
+            for j, (h, t) in enumerate(zip(hashed.tolist(), typed.tolist())):
+                hashes[width, not t].append((h, index, j))
+        self.by_hash = {}
+        for key, found in hashes.items():
+            self.by_hash[key] = table = defaultdict(list)
+            for h, index, j in found:
+                table[h].append((index, j))
+        self.filters = {key: self._filter([h for h, _, _ in found]) for key, found in hashes.items()}
 
     def _filter(self, hashes: list[int]) -> tuple[np.ndarray, int]:
         """A bit table that drops nearly all windows of documents at the cost of one lookup."""
@@ -143,16 +142,15 @@ class Templates:
 
     def search(self, text: bytes) -> list[tuple]:
         """(item_id, matched share of the item's windows, longest run of words, exact, first word, last word + 1)."""
-        code, slot, words = template(text)
-        runs: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for width, (table, shift) in self.filters.items():
+        code, plain, slot, words = template(text)
+        runs: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for (width, by_words), (table, shift) in self.filters.items():
             if len(code) < width:
                 continue
-            hashed = _windows(code, width)
+            hashed = _windows(plain if by_words else code, width)
             for i in np.flatnonzero(table[hashed >> np.uint64(shift)]).tolist():
-                for index, j in self.by_hash.get(int(hashed[i]), ()):
-                    if self.items[index][5] == width:
-                        runs[index, i - j].append(j)
+                for index, j in self.by_hash[width, by_words].get(int(hashed[i]), ()):
+                    runs[index, i - j].add(j)
         found: dict[int, list] = defaultdict(list)
         for (index, shift_), places in runs.items():
             _, theirs, values, _, _, width = self.items[index]
@@ -169,8 +167,10 @@ class Templates:
                 found[index].append((shift_, places, covered, exact))
         out = []
         for index, alignments in found.items():
-            item_id, _, _, windows, n, width = self.items[index]
-            share = len({j for _, places, _, _ in alignments for j in places}) / windows
+            item_id, _, _, typed, n, width = self.items[index]
+            matched = {j for _, places, _, _ in alignments for j in places}
+            # other numbers and names leave only the windows that match by template
+            share = max(len(matched) / len(typed), sum(typed[j] for j in matched) / max(1, typed.sum()))
             longest = 0
             for _, _, covered, _ in alignments:
                 cuts = np.flatnonzero(np.diff(covered) > 1)

@@ -158,3 +158,17 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert got(decontaminate.contaminated(table(spark, [(1, ITEMS[0][1]), (2, "a short question here")]), bench), "doc_id", "item_id") == [(1, 1), (2, 2)]
+
+
+def found_in(item, texts):
+    """Numbers of the texts in which the item is found."""
+    judge = decontaminate.Templates([(1, item)], decontaminate.WINDOW, decontaminate.SHARE, decontaminate.RUN)
+    return [k for k, t in enumerate(texts) if judge.search(t.encode())]
+
+
+def test_items_of_placeholders_are_found_verbatim():
+    sums = "12 + 7 = 19, 30 - 4 = 26, 5 * 8 = 40, 81 / 9 = 9"
+    assert found_in(sums, ["so " + sums + " holds", "12 7 19 31 4 27 6 8 48 80 10 8"]) == [0]
+    title = "The Great Lakes Of North America And Their Fish"
+    assert found_in(title, ["we read The Great Lakes Of North America And Their Fish again", "we read The Small Hills Of South Africa And Their Birds again"]) == [0]
+    assert found_in("Alice, Bob, Carlos", ["then Alice, Bob, Carlos left", "then Anna, Tom, Jim left"]) == [0]
