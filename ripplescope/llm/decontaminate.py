@@ -5,7 +5,8 @@ into their lower case without punctuation. Windows of WINDOW template words are
 benchmark, so a question with other numbers or names still meets its origin. Matches of one alignment are then checked for
 consistent slots: what the benchmark holds in a slot and what the document holds there must map one to one over all matched
 words. An item counts as found if SHARE of its windows, or a run of RUN words, matches. Windows of few other words than
-placeholders would match nearly anything, so they are looked up by their words instead and match if all are equal.
+placeholders would match nearly anything, so they are looked up by their words instead and match if all are equal. What stands
+before an item in a document may make its first word a name or unit, so an item's first window also matches as a text's start.
 
 The benchmark goes to the workers in blocks of at most BLOCK_WORDS words, each block against all documents; each different
 word of the documents is judged once per worker and kept in a bounded cache.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, text_bytes
-from .substring import _BASES, _Prefix
+from .substring import _BASES, _mixed, _power, _Prefix
 
 WINDOW = 8
 SHARE = 0.5
@@ -78,8 +79,11 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def template(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Template codes, codes of the words, each word's slot type (0: none), the words; words of punctuation alone are left out."""
+def template(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Template codes, codes of the words, whether a word is a placeholder only by what is before it, each word's slot type (0: none), the words.
+
+    Words of punctuation alone are left out.
+    """
     words = text.split()
     if len(_codes) > _VOCABULARY:
         _codes.clear()
@@ -97,7 +101,7 @@ def template(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[byte
     code = plain.copy()
     for kind, value in _TYPE.items():
         code[slot == kind] = value
-    return code, plain, slot, words
+    return code, plain, unit | name & ((flags & _NAMED) == 0), slot, words
 
 
 def _windows(code: np.ndarray, width: int) -> np.ndarray:
@@ -105,6 +109,13 @@ def _windows(code: np.ndarray, width: int) -> np.ndarray:
     return _Prefix(code, _BASES[0]).of(at, at + width)
 
 
+def _windows_from(code: np.ndarray, plain: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows at some places, each with its first word as it is."""
+    prefix = _Prefix(code, _BASES[0])
+    power, _ = _power(_BASES[0], len(code))
+    return _mixed((prefix.sums[at + width] - prefix.sums[at] + (plain[at] - code[at]) * power[at]) * prefix.inverse[at])
+
+
 class Templates:
     """The windows of a block of benchmark items."""
 
@@ -114,7 +125,7 @@ class Templates:
         # by (width, whether by words): (hash, item, place in the item)
         hashes: dict[tuple[int, bool], list[tuple[int, int, int]]] = defaultdict(list)
         for item_id, text in items:
-            code, plain, slot, words = template((text or "").encode())
+            code, plain, _, slot, words = template((text or "").encode())
             n = len(code)
             if not n:
                 continue
@@ -132,6 +143,7 @@ class Templates:
             for h, index, j in found:
                 table[h].append((index, j))
         self.filters = {key: self._filter([h for h, _, _ in found]) for key, found in hashes.items()}
+        self.firsts = {width: self._filter(firsts) for (width, by_words), found in hashes.items() if not by_words and (firsts := [h for h, _, j in found if j == 0])}
 
     def _filter(self, hashes: list[int]) -> tuple[np.ndarray, int]:
         """A bit table that drops nearly all windows of documents at the cost of one lookup."""
@@ -142,7 +154,7 @@ class Templates:
 
     def search(self, text: bytes) -> list[tuple]:
         """(item_id, matched share of the item's windows, longest run of words, exact, first word, last word + 1)."""
-        code, plain, slot, words = template(text)
+        code, plain, open_, slot, words = template(text)
         runs: dict[tuple[int, int], set[int]] = defaultdict(set)
         for (width, by_words), (table, shift) in self.filters.items():
             if len(code) < width:
@@ -151,6 +163,14 @@ class Templates:
             for i in np.flatnonzero(table[hashed >> np.uint64(shift)]).tolist():
                 for index, j in self.by_hash[width, by_words].get(int(hashed[i]), ()):
                     runs[index, i - j].add(j)
+        opened = np.flatnonzero(open_)
+        for width, (table, shift) in self.firsts.items() if len(opened) else ():
+            at = opened[opened <= len(code) - width]
+            hashed = _windows_from(code, plain, at, width)
+            for k in np.flatnonzero(table[hashed >> np.uint64(shift)]).tolist():
+                for index, j in self.by_hash[width, False].get(int(hashed[k]), ()):
+                    if j == 0:
+                        runs[index, int(at[k])].add(0)
         found: dict[int, list] = defaultdict(list)
         for (index, shift_), places in runs.items():
             _, theirs, values, _, _, width = self.items[index]

@@ -172,3 +172,9 @@ def test_items_of_placeholders_are_found_verbatim():
     title = "The Great Lakes Of North America And Their Fish"
     assert found_in(title, ["we read The Great Lakes Of North America And Their Fish again", "we read The Small Hills Of South Africa And Their Birds again"]) == [0]
     assert found_in("Alice, Bob, Carlos", ["then Alice, Bob, Carlos left", "then Anna, Tom, Jim left"]) == [0]
+
+
+def test_first_word_of_an_item_inside_a_document():
+    item = "What is the capital of France today?"
+    assert found_in(item, ["Question: " + item, "Heading\n\n" + item, "they asked us " + item, item, "they asked us Who is the capital of France today?"]) == [0, 1, 2, 3]
+    assert found_in("Minutes of the meeting held today", ["Exhibit 3 Minutes of the meeting held today"]) == [0]
