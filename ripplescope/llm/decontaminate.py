@@ -4,7 +4,7 @@ A text becomes a template: numbers, units after numbers and names inside sentenc
 into their lower case without punctuation. Windows of WINDOW template words are hashed and joined with those of the
 benchmark, so a question with other numbers or names still meets its origin. Matches of one alignment are then checked for
 consistent slots: what the benchmark holds in a slot and what the document holds there must map one to one over all matched
-words. An item counts as found if SHARE of its windows, or a run of RUN words, matches. Windows of few other words than
+words; windows with a changed slot that contradicts another are left out, the others of the alignment stay. An item counts as found if SHARE of its windows, or a run of RUN words, matches. Windows of few other words than
 placeholders would match nearly anything, so they are looked up by their words instead and match if all are equal. What stands
 before an item in a document may make its first word a name or unit, so an item's first window also matches as a text's start.
 
@@ -175,16 +175,18 @@ class Templates:
         for (index, shift_), places in runs.items():
             _, theirs, values, _, _, width = self.items[index]
             covered = sorted({p for j in places for p in range(j, j + width)})
-            there: dict[tuple, str] = {}
-            here: dict[tuple, str] = {}
-            consistent, exact = True, True
-            for p in covered:
-                if theirs[p]:
-                    a, b, kind = values[p], _core(words[p + shift_]).lower(), int(theirs[p])
-                    consistent &= there.setdefault((kind, a), b) == b and here.setdefault((kind, b), a) == a
-                    exact &= a == b
-            if consistent:
-                found[index].append((shift_, places, covered, exact))
+            pairs = {p: (int(theirs[p]), values[p], _core(words[p + shift_]).lower()) for p in covered if theirs[p]}
+            there: dict[tuple, set[str]] = defaultdict(set)
+            here: dict[tuple, set[str]] = defaultdict(set)
+            for kind, a, b in pairs.values():
+                there[kind, a].add(b)
+                here[kind, b].add(a)
+            against = {p for p, (kind, a, b) in pairs.items() if a != b and (len(there[kind, a]) > 1 or len(here[kind, b]) > 1)}
+            if against:
+                places = [j for j in places if against.isdisjoint(range(j, j + width))]
+                covered = sorted({p for j in places for p in range(j, j + width)})
+            if places:
+                found[index].append((shift_, places, covered, not against and all(a == b for _, a, b in pairs.values())))
         out = []
         for index, alignments in found.items():
             item_id, _, _, typed, n, width = self.items[index]

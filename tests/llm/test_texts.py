@@ -178,3 +178,15 @@ def test_first_word_of_an_item_inside_a_document():
     item = "What is the capital of France today?"
     assert found_in(item, ["Question: " + item, "Heading\n\n" + item, "they asked us " + item, item, "they asked us Who is the capital of France today?"]) == [0, 1, 2, 3]
     assert found_in("Minutes of the meeting held today", ["Exhibit 3 Minutes of the meeting held today"]) == [0]
+
+
+def test_a_contradicting_slot_rejects_its_windows_only():
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)]
+    words[10] = words[40] = "17"
+    changed = [*words[:40], "23", *words[41:]]
+    swapped = [*words[:10], "23", *words[11:40], "29", *words[41:]]
+    assert found_in(" ".join(words), [" ".join(words), " ".join(changed), " ".join(swapped)]) == [0, 1, 2]
+    merged = ["so", "41", *words[1:10], "41", *words[11:40], "41"]
+    assert found_in(" ".join(["so", "3", *words[1:10], "5", *words[11:40], "7"]), [" ".join(merged)]) == [0]
+    # all windows hold a contradiction
+    assert found_in("he has 3 apples and she has 3 pears left now", ["he has 4 apples and she has 5 pears left now"]) == []
