@@ -48,10 +48,11 @@ class Walk:
     truncated: DataFrame  # symbol
 
 
-def walk(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, kind: str, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> Walk:
+def walk(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, kind: str, max_depth: int | None = MAX_DEPTH, max_nodes: int | None = MAX_NODES) -> Walk:
     """seeds(symbol, fn_id); functions(fn_id, name, file, module, package, start, end, own, inline); calls(from_fn, to_fn, ..).
 
     A call to a function outside the edge is a crossing. Nodes beyond max_nodes, in the order of depth and fn_id, are cut.
+    A limit that is None does not hold.
     """
     place = functions.select("fn_id", F.struct("file", "module", "package").alias("place"))
     homes = seeds.join(place, "fn_id").groupBy("symbol").agg(F.min("place").alias("home"))
@@ -72,9 +73,14 @@ def walk(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: D
     return _cut(found, functions, calls, call_stops, max_nodes, max_depth, edges if column else None)
 
 
-def _cut(found: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_nodes: int, max_depth: int, edges: DataFrame | None) -> Walk:
-    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("depth", "fn_id")))
-    nodes = materialize(ranked.where(F.col("n") <= max_nodes).drop("n").join(functions, "fn_id"), "walk")
+def _cut(found: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_nodes: int | None, max_depth: int | None, edges: DataFrame | None) -> Walk:
+    none = F.lit(False)
+    if max_nodes is None:
+        kept, left_out = found, found.where(none)
+    else:
+        ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("depth", "fn_id")))
+        kept, left_out = ranked.where(F.col("n") <= max_nodes).drop("n"), ranked.where(F.col("n") > max_nodes)
+    nodes = materialize(kept.join(functions, "fn_id"), "walk")
     out = nodes.select("zone", "symbol", F.col("fn_id").alias("from_fn")).join(calls, "from_fn")
     if edges is None:  # nothing lies outside the repository
         crossed = out.where(F.lit(False))
@@ -85,7 +91,8 @@ def _cut(found: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: D
     crossings = crossed.join(target, "to_fn").groupBy("symbol", F.lit("call").alias("kind"), "name", "file", "module", "package").agg(F.count("*").alias("count"))
     crossings = crossings.withColumn("type_only", F.lit(False))
     stops = nodes.select("symbol", "fn_id").join(call_stops.select(F.col("from_fn").alias("fn_id"), "reason"), "fn_id")
-    over = ranked.where(F.col("n") > max_nodes).select("symbol").unionByName(found.where(F.col("depth") >= max_depth).select("symbol")).distinct()
+    deep = found.where(none if max_depth is None else F.col("depth") >= max_depth)
+    over = left_out.select("symbol").unionByName(deep.select("symbol")).distinct()
     return Walk(nodes, crossings, stops, over)
 
 
@@ -118,15 +125,19 @@ def symbol_facts(w: Walk, matches: DataFrame, lines: DataFrame) -> DataFrame:
     return out.select("symbol", "own", "own_plus_inline", "transitive", "reach", "depth", F.coalesce("effects", F.array().cast("array<string>")).alias("effects"), "covered", "known", "coverage", zero("stops").alias("stops"), value.alias("confidence"), ((zero("stops") > 0) | F.coalesce("truncated", F.lit(False))).alias("floor"))
 
 
-def compare_edges(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame) -> DataFrame:
-    """(symbol, edge, reach, transitive, stops, crossings, modules) under each of the four edge rules."""
+def compare_edges(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_depth: int | None = MAX_DEPTH, max_nodes: int | None = MAX_NODES) -> DataFrame:
+    """(symbol, edge, reach, transitive, stops, crossings, modules, truncated) under each of the four edge rules.
+
+    truncated: a limit was met, so the other figures are least values.
+    """
     rows = None
     for kind in EDGE_KINDS:
-        w = walk(seeds, functions, calls, call_stops, kind)
+        w = walk(seeds, functions, calls, call_stops, kind, max_depth, max_nodes)
         one = w.nodes.groupBy("symbol").agg(F.count("*").alias("reach"), F.sum(F.col("own") + F.col("inline")).alias("transitive"))
         one = one.join(w.stops.groupBy("symbol").agg(F.count("*").alias("stops")), "symbol", "left")
         one = one.join(w.crossings.groupBy("symbol").agg(F.count("*").alias("crossings"), F.count_distinct("module").alias("modules")), "symbol", "left").na.fill(0)
-        one = one.select("symbol", F.lit(kind).alias("edge"), "reach", "transitive", "stops", "crossings", "modules")
+        one = one.join(w.truncated.withColumn("truncated", F.lit(True)), "symbol", "left").na.fill(False)
+        one = one.select("symbol", F.lit(kind).alias("edge"), "reach", "transitive", "stops", "crossings", "modules", "truncated")
         rows = one if rows is None else rows.unionByName(one)
     return rows
 

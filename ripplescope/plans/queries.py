@@ -435,7 +435,7 @@ def edge_comparison(spark, sf_dir):
     edges = call_edges(spark, sf_dir).select(F.col("src").alias("from_fn"), F.col("dst").alias("to_fn")).distinct()
     seeds = edges.select(F.col("from_fn").alias("symbol"), F.col("from_fn").alias("fn_id")).distinct()
     stops = edges.select("from_fn", F.lit("dynamic").alias("reason")).where("false")
-    return symbol.compare_edges(seeds, functions, edges, stops).select("symbol", "edge", "reach", "transitive", "crossings", "modules")
+    return symbol.compare_edges(seeds, functions, edges, stops, None, None).select("symbol", "edge", "reach", "transitive", "crossings", "modules")
 
 
 # Call statistics

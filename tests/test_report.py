@@ -139,3 +139,20 @@ def test_resolution_order(spark):
     edges = spark.createDataFrame([("t", "a/i.ts", i, s, None) for i, s in enumerate(specs)], "tree string, from_file string, stmt_no int, spec string, to_file string")
     got = {r.spec: r.to_file for r in modules.resolve_imports(edges, files, ws).collect()}
     assert got == {"@s/p/d/u": "p/src/d/u.ts", "@s/p": "p/index.ts", "./x": "a/x.tsx", "./x.js": "a/x.tsx", "react": None, "../../up": None}
+
+
+def test_edge_comparison_follows_chains_to_their_end(spark, tmp_path):
+    from ripplescope.plans.queries import QUERIES
+
+    # one hour per call: an error of user i, then a purchase of user i + 1
+    events = [(2 * i + k, f"2024-01-{1 + i // 24:02d} {i % 24:02d}:0{k}:00", i + k, ("error", "purchase")[k], 1.0) for i in range(15) for k in (0, 1)]
+    frame = spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double")
+    frame.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    found = {r.symbol: r.reach for r in QUERIES["edge_comparison"](spark, str(tmp_path)).where("edge = 'repo'").collect()}
+    assert found == {i: 16 - i for i in range(15)}
+    calls = spark.createDataFrame([(i, i + 1) for i in range(15)], "from_fn long, to_fn long")
+    functions = spark.range(16).selectExpr("id AS fn_id", "'n' AS name", "'f' AS file", "'m' AS module", "'p' AS package", "0 AS start", "0 AS end", "1 AS own", "0 AS inline")
+    seeds = spark.createDataFrame([(0, 0), (10, 10)], "symbol long, fn_id long")
+    stops = spark.createDataFrame([], "from_fn long, reason string")
+    limited = symbol.compare_edges(seeds, functions, calls, stops)
+    assert {(r.symbol, r.reach, r.truncated) for r in limited.collect()} == {(0, 13, True), (10, 6, False)}
