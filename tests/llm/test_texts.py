@@ -190,3 +190,11 @@ def test_a_contradicting_slot_rejects_its_windows_only():
     assert found_in(" ".join(["so", "3", *words[1:10], "5", *words[11:40], "7"]), [" ".join(merged)]) == [0]
     # all windows hold a contradiction
     assert found_in("he has 3 apples and she has 3 pears left now", ["he has 4 apples and she has 5 pears left now"]) == []
+
+
+def test_cards_of_fifteen_and_fourteen_digits_in_groups(spark):
+    rows = [(1, "amex 3782 822463 10005, 3782-822463-10005 and diners 3056 930902 5904"), (2, "378282246310005")]
+    out = {r.doc_id: r.text for r in pii.replace_pii(table(spark, rows)).collect()}
+    m = re.fullmatch(r"amex (\d{4} \d{6} \d{5}), (\d{4}-\d{6}-\d{5}) and diners (\d{4} \d{6} \d{4})", out[1])
+    amex, same, diners = (re.sub(r"\D", "", x) for x in m.groups())
+    assert amex == same == out[2] != "378282246310005" and diners != "30569309025904" and luhn(amex) and luhn(diners)
