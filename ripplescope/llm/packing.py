@@ -25,7 +25,7 @@ from .common import documents
 CAPACITY = 2048
 CLASSES = 16
 END_ID = 1
-CACHE = 400_000
+CACHE = 1_000_000
 _ROUND = 8192
 _FLUSH_BYTES = 4 << 20
 
@@ -37,93 +37,88 @@ class _Recent:
         self.cap, self.new, self.old = cap, {}, {}
 
     def missing(self, keys: set) -> set:
-        """Keys without an entry; entries of the others are kept on."""
+        """Keys without an entry; entries of the others are in `new`."""
         if len(self.new) + len(keys) > self.cap:
             self.new, self.old = {}, self.new
         absent, old = keys.difference(self.new), self.old
-        fresh = absent.difference(old)
-        for key in absent.difference(fresh) if len(fresh) < len(absent) else ():
-            self.new[key] = old[key]
-        return fresh
+        if not old:
+            return absent
+        known = absent.intersection(old)
+        self.new.update(zip(known, map(old.__getitem__, known)))
+        return absent.difference(known)
 
 
-#: Letters of one part that certainly belong together; other scripts' words are encoded whole.
-_HEAD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Marks that are a piece of their own when they follow letters and end a part.
+_MARKS = frozenset(".,;:!?")
+_RUN = 100
 
 
 class Encoder:
     """Token ids by a tokenizers file, as little-endian unsigned 32-bit bytes.
 
-    The byte-level pattern starts a new piece at a space that a non-space follows and where letters end, so a text is cut
-    there, and each different part is encoded once: a word's letters in runs of many words, whose ids are dealt to them by
-    their lengths in bytes, and what follows the letters by itself.
+    The byte-level pattern starts a new piece at a space that a non-space follows, so a text is cut there and each different
+    part is encoded once, in runs of many parts whose ids are dealt to them by their lengths in bytes. Letters and one mark
+    after them are two pieces, so such a part is put together from both.
     """
 
     def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts, self.heads, self.others = _Recent(cache), _Recent(cache), _Recent(cache // 4)
+        self.parts, self.leading = _Recent(cache), _Recent(cache // 8)
         special = {i: x.content for i, x in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = re.compile("|".join(map(re.escape, special.values())) or "(?!)")
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # in a byte-level vocabulary each character of an entry stands for one byte; added tokens stand for themselves
         self.bytes_of = np.array([len(special[i].encode()) if i in special else len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
-
-    def _learn_heads(self, heads: list[str]) -> None:
-        groups = [heads[i : i + 200] for i in range(0, len(heads), 200)]
-        runs = self.tokenizer.encode_batch_fast(["".join([" " + x for x in group]) for group in groups], add_special_tokens=False)
-        for group, run in zip(groups, runs):
+        self.marks = {x: self._alone([x])[0] for x in _MARKS}
+        # ASCII letters after a space are one piece, so runs of such parts can do without the pattern; the vocabulary spells a space U+0120
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = CharDelimiterSplit(" ")
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _in_runs(self, parts: list[str], letters: bool) -> dict[str, bytes]:
+        groups = [parts[i : i + _RUN] for i in range(0, len(parts), _RUN)]
+        joined = [" " + " ".join(g) for g in groups]
+        if letters:
+            joined = [x.replace(" ", " \u0120")[1:] for x in joined]
+        out: dict[str, bytes] = {}
+        for group, run in zip(groups, (self.letters if letters else self.tokenizer).encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(run.ids, "<u4")
-            ends = np.cumsum(self.bytes_of[ids])
-            at = np.searchsorted(ends, np.cumsum([len(x.encode()) + 1 for x in group])) + 1
-            raw, last = ids.tobytes(), 0
-            for head, end in zip(group, (4 * at).tolist()):
-                self.heads.new[head] = raw[last:end]
-                last = end
-
-    def _learn_others(self, others: list[str]) -> None:
-        for x, run in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.others.new[x] = np.array(run.ids, "<u4").tobytes()
-
-    def _learn_parts(self, parts: set[str], special: bool) -> dict[str, bytes]:
+            lengths = np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1
+            cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths)) + 4).tolist()
+            raw = ids.tobytes()
+            out.update(zip(group, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+        return out
+
+    def _learn(self, parts: set[str], special: bool) -> dict[str, bytes]:
+        """Ids of parts, each with the space before it."""
         fresh = self.parts.missing(parts)
-        letters = {x for x in fresh if x.isalpha()}  # one piece in any script
-        cut, heads, others = [], set(letters), set()
-        for part in fresh - letters:
-            found = _HEAD.match(part)
-            head = found[0] if found else ""
-            rest = part[len(head) :]
-            if not head or rest[:1].isalpha() or special and self.added.search(part):
-                head, rest = "", " " + part
-            else:
-                heads.add(head)
-            others.add(rest)
-            cut.append((part, head, rest))
-        self._learn_heads(list(self.heads.missing(heads)))
-        self._learn_others(list(self.others.missing(others)))
-        known, head_ids, other_ids = self.parts.new, self.heads.new, self.others.new
-        for x in letters:
-            known[x] = head_ids[x]
-        for part, head, rest in cut:
-            known[part] = head_ids[head] + other_ids[rest] if head else other_ids[rest]
+        marked = [x for x in fresh if x[-1:] in _MARKS and x[:-1].isalpha()]
+        fresh.difference_update(marked)
+        alone = [x for x in fresh if self.added.search(x)] if special else []
+        fresh.difference_update(alone)
+        known = self.parts.new
+        fresh.update({x[:-1] for x in marked if x[:-1] not in known})
+        letters = [x for x in fresh if x.isascii() and x.isalpha()]
+        known.update(self._in_runs(letters, True))
+        known.update(self._in_runs(list(fresh.difference(letters)), False))
+        known.update(zip(alone, self._alone([" " + x for x in alone])))
+        known.update([(x, known[x[:-1]] + self.marks[x[-1]]) for x in marked])
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [re.split(r" (?=\S)", x) if re.search(r" \s", x) else x.split(" ") for x in texts]
         first = [parts.pop(0) for parts in cut]
-        get = self.parts.new.get
-        found = [list(map(get, parts)) for parts in cut]
-        gaps = [i for i, ids in enumerate(found) if not all(ids)]
-        if gaps:
-            absent = {x for i in gaps for x, ids in zip(cut[i], found[i]) if ids is None}
-            known = self._learn_parts(absent, any(self.added.search(x) for x in texts))
-            for i in gaps:
-                found[i] = [known[x] if ids is None else ids for x, ids in zip(cut[i], found[i])]
-        self._learn_others(list(self.others.missing(set(first))))
-        leading = self.others.new
-        return [leading[x] + b"".join(ids) for x, ids in zip(first, found)]
+        of = self._learn(set().union(*cut), any(self.added.search(x) for x in texts)).__getitem__
+        unknown = list(self.leading.missing(set(first)))
+        leading = self.leading.new
+        leading.update(zip(unknown, self._alone(unknown)))
+        return [leading[x] + b"".join(map(of, parts)) for x, parts in zip(first, cut)]
 
 
 class HarmonicPacker:
@@ -239,8 +234,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                     rows += (got := packer.add(doc, ids + end))
                     held += sum(len(x[2]) for x in got)
