@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_bytes
+from ..storage import arrow_batches
+from .common import documents, materialize, release, text_bytes
 from .substring import _BASES, _mixed, _power, _Prefix
 
 WINDOW = 8
@@ -34,6 +35,7 @@ RUN = 13
 #: A window of the benchmark with fewer words that are no placeholders matches by its words, not by its template.
 LITERALS = 4
 BLOCK_WORDS = 2_000_000
+BATCH_ROWS = 1_024
 _VOCABULARY = 150_000
 
 UNITS = frozenset(
@@ -53,21 +55,35 @@ _FLAGS = 31
 _TYPE = {_NUM: 1 << 40, _UNIT: 2 << 40, _CAP: 3 << 40}
 
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+_NUMBER = re.compile(r"\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?")
+_STOP = re.compile("[.!?]")
+_LISTED = {**dict.fromkeys(NUMBER_WORDS, _NUM), **{x: _UNIT for x in UNITS}}
+
+
 def _core(word: bytes) -> str:
-    return re.sub(r"^[\W_]+|[\W_]+$", "", word.decode("utf-8", "replace"))
+    """The word without what is no letter or digit at its ends."""
+    core = word.decode("utf-8", "replace").strip(_MARKS)
+    return core if core and core[0].isalnum() and core[-1].isalnum() else _OUTER.sub("", core)
 
 
 def _judge(word: bytes) -> int:
     """Hash of the lower-case word without punctuation at its ends, with flags in the low bits; 0 for punctuation alone."""
-    core = _core(word)
+    text = word.decode("utf-8", "replace")
+    core = text if text.isalpha() else _core(word)
     if not core:
         return 0
     lower = core.lower()
-    tail = word[word.rfind(core[-1:].encode()) + 1 :]
-    flags = _NUM * bool(lower in NUMBER_WORDS or re.fullmatch(r"\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?", lower))
-    flags |= _UNIT * (lower in UNITS) | _CAP * (core[0].isupper() and not core[1:].isupper()) | _NAMED * (core in NAMES)
-    flags |= _END * bool(re.search(rb"[.!?]", tail))
-    return xxhash.xxh64_intdigest(lower.encode()) & ~_FLAGS | flags
+    flags = _LISTED.get(lower, 0)
+    if lower != core:
+        flags |= _CAP * (core[0].isupper() and not core[1:].isupper()) | _NAMED * (core in NAMES)
+    if core is not text:
+        if core[0].isdecimal() and _NUMBER.fullmatch(lower):
+            flags |= _NUM
+        if _STOP.search(text, text.rfind(core) + len(core)):
+            flags |= _END
+    return xxhash.xxh64_intdigest(lower) & ~_FLAGS | flags
 
 
 class _Codes(dict):
@@ -231,7 +247,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
                 found = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1)) for x in templates.search(t.as_py())]
                 columns = zip(*found) if found else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-            _codes.clear()  # a worker serves other operators too
+            _codes.clear()
+            release()
 
         return run_
 
@@ -252,11 +269,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             for texts in batches:
                 yield pd.Series([not templates.search((t or "").encode()) for t in texts], dtype=bool)
             _codes.clear()
+            release()
 
         return judge
 
     for templates in blocks(benchmark, window, share, run):
-        docs = docs.where(clean(templates)(F.col("text").cast("string")))
+        with arrow_batches(docs.sparkSession, BATCH_ROWS):
+            docs = materialize(docs.where(clean(templates)(F.col("text").cast("string"))), "clean")
     return docs
 
 
