@@ -1,10 +1,13 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-Each text becomes a dozen rates: lexicon words in plain and in disguised spelling, their nearness to second-person words,
-capitals, punctuation, disguised words in general. Each different word is judged once per worker and kept in a bounded
-cache; a text is then a few counts over small codes. Labelled feature rows, TRAINING_ROWS at most, go to the driver, which
-grows histogram trees for the logistic loss; scores that four folds give to rows they were not trained on fix the
-calibration. Texts never leave the executors.
+Each text becomes some rates: lexicon words in plain and in disguised spelling, their nearness to second-person words,
+capitals, punctuation, disguised words in general, and words of a learned lexicon. That one holds beginnings of words that
+toxic training rows use far more often than others, with their log odds: insults of languages and spellings that the fixed
+list lacks. Its counts are summed over the training rows of all executors; a training row's own features come from a lexicon
+that its fold did not take part in. Each different word is judged once per worker and kept in a bounded cache; a text is then
+a few counts over small codes. Feature rows of labelled texts, TRAINING_ROWS at most, go to the driver, which grows histogram
+trees for the logistic loss; scores that four folds give to rows they were not trained on fix the calibration. Texts never
+leave the executors.
 """
 
 from __future__ import annotations
@@ -19,12 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import arrow_batches
-from .common import crc32_remainder, documents, materialize, text_bytes
+from .common import crc32_remainder, documents, materialize, release, text_bytes
 
 THRESHOLD = 0.7
 #: Labelled rows used for training, those with the smallest hashes of doc_id.
-TRAINING_ROWS = 60_000
+TRAINING_ROWS = 20_000
 BATCH_ROWS = 1_024
+#: The learned lexicon: lengths of the beginnings, folds, entries at most, least log odds, least uses in toxic rows and their least share.
+BEGINNINGS = range(3, 9)
+FOLDS = 3
+LEXICON_ROWS = 20_000
+LEAST_ODDS = 3.0
+LEAST_ROWS, LEAST_SHARE = 6, 0.003
 
 #: Insults of four languages, in their base spelling.
 LEXICON = frozenset(
@@ -39,13 +48,31 @@ SECOND_PERSON = frozenset("you your yours yourself youre u ur du dich dir dein d
 NEAR = 5
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"})
 _PLAIN, _DISGUISED, _PERSON, _CAPS, _MIXED, _SINGLE = 1, 2, 4, 8, 16, 32
+#: Above those bits a code has the learned strength of its word, 0 to 15.
+_STRENGTH = 6
 _VOCABULARY = 150_000
-FEATURES = ("log_words", "plain", "disguised", "any_lexicon", "near_person", "person", "caps_words", "mixed_words", "capitals", "exclaim", "question", "punctuation", "run_of_marks", "digits", "spelled_out")
+FEATURES = ("log_words", "plain", "disguised", "any_lexicon", "near_person", "person", "caps_words", "mixed_words", "capitals", "exclaim", "question", "punctuation", "run_of_marks", "digits", "spelled_out", "learned", "any_learned", "strongest")
+
+
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+_REPEATED = re.compile(r"(.)\1{2,}")
+
+
+def _core(text: str) -> str:
+    """The word without what is no letter or digit at its ends."""
+    core = text.strip(_MARKS)
+    return core if core and core[0].isalnum() and core[-1].isalnum() else _OUTER.sub("", core)
+
+
+def beginnings(word: bytes) -> list[str]:
+    lower = _core(word.decode("utf-8", "replace")).lower()
+    return [lower[:k] for k in BEGINNINGS if k <= len(lower)]
 
 
 def _judge(word: bytes) -> int:
     text = word.decode("utf-8", "replace")
-    core = re.sub(r"^[\W_]+|[\W_]+$", "", text)
+    core = _core(text)
     lower = core.lower()
     code = (lower in LEXICON) * _PLAIN | (lower in SECOND_PERSON) * _PERSON
     code |= (len(core) > 1 and core.isupper()) * _CAPS | (len(core) == 1 and core.isalpha()) * _SINGLE
@@ -55,30 +82,34 @@ def _judge(word: bytes) -> int:
         starred = "*" in trimmed.strip("*") and len(trimmed) > 3
         hit = bool(forms & LEXICON) or starred and any(re.fullmatch(re.escape(trimmed).replace(r"\*", "."), x) for x in LEXICON)
         code |= hit * _DISGUISED | _MIXED * bool(re.search(r"[A-Za-z][0-9@$*!|][A-Za-z]", core))
-    elif core and core.isalpha() and not code & _PLAIN:
-        squeezed = re.sub(r"(.)\1{2,}", r"\1", lower)
-        code |= (squeezed != lower and squeezed in LEXICON) * _DISGUISED
+    elif core and core.isalpha() and not code & _PLAIN and _REPEATED.search(lower):
+        code |= (_REPEATED.sub(r"\1", lower) in LEXICON) * _DISGUISED
     return code
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = _judge(word)
-        return code
+class Codes(dict):
+    """Codes of words: what is known of their spelling, and their strength by a learned lexicon (beginning to 1 to 15)."""
 
+    def __init__(self, learned: dict[str, int], most: int = _VOCABULARY) -> None:
+        self.learned, self.most = learned, most
 
-_codes = _Codes()
+    def __missing__(self, word: bytes) -> int:
+        strength = max((self.learned.get(x, 0) for x in beginnings(word)), default=0) if self.learned else 0
+        self[word] = code = _judge(word) | strength << _STRENGTH
+        return code
 
 
-def features(text: bytes) -> np.ndarray:
+def features(text: bytes, codes: Codes) -> np.ndarray:
     """The rates named in FEATURES; all 0 for a text without words."""
     out = np.zeros(len(FEATURES), np.float32)
     words = text.split()
     if not words:
         return out
-    if len(_codes) > _VOCABULARY:
-        _codes.clear()
-    code = np.fromiter(map(_codes.__getitem__, words), np.uint8, len(words))
+    if len(codes) > codes.most:
+        codes.clear()
+    code = np.fromiter(map(codes.__getitem__, words), np.uint16, len(words))
+    strength = code >> _STRENGTH
+    learned = int((strength > 0).sum())
     n, raw = len(words), np.frombuffer(text, np.uint8)
     lexical, person = (code & (_PLAIN | _DISGUISED)) > 0, (code & _PERSON) > 0
     near = 0
@@ -104,26 +135,80 @@ def features(text: bytes) -> np.ndarray:
         int(((code & _CAPS) > 0).sum()) / n, int(((code & _MIXED) > 0).sum()) / n, upper / max(1, upper + lower), 100 * marks[0] / n, 100 * marks[1] / n,
         100 * (text.count(b".") + text.count(b",") + text.count(b";") + text.count(b":")) / n, 100 * (text.count(b"!!") + text.count(b"??")) / n,
         100 * int(((raw >= 48) & (raw <= 57)).sum()) / max(1, len(raw)), 1000 * spelled / n,
+        1000 * learned / n, min(8, learned), int(strength.max()),
     )
     return out
 
 
-def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, held_out, text bytes) to (doc_id, held_out, features)."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            rows = np.concatenate([features(x.as_py()) for x in part.column(2)])
-            values = pa.FixedSizeListArray.from_arrays(pa.array(rows, pa.float32()), len(FEATURES)).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), values], names=["doc_id", "held_out", "features"])
-    _codes.clear()  # a worker serves other operators too
-    pa.default_memory_pool().release_unused()
+def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(h, doc_id, label, fold, text) of the labelled documents that are not held out; h orders them."""
+    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("label"))
+    h = F.xxhash64("doc_id")
+    chosen = known.where(crc32_remainder("doc_id", 3) != 1).select("*", h.alias("h")).orderBy("h", "doc_id", "label").limit(most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
+    # `most` rows of three numbers at most are broadcast
+    joined = rows.join(F.broadcast(chosen), "doc_id")
+    return materialize(joined.select("h", "doc_id", "label", F.pmod(h, F.lit(FOLDS)).cast("int").alias("fold"), "text"), "training")
 
 
-def feature_rows(docs: DataFrame) -> DataFrame:
-    held_out = (crc32_remainder("doc_id", 3) == 1).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, text_bytes())
-    return rows.mapInArrow(_feature_batches, "doc_id long, held_out boolean, features array<float>")
+def _counted(training: DataFrame) -> DataFrame:
+    """(key, c0, ...): in how many pairs of a text and one of its different words it begins the word, by fold and label.
+
+    The empty key counts the texts.
+    """
+    word = F.explode(F.array_distinct(F.split(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]+"))).alias("word")
+    place = (2 * F.col("fold") + F.col("label")).alias("place")
+    by_place = [F.count(F.when(F.col("place") == i, 1)).alias(f"c{i}") for i in range(2 * FOLDS)]
+    words = training.select(place, word).groupBy("word").agg(*by_place)
+    core = F.regexp_replace("word", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    starts = F.transform(F.sequence(F.lit(BEGINNINGS.start), F.least(F.length("core"), F.lit(BEGINNINGS.stop - 1))), lambda k: F.substring(F.col("core"), F.lit(1), k))
+    long = words.withColumn("core", core).where(F.length("core") >= BEGINNINGS.start)
+    keys = long.select(F.explode(starts).alias("key"), *[f"c{i}" for i in range(2 * FOLDS)]).groupBy("key").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(2 * FOLDS)])
+    return keys.unionByName(training.select(F.lit("").alias("key"), place).groupBy("key").agg(*by_place))
+
+
+def learned_lexicons(training: DataFrame) -> list[dict[str, int]]:
+    """FOLDS lexicons, each without what its fold has, and one of all rows: beginnings to strengths, twice their log odds."""
+    counted = materialize(_counted(training), "beginnings")
+    total = counted.where("key = ''").toArrow()
+    if not len(total):
+        return [{} for _ in range(FOLDS + 1)]
+    rows_of = np.array([total.column(f"c{i}")[0].as_py() for i in range(2 * FOLDS)], float)
+    clean, toxic = (sum(F.col(f"c{2 * k + label}") for k in range(FOLDS)) for label in (0, 1))
+    odds = F.log((toxic + 0.5) / (rows_of[1::2].sum() + 1)) - F.log((clean + 0.5) / (rows_of[0::2].sum() + 1))
+    # a fold left out may raise a beginning's odds a little
+    wanted = counted.where("key <> ''").where((toxic >= LEAST_ROWS) & (odds >= LEAST_ODDS - 1)).withColumn("weight", odds * toxic)
+    got = wanted.orderBy(F.desc("weight"), "key").limit(LEXICON_ROWS).toArrow()
+    keys = got.column("key").to_pylist()
+    counts = np.stack([got.column(f"c{i}").to_numpy() for i in range(2 * FOLDS)]).astype(float)
+
+    def lexicon(folds: list[int]) -> dict[str, int]:
+        n, t = (sum(counts[2 * k + label] for k in folds) for label in (0, 1))
+        n_all, t_all = (sum(rows_of[2 * k + label] for k in folds) for label in (0, 1))
+        weight = np.log((t + 0.5) / (t_all + 1)) - np.log((n + 0.5) / (n_all + 1))
+        strong = (weight >= LEAST_ODDS) & (t >= max(LEAST_ROWS, LEAST_SHARE * t_all))
+        found = {keys[i]: min(15, int(2 * weight[i])) for i in np.flatnonzero(strong).tolist()}
+        # a beginning adds nothing to a shorter one that is as strong
+        return {x: v for x, v in found.items() if all(found.get(x[:k], 0) < v for k in range(1, len(x)))}
+
+    return [*[lexicon([j for j in range(FOLDS) if j != k]) for k in range(FOLDS)], lexicon(list(range(FOLDS)))]
+
+
+def training_features(training: DataFrame, lexicons: list[dict[str, int]]) -> DataFrame:
+    """(h, doc_id, label, features), each row by the lexicon that its fold did not take part in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = [Codes(x, _VOCABULARY // 4) for x in lexicons]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = np.concatenate([features(t.as_py(), codes[k]) for k, t in zip(part.column(3).to_pylist(), part.column(4))])
+                values = pa.FixedSizeListArray.from_arrays(pa.array(rows, pa.float32()), len(FEATURES)).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(3)], values], names=["h", "doc_id", "label", "features"])
+        del codes
+        release()
+
+    return training.select("h", "doc_id", "label", "fold", "text").mapInArrow(run, "h long, doc_id long, label int, features array<float>")
 
 
 class Trees:
@@ -215,26 +300,14 @@ class Model:
         return np.clip(np.interp(self.trees.raw(x), *self.knots), 0.0, 1.0)
 
 
-def train(rows: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
-    """Fit on feature rows that are labelled and not held out. Without such rows every score is 0.5."""
-    toxic = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"))
-    known = rows.where("not held_out").join(toxic, "doc_id").select("features", "label", F.xxhash64("doc_id").alias("h"), "doc_id")
-    with arrow_batches(rows.sparkSession, BATCH_ROWS):
-        got = known.orderBy("h", "doc_id", "label").limit(most).select("features", "label").toArrow()
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> tuple[Model, dict[str, int]]:
+    """The model and its lexicon, from labelled documents that are not held out. Without such rows every score is 0.5."""
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        training = training_rows(docs, labels, most)
+        lexicons = learned_lexicons(training)
+        got = training_features(training, lexicons).orderBy("h", "doc_id", "label", "features").limit(most).select("features", "label").toArrow()
     x = got.column("features").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if len(got) else np.zeros((0, len(FEATURES)), np.float32)
-    return Model(x, got.column("label").to_numpy().astype(float))
-
-
-def _scored(model: Model, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-                score = model.score(x)
-                columns = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
-
-    return run
+    return Model(x, got.column("label").to_numpy().astype(float)), lexicons[FOLDS]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRAINING_ROWS) -> DataFrame:
@@ -243,24 +316,40 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     Null and empty texts have all-zero features and are scored like others; a null doc_id stays null and has no label; null
     labels are left out, repeated ones count each; extra columns are not read; an empty table gives no rows.
     """
+    model, lexicon = train(docs, labels, most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes(lexicon)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                score = model.score(np.stack([features(x.as_py(), codes) for x in part.column(2)]))
+                columns = [part.column(0), part.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
+        codes.clear()
+        release()
+
+    held_out = (crc32_remainder("doc_id", 3) == 1).alias("held_out")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, text_bytes())
     with arrow_batches(docs.sparkSession, BATCH_ROWS):
-        rows = materialize(feature_rows(docs), "features")
-    return rows.mapInArrow(_scored(train(rows, labels, most), threshold), "doc_id long, held_out boolean, score double, predicted int")
+        return materialize(rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int"), "toxicity")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = TRAINING_ROWS) -> DataFrame:
     """docs, all columns, without the documents whose score reaches the threshold."""
-    model = train(feature_rows(docs), labels, most)
+    model, lexicon = train(docs, labels, most)
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes = Codes(lexicon)
         for texts in batches:
-            x = np.stack([features((t or "").encode()) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)), np.float32)
+            x = np.stack([features((t or "").encode(), codes) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)), np.float32)
             yield pd.Series(model.score(x) < threshold)
-        _codes.clear()
-        pa.default_memory_pool().release_unused()
+        codes.clear()
+        release()
 
-    return docs.where(clean(F.col("text").cast("string")))
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return materialize(docs.where(clean(F.col("text").cast("string"))), "not-toxic")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
