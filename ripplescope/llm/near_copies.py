@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import arrow_batches
-from .common import materialize, row_keyed, text_bytes
+from .common import materialize, release, row_keyed, text_bytes
 from .components import connected_components
 from .simhash import BKTree
 
@@ -133,7 +133,7 @@ def _sketches(keyed: DataFrame, size: int) -> DataFrame:
                 short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
                 columns = [part.column(0), [m[0] for m in marks], [m[1] for m in marks], short]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["__row", "mark", "keys", "shingles"])
-        pa.default_memory_pool().release_unused()
+        release()
 
     return keyed.select("__row", text_bytes()).mapInArrow(run, "__row long, mark binary, keys array<long>, shingles binary")
 
@@ -167,7 +167,7 @@ def _search(dealt: DataFrame, similarity: float) -> DataFrame:
                     last, held = (shard, part), []
                 held.append((shard, node, mark, shingles))
         yield from out()
-        pa.default_memory_pool().release_unused()
+        release()
 
     grouped = dealt.select("shard", "part", "node", "mark", "shingles").repartition("shard", "part").sortWithinPartitions("shard", "part", "node")
     return grouped.mapInArrow(run, "shard long, u long, v long, mark binary, shingles binary")
