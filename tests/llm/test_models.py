@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ripplescope.llm import maxent, neighbours, packing, urls
+from ripplescope.llm.common import row_keyed
 
 from .helpers import awkward, empty, got, lower, random_text, table, words
 
@@ -46,6 +47,53 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
     assert r[0] > 0.95 * r[1]
 
 
+def test_path_probabilities_sum_to_one_and_learn_word_pairs(spark):
+    mass = np.random.default_rng(1).random(maxent.CLASSES << maxent.PATH)
+    model = maxent.PathModel(mass, 14)
+    model.weights = np.random.default_rng(2).standard_normal(1 << 14).astype(np.float32)
+    leaves = np.arange(5 << maxent.PATH, 6 << maxent.PATH, dtype=np.int32)
+    features = [np.full(len(leaves), h, np.uint32) for h in (77, 78, 79)]
+    nodes, taken, cells = model.cells(leaves, features)
+    z = model.logits(nodes, cells)
+    assert abs(np.exp(-np.logaddexp(0, np.where(taken > 0, -z, z)).sum(axis=0)).sum() - 1) < 1e-5
+    rnd = random.Random(5)
+    follows = {f"a{k}b": f"c{k}b" for k in range(40)}  # one class, so pairs are told by the words only
+    rows = [(i, " ".join(w for _ in range(30) for w in rnd.choice(list(follows.items())))) for i in range(200)]
+    plain = maxent.lm_scores(table(spark, rows), path_steps=0).where("held_out").agg(F.sum("score")).first()[0]
+    assert maxent.lm_scores(table(spark, rows), path_steps=4).where("held_out").agg(F.sum("score")).first()[0] > 0.85 * plain
+
+
+def test_scores_do_not_depend_on_chunks_or_splits(spark, monkeypatch, tmp_path):
+    rnd = random.Random(6)
+    rows = [(i, random_text(rnd, rnd.randrange(80))) for i in range(120)]
+    table(spark, rows).repartition(3).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+    whole = got(maxent.lm_scores(stored, steps=2), *columns)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert got(maxent.lm_scores(stored, steps=2), *columns) == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(whole) == 120
+
+
+def test_row_keys_stay_equal_when_splits_change(spark, tmp_path):
+    table(spark, [(i, random_text(random.Random(i), 30)) for i in range(200)]).repartition(4).write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    before = got(row_keyed(stored.select("doc_id")), "__row", "doc_id")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert got(row_keyed(stored.select("doc_id", "text").where("doc_id >= 0")), "__row", "doc_id") == before
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len({r[0] for r in before}) == 200
+    joined = row_keyed(stored.join(stored.select("doc_id").distinct(), "doc_id"))
+    assert joined.select("__row").distinct().count() == 200
+
+
 def test_class_probabilities_sum_to_one_and_training_climbs(spark):
     rng = np.random.default_rng(0)
     cells = rng.integers(0, maxent.CLASSES**4, 3000)
@@ -54,7 +102,7 @@ def test_class_probabilities_sum_to_one_and_training_climbs(spark):
     assert model.likelihood == sorted(model.likelihood)
     table_ = 10 ** model.table().reshape(-1, maxent.CLASSES)
     assert np.allclose(table_.sum(axis=1), 1)
-    h = maxent.histories(np.array([33, 34, 35, 36], np.uint64), np.array([0, 2]))
+    h = maxent.histories(np.array([1, 2, 3, 4], np.uint8), np.array([0, 2]))
     assert h.tolist() == [1, 2 | 1 << 5, 3, 4 | 3 << 5]
 
 
