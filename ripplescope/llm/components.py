@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star contraction (Kiveris et al., 2014).
 
-Each round is two aggregations and two joins on the node; no neighbourhood is gathered into one task, and the driver
-sees only a count and a checksum per round.
+Each round is two aggregations and two joins on the node. The least neighbours are written before they are joined, so both sides
+of a join come straight from a shuffle and adaptive execution can split a hub's edges over tasks; sums are combined before they
+are shuffled. The driver sees only a count and a checksum per round.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from .common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(materialize(least, "least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    down = materialize(edges, "stars").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(materialize(least, "least"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
