@@ -150,12 +150,14 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     repeated = materialize(seeds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
     seen = materialize(seeds.join(repeated, "anchor", "left_semi"), "occurrences")
     kinds = materialize(seen.groupBy("anchor", "block").agg(F.count("*").alias("k"), F.min(F.struct("__row", "first", "n", "off")).alias("one")), "blocks")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1").select("anchor")
+    # written, so that both sides of the join come from a shuffle and a hot anchor's blocks can be split over tasks
+    several = materialize(kinds.groupBy("anchor").agg(F.count("*").alias("d")).where("d > 1").select("anchor"), "several")
     wanted = kinds.join(several, "anchor", "left_semi").select("one.__row", F.struct("anchor", "block", "one.first", "one.n", "one.off").alias("x"))
     wanted = wanted.groupBy("__row").agg(F.collect_list("x").alias("wanted"))
     windows = materialize(_windows(keyed.select("__row", text_bytes()).join(wanted, "__row"), window), "windows")
     shared = windows.groupBy("anchor", "place", "words").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     partly = windows.join(shared, ["anchor", "place", "words"], "left_semi").groupBy("anchor", "block").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("part"))
+    partly = materialize(partly, "partly")
     whole = kinds.where("k > 1").select("anchor", "block", F.expr("shiftleft(1L, one.n) - 1").alias("part"))
     masks = partly.join(whole, ["anchor", "block"], "left_anti").unionByName(whole)
     return seen.join(masks, ["anchor", "block"]).select("__row", "first", F.col("part").alias("mask"))
