@@ -3,7 +3,8 @@
 Base kinds (assign, access, hex) stand for themselves. Weak kinds are parts of a credential that mean nothing alone: an
 account or client identifier (id), a random-looking string (key) and a service address (endpoint). All parts of a text are
 placed on one axis of code points and joined by interval, each with the parts that start within SCOPE code points: an id is
-reported beside a secret, a key beside an identifier, an endpoint beside both. Weak spans that overlap a base span go.
+reported beside a secret, a key beside an identifier, an endpoint beside both. Weak spans that overlap a base span go, and of
+weak spans that overlap the later one, so no characters stand for two parts.
 
 Spark has no function for the places of all matches, but the matches and the text between them alternate: their lengths,
 summed in order by a window over the document's matches, give the places. Only lengths are shuffled, never texts.
@@ -66,13 +67,22 @@ def placed_parts(docs: DataFrame) -> DataFrame:
 
 
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """placed_parts without the weak parts that overlap base spans or lack complementary parts within the scope."""
+    """placed_parts without the weak parts that overlap base spans or earlier weak parts, or lack complementary parts.
+
+    Parts are near if their starts are at most scope code points apart.
+    """
     base, start = F.col("kind") < _BASE, F.col("start")
     order = Window.partitionBy("__row").orderBy("start", "kind", "end")
     earlier = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(F.when(base, start)).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # the same from the other end: a frame that runs on to the last row would be read anew for each row
+    back = Window.partitionBy("__row").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    later = F.min(F.when(base, start)).over(back)
     overlaps = (F.coalesce(earlier, F.lit(-1)) > start) | (F.coalesce(later, F.col("end")) < F.col("end"))
-    free = parts.withColumn("hit", ~base & overlaps).where("not coalesce(hit, false)")
+    free = parts.withColumn("hit", ~base & overlaps).where("not coalesce(hit, false)").drop("hit")
+    # the same characters are one part: a weak part that starts inside another, or with a longer one, goes
+    outer = Window.partitionBy("__row").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ~base & (F.coalesce(F.max(F.when(~base, F.col("end"))).over(outer), F.lit(-1)) > start)
+    free = free.withColumn("inside", inside).where("not coalesce(inside, false)")
     near = Window.partitionBy("__row").orderBy("start").rangeBetween(-scope, scope)
     names = [k[0] for k in KINDS]
     of = lambda *kinds: F.col("kind").isin([names.index(x) for x in kinds])
