@@ -5,11 +5,12 @@ smallest angle. Each of TREES trees gives every vector a string of BITS sign bit
 size keeps the strings of each tree in a sorted array. A query descends each tree to the longest prefixes that stored
 strings share with its own, found on both sides of its place in the array, and all trees ascend together, one bit at a
 time, until they have given VISITS times as many rows as the shard has, repeats included; of the last bit only as many trees
-ascend as are needed. The union of what the trees gave is scored exactly in double precision. A query set meets all shards in blocks; each shard returns its k best, so no vector is out of reach.
+ascend as are needed. The union of what the trees gave is scored exactly in double precision. A shard's forest is built once
+and the queries, QUERY_BLOCK at a time, stream past it; all shards meet all queries and return their k best, so no vector is
+out of reach.
 
 VISITS was set by recall against brute force on vectors without any structure, the hardest case, where the 20 nearest are
-hardly nearer than others: fewer visits serve where vectors cluster. A search makes LEAST_VISITS at least, so a small shard is
-searched nearly whole.
+hardly nearer than others: fewer visits serve where vectors cluster.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, release, row_keyed
 
 TREES = 64
 BITS = 24
-VISITS = 0.9
-LEAST_VISITS = 8_192
+VISITS = 1.2
 SHARD_ROWS = 16_384
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -83,63 +83,79 @@ class PrefixForest:
                 found[order[a:b]] = True
             yield np.flatnonzero(found)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, visits: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query_id, ids, scores) of the k best candidates, without the query's own row."""
-        wanted = max(LEAST_VISITS, int(np.ceil(visits * len(self.ids))))
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, visits: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) of each query's k best candidates, without one row that equals the query in id and vector."""
+        # so many visits that one tree at least gives k rows besides the query's own
+        wanted = max(int(np.ceil(visits * len(self.ids))), len(self.planes) * (k + 1))
         for query_id, query, rows in zip(query_ids.tolist(), queries, self.candidates(queries, wanted)):
+            own = np.flatnonzero(self.ids[rows] == query_id)
+            own = own[(self.vectors[rows[own]] == query).all(axis=1)]
+            rows = np.delete(rows, own[:1])
             score = np.einsum("ij,j->i", self.vectors[rows], query)
             ids = self.ids[rows]
-            other = ids != query_id
-            ids, score = ids[other], score[other]
             if len(ids) > k:
                 edge = np.partition(score, len(score) - k)[len(score) - k]
                 keep = score >= edge
                 ids, score = ids[keep], score[keep]
             best = np.lexsort((ids, -score))[:k]
-            yield query_id, ids[best], score[best]
+            yield ids[best], score[best]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, bits: int = BITS, visits: float = VISITS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by inner product, ties to the smaller vec_id.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do null vec_ids; all others must have
-    one length, else the call fails. Repeated vec_ids are candidates each, but a query's own vec_id never is; queries are
-    taken once per different row. Fewer candidates than k give fewer rows; an empty table gives none; extra columns are not read.
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do null vec_ids; a query meets the
+    vectors of its own length only. Each row is a candidate and each row of queries a query, whatever ids repeat: a query's own
+    row, one of equal vec_id and vector, is left out, its twins are not. Fewer candidates than k give fewer rows; an empty table
+    gives none; extra columns are not read.
     """
-    stored = usable(vectors).withColumn("__part", F.lit(0))
-    facts = stored.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding")), F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)"))).first()
-    n, least, dims, square = facts
-    spark = vectors.sparkSession
-    ddl = "query_id long, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if least != dims:
-        raise ValueError(f"vectors of {least} and of {dims} components")
-    norm = float(np.sqrt(square))
-    asked = usable(queries).distinct()
-    asked = materialize(asked, "queries")
-    shards = -(-n // SHARD_ROWS)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    # every shard meets every block of queries: a key (shard, block) holds SHARD_ROWS vectors and QUERY_BLOCK queries or so
-    shard, block = F.pmod(F.xxhash64("vec_id"), F.lit(shards)), F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    left = stored.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "embedding")
-    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), block.cast("int").alias("block"), "vec_id", "embedding")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        values = table.column("embedding").combine_chunks()
-        return table.column("vec_id").to_numpy(), values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-
-    def search(one: pa.Table, two: pa.Table) -> pa.Table:
-        if not len(one) or not len(two):
-            return schema.empty_table()
-        forest = PrefixForest(*unpack(one), norm, trees, bits)
-        found = list(forest.search(*unpack(two), k, visits))
-        columns = [np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
-
-    best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, ddl)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    schema = pa.schema([("q", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    stored = usable(vectors)
+    square = F.max(F.expr("aggregate(embedding, 0D, (a, x) -> a + x * x)")).alias("square")
+    sizes = {r.dims: (r.n, r.square) for r in stored.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), square).collect()}
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims = F.size("embedding")
+    shards = F.lit(1).cast("long")
+    for d, (n, _) in sizes.items() if len(sizes) < 2 else ((d, x) for d, x in sizes.items() if x[0] > SHARD_ROWS):
+        shards = F.when(dims == d, F.lit(-(-n // SHARD_ROWS)).cast("long")).otherwise(shards)
+    left = stored.select(dims.alias("dims"), F.pmod(F.xxhash64("vec_id"), shards).alias("shard"), F.lit(None).cast("long").alias("q"), "vec_id", "embedding")
+    asked = row_keyed(usable(queries), "q")
+    right = asked.select(dims.alias("dims"), F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"), "q", "vec_id", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by shard, a shard's vectors (q null) before the queries."""
+        key, held, forest = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, shard, ids = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            asks = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(shard) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if (d[a], shard[a]) != key:
+                    key, held, forest = (d[a], shard[a]), [], None
+                rows = batch.column(4).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                if not asks[a]:
+                    held.append((ids[a:b], rows))
+                    continue
+                if forest is None and held:
+                    forest = PrefixForest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), float(np.sqrt(sizes[int(d[a])][1])), trees, bits)
+                    held = []
+                if forest is None:  # no vector of this length lies in the shard
+                    continue
+                asking = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64)
+                for at in range(0, b - a, QUERY_BLOCK):
+                    part = slice(at, min(at + QUERY_BLOCK, b - a))
+                    found = list(forest.search(ids[a:b][part], rows[part], k, visits))
+                    n = [len(f[0]) for f in found]
+                    columns = [np.repeat(asking[part], n), np.repeat(ids[a:b][part], n), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+        release()
+
+    dealt = left.unionByName(right).repartition("dims", "shard").sortWithinPartitions("dims", "shard", F.asc_nulls_first("q"))
+    best = dealt.mapInArrow(run, "q long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

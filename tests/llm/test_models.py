@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -169,8 +168,26 @@ def test_neighbours_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert got(neighbours.nearest(few, few.where("vec_id = 0"), 20), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 1.0), (0, 2, 2, 0.5), (0, 3, 2, 0.5)]
     assert neighbours.nearest(few.where("false"), few, 3).count() == 0
-    with pytest.raises(ValueError):
-        neighbours.nearest(few.union(spark.createDataFrame([(7, [1.0])], few.schema)), few)
+    mixed = few.union(spark.createDataFrame([(7, [2.0]), (8, [1.0])], few.schema))
+    assert got(neighbours.nearest(mixed, mixed.where("vec_id in (0, 7, 9)"), 1), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 1.0), (7, 1, 8, 2.0)]
+    twins = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.9, 0.1]), (0, [0.9, 0.1]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    found = got(neighbours.nearest(twins, twins.where("vec_id = 0"), 20), "query_id", "rank", "vec_id", "score")
+    assert [r[:3] for r in found if r[3] == 0.5] and len(found) == 9 and [r[2] for r in found].count(0) == 6
+
+
+def test_neighbours_over_several_shards_reach_the_recall(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 700)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 16)
+    x = vectors(2500)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    hits, by = 0, {}
+    for r in neighbours.nearest(stored, stored.where("vec_id % 50 = 0"), 20).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, found in by.items():
+        exact = x @ x[q]
+        hits += len(found & {*[i for i in np.lexsort((np.arange(len(x)), -exact)) if i != q][:20]})
+    assert len(by) == 50 and all(len(v) == 20 for v in by.values()) and hits / 1000 >= 0.9
 
 
 def test_forest_gives_the_longest_prefixes():

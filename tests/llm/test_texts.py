@@ -53,6 +53,12 @@ def test_query_digests(spark, tmp_path):
     assert rows[2].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[2].spans == ""
 
 
+def test_characters_of_one_weak_part_do_not_complement_themselves(spark):
+    texts = ["login=Zm9vYmFyYmF6cXV4MTIz", "login=Zm9vYmFyYmF6cXV4MTIz and Ym9vYmFyYmF6cXV4MTI5", "user=ann https://x.org/Ym9vYmFyYmF6cXV4MTI5"]
+    spans = [[(s.kind, s.start, s.end) for s in r.spans] for r in secrets.secret_spans(table(spark, [*enumerate(texts)])).orderBy("doc_id").collect()]
+    assert spans == [[], [("id", 0, 26), ("key", 31, 51)], []]
+
+
 def luhn(number):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(number))) % 10 == 0
 
