@@ -31,6 +31,22 @@ def test_closure_handles_cycles_and_loops(spark):
     assert rows(graph.closure(edges, seeds)) == [("s", "a"), ("s", "b"), ("s", "c"), ("t", "c")]
 
 
+def test_search_in_one_job_equals_search_in_rounds(spark, monkeypatch):
+    rnd = random.Random(3)
+    edges = spark.createDataFrame([(t, rnd.randrange(40), rnd.randrange(40)) for t in ("b", "h") for _ in range(70)] + [("b", None, 1), (None, 1, 2)], "tree string, src long, dst long")
+    seeds = spark.createDataFrame([(t, f"s{i}", n) for t in ("b", "h") for i in range(9) for n in (i, i + 30)] + [("b", "s0", None), ("x", None, 3), ("h", "s1", 99)], "tree string, seed string, node long")
+    for hops in (None, 0, 3):
+        monkeypatch.setattr(graph, "LOCAL_EDGES", 10_000)
+        one = rows(graph.bfs(edges, seeds, hops, ["tree"]))
+        monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
+        assert one == rows(graph.bfs(edges, seeds, hops, ["tree"])) and len(one) > 30
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 10_000)
+    assert rows(graph.bfs(edges.where("false"), seeds, None, ["tree"])) == sorted(rows(seeds.selectExpr("tree", "seed", "node", "0 AS hops")), key=lambda r: tuple((v is None, str(v)) for v in r))
+    assert rows(graph.bfs(edges, seeds.where("false"), None, ["tree"])) == []
+    struct = seeds.selectExpr("tree", "struct(seed, 1 AS k) AS seed", "node")
+    assert rows(graph.bfs(edges, struct, None, ["tree"]).selectExpr("tree", "seed.seed", "node", "hops")) == rows(graph.bfs(edges, seeds, None, ["tree"]))
+
+
 def test_blast_radius_leaves_out_touched(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "b"), ("b", "c")], "src string, dst string")
     assert rows(graph.blast_radius(edges, spark.createDataFrame([("b",), ("c",)], "node string"))) == [("a",)]
