@@ -76,7 +76,7 @@ def module_delta(touched: DataFrame, modules: DataFrame, symbols: DataFrame, dir
     side = lambda df, t: df.where(F.col("tree") == t).drop("tree")
     wanted = touched.select("module")
     edges = direct.select("tree", "src", "dst")
-    far = indirect_deps(edges, max_hops, ["tree"])
+    far = indirect_deps(edges, max_hops, ["tree"], only=wanted.withColumnRenamed("module", "src"))
     b, h = [side(modules, t).select("module", *[F.col(c).alias(f"{c}_{t}") for c in ("file_count", "boundary", "total_complexity", "confidence", "type_only", "reasons")], F.lit(True).alias(f"in_{t}")) for t in ("base", "head")]
     out = wanted.join(b, "module", "left").join(h, "module", "left")
     for frame, prefix in ((edges, "direct"), (far, "indirect")):

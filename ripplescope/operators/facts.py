@@ -51,7 +51,7 @@ def module_facts(model: ModuleModel, functions: DataFrame, calls: DataFrame, cal
     within = (lambda df: df.join(touched, "module", "left_semi")) if touched is not None else (lambda df: df)
     key = ["tree", "module", "name"]
     declared = within(model.declared)
-    files = model.module_of.where("not is_test").select("tree", "file", "module")
+    files = within(model.module_of.where("not is_test").select("tree", "file", "module"))
     fns = materialize(functions.join(files, ["tree", "file"]).select("tree", "module", "fn_id", "file", "start", "end", (F.col("own") + F.col("inline")).alias("count")), "functions")
     of = fns.select("tree", "module", "fn_id")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import confidence
@@ -33,13 +34,6 @@ def resolve_reference(reference: str, exports: DataFrame, limit: int = 40) -> tu
     return (files[0], []) if len(files) == 1 else (None, files)
 
 
-def inside_edge(kind: str, home: str = "home", place: str = "place") -> Column:
-    """Whether a place (file, module, package) is inside a home's edge; module and package fall back to the file."""
-    same = lambda c: F.col(f"{place}.{c}") == F.col(f"{home}.{c}")
-    at = lambda c: F.when(F.col(f"{home}.{c}").isNull(), same("file")).otherwise(F.coalesce(same(c), F.lit(False)))
-    return {"repo": F.lit(True), "file": same("file"), "module": at("module"), "package": at("package")}[kind]
-
-
 @dataclass
 class Walk:
     nodes: DataFrame  # symbol, fn_id, depth, and the function's columns
@@ -54,26 +48,32 @@ def walk(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: D
     A call to a function outside the edge is a crossing. Nodes beyond max_nodes, in the order of depth and fn_id, are cut.
     A limit that is None does not hold.
     """
+    edges, start = _zoned(seeds, functions, calls, kind)
+    found = bfs(edges, start, max_depth, ["zone"])
+    return _cut(found, edges, functions, calls, call_stops, max_nodes, max_depth)
+
+
+def _zoned(seeds: DataFrame, functions: DataFrame, calls: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """edges(zone, src, dst) of the calls that stay inside a seed's edge, and start(zone, seed, node).
+
+    The edge rule depends on a symbol's home only through its place, so homes of one place share a zone and its edges. Module and
+    package fall back to the file.
+    """
     place = functions.select("fn_id", F.struct("file", "module", "package").alias("place"))
     homes = seeds.join(place, "fn_id").groupBy("symbol").agg(F.min("place").alias("home"))
     ends = calls.select("from_fn", "to_fn").distinct().join(place.select(F.col("fn_id").alias("to_fn"), "place"), "to_fn")
-    # the edge rule depends on the symbol's home only through its place, so homes of one place share their edges
-    spots = homes.select("home").distinct()
     column = {"repo": None, "file": "file", "module": "module", "package": "package"}[kind]
-    if column is None:
-        edges = ends.select(F.lit("").alias("zone"), F.col("from_fn").alias("src"), F.col("to_fn").alias("dst"))
-        zoned = homes.select("symbol", F.lit("").alias("zone"))
-    else:
-        zone = lambda c: F.coalesce(F.col(f"{c}.{column}"), F.col(f"{c}.file"))
-        edges = ends.select(zone("place").alias("zone"), F.col("from_fn").alias("src"), F.col("to_fn").alias("dst"))
-        edges = edges.join(spots.select(zone("home").alias("zone")).distinct(), "zone", "left_semi")
-        zoned = homes.select("symbol", zone("home").alias("zone"))
-    start = seeds.join(zoned, "symbol").select("zone", F.col("symbol").alias("seed"), F.col("fn_id").alias("node"))
-    found = bfs(edges, start, max_depth, ["zone"]).select("zone", F.col("seed").alias("symbol"), F.col("node").alias("fn_id"), F.col("hops").alias("depth"))
-    return _cut(found, functions, calls, call_stops, max_nodes, max_depth, edges if column else None)
+    # the kind is part of the zone, so walks of several kinds can be one
+    of = lambda c: F.lit("repo") if column is None else F.concat(F.lit(f"{kind}:"), F.coalesce(F.col(f"{c}.{column}"), F.concat(F.lit("/"), F.col(f"{c}.file"))))
+    zoned = homes.select("symbol", of("home").alias("zone"))
+    edges = ends.select(of("place").alias("zone"), F.col("from_fn").alias("src"), F.col("to_fn").alias("dst"))
+    edges = edges.join(zoned.select("zone").distinct(), "zone", "left_semi")
+    return edges, seeds.join(zoned, "symbol").select("zone", F.col("symbol").alias("seed"), F.col("fn_id").alias("node"))
 
 
-def _cut(found: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_nodes: int | None, max_depth: int | None, edges: DataFrame | None) -> Walk:
+def _cut(found: DataFrame, edges: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_nodes: int | None, max_depth: int | None) -> Walk:
+    """The walk of found(zone, seed, node, hops), which bfs gave for the edges."""
+    found = found.select("zone", F.col("seed").alias("symbol"), F.col("node").alias("fn_id"), F.col("hops").alias("depth"))
     none = F.lit(False)
     if max_nodes is None:
         kept, left_out = found, found.where(none)
@@ -82,18 +82,16 @@ def _cut(found: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: D
         kept, left_out = ranked.where(F.col("n") <= max_nodes).drop("n"), ranked.where(F.col("n") > max_nodes)
     nodes = materialize(kept.join(functions, "fn_id"), "walk")
     out = nodes.select("zone", "symbol", F.col("fn_id").alias("from_fn")).join(calls, "from_fn")
-    if edges is None:  # nothing lies outside the repository
-        crossed = out.where(F.lit(False))
-    else:
-        inside = edges.select("zone", F.col("src").alias("from_fn"), F.col("dst").alias("to_fn")).distinct()
-        crossed = out.join(inside, ["zone", "from_fn", "to_fn"], "left_anti")
+    inside = edges.select("zone", F.col("src").alias("from_fn"), F.col("dst").alias("to_fn")).distinct()
+    crossed = out.join(inside, ["zone", "from_fn", "to_fn"], "left_anti")
     target = functions.select(F.col("fn_id").alias("to_fn"), "name", "file", "module", "package")
     crossings = crossed.join(target, "to_fn").groupBy("symbol", F.lit("call").alias("kind"), "name", "file", "module", "package").agg(F.count("*").alias("count"))
     crossings = crossings.withColumn("type_only", F.lit(False))
     stops = nodes.select("symbol", "fn_id").join(call_stops.select(F.col("from_fn").alias("fn_id"), "reason"), "fn_id")
-    deep = found.where(none if max_depth is None else F.col("depth") >= max_depth)
-    over = left_out.select("symbol").unionByName(deep.select("symbol")).distinct()
-    return Walk(nodes, crossings, stops, over)
+    # the depth limit cuts a walk only where a call inside the edge leads on to a function that was not met
+    last = found.where(none if max_depth is None else F.col("depth") >= max_depth).select("zone", "symbol", F.col("fn_id").alias("from_fn"))
+    beyond = last.join(inside, ["zone", "from_fn"]).select("zone", "symbol", F.col("to_fn").alias("fn_id")).join(found, ["zone", "symbol", "fn_id"], "left_anti")
+    return Walk(nodes, crossings, stops, left_out.select("symbol").unionByName(beyond.select("symbol")).distinct())
 
 
 def symbol_facts(w: Walk, matches: DataFrame, lines: DataFrame) -> DataFrame:
@@ -130,16 +128,15 @@ def compare_edges(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call
 
     truncated: a limit was met, so the other figures are least values.
     """
-    rows = None
-    for kind in EDGE_KINDS:
-        w = walk(seeds, functions, calls, call_stops, kind, max_depth, max_nodes)
-        one = w.nodes.groupBy("symbol").agg(F.count("*").alias("reach"), F.sum(F.col("own") + F.col("inline")).alias("transitive"))
-        one = one.join(w.stops.groupBy("symbol").agg(F.count("*").alias("stops")), "symbol", "left")
-        one = one.join(w.crossings.groupBy("symbol").agg(F.count("*").alias("crossings"), F.count_distinct("module").alias("modules")), "symbol", "left").na.fill(0)
-        one = one.join(w.truncated.withColumn("truncated", F.lit(True)), "symbol", "left").na.fill(False)
-        one = one.select("symbol", F.lit(kind).alias("edge"), "reach", "transitive", "stops", "crossings", "modules", "truncated")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    edges, starts = zip(*[_zoned(seeds, functions, calls, kind) for kind in EDGE_KINDS])
+    named = [start.withColumn("seed", F.struct(F.col("seed").alias("symbol"), F.lit(kind).alias("edge"))) for kind, start in zip(EDGE_KINDS, starts)]
+    every = materialize(reduce(DataFrame.unionByName, edges), "zones")
+    w = _cut(bfs(every, reduce(DataFrame.unionByName, named), max_depth, ["zone"]), every, functions, calls, call_stops, max_nodes, max_depth)
+    out = w.nodes.groupBy("symbol").agg(F.count("*").alias("reach"), F.sum(F.col("own") + F.col("inline")).alias("transitive"))
+    out = out.join(w.stops.groupBy("symbol").agg(F.count("*").alias("stops")), "symbol", "left")
+    out = out.join(w.crossings.groupBy("symbol").agg(F.count("*").alias("crossings"), F.count_distinct("module").alias("modules")), "symbol", "left").na.fill(0)
+    out = out.join(w.truncated.withColumn("truncated", F.lit(True)), "symbol", "left").na.fill(False)
+    return out.select("symbol.symbol", "symbol.edge", "reach", "transitive", "stops", "crossings", "modules", "truncated")
 
 
 def importers(imports: DataFrame, origins: DataFrame, module_of: DataFrame, file: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,13 +11,6 @@ from pyspark.sql import functions as F
 from ..plans.report import Report
 
 SYMBOLS, LISTED, DEPENDENTS = 6, 8, 20  # fixed values: rows that the text view shows
-_WIDTHS = (46, 7, 7, 9, 8, 8, 6)
-
-
-def pad(text: object, width: int) -> str:
-    s = str(text)
-    return s[: width - 2] + " " if len(s) >= width else s.ljust(width)
-
 
 def percent(v: float | None) -> str:
     return "unknown" if v is None else f"{int(v * 100 + 0.5)}%"
@@ -55,50 +49,72 @@ def report_json(report: Report, refs: dict[str, str] | None = None) -> str:
     )
 
 
-def _number(row: dict, name: str) -> str:
-    head = row[f"{name}_head"]
-    return "unknown" if head is None else f"{head} {signed(row[f'{name}_delta'])}"
+# The text view is a document of Markdown sections. Every table is a list of columns, each a heading and how a row fills it.
+
+Column = tuple[str, Callable[[dict], str]]
+
+
+def _trend(name: str) -> Callable[[dict], str]:
+    """Head value and difference of a field that has both."""
+    return lambda row: "unknown" if row[f"{name}_head"] is None else f"{row[f'{name}_head']} ({signed(row[f'{name}_delta']).strip()})"
+
+
+def _effects(row: dict) -> str:
+    new = {*row["effects_added"]}
+    return ", ".join(f"**{e}**" if e in new else e for e in row["effects_head"])
 
 
-def _some(items: list[str], limit: int = LISTED) -> str:
-    return ", ".join(items[:limit]) + (", ..." if len(items) > limit else "")
+MODULE_COLUMNS: tuple[Column, ...] = (
+    ("module", lambda m: m["module"]),
+    ("status", lambda m: m["status"] + (", types only" if m["type_only"] else "")),
+    *[(title, _trend(name)) for title, name in (("files", "file_count"), ("surface", "boundary"), ("complexity", "total_complexity"), ("direct", "direct"), ("indirect", "indirect"))],
+    ("confidence", lambda m: f"{m['confidence_head']:.2f}"),
+)
+SYMBOL_COLUMNS: tuple[Column, ...] = (
+    ("symbol", lambda s: s["name"]),
+    ("kind", lambda s: "type" if s.get("type_only") else "value"),
+    ("status", lambda s: s["status"]),
+    ("complexity", lambda s: ("at least " if s.get("stops") else "") + _trend("complexity")(s)),
+    ("used by", _trend("used_by")),
+    ("covered", lambda s: percent(s["coverage_head"])),
+    ("effects, new ones bold", _effects),
+)
+#: Lists of a module: heading and field.
+MODULE_LISTS = (("new direct dependencies", "direct_added"), ("dropped direct dependencies", "direct_removed"), ("new indirect dependencies", "indirect_added"), ("exports without an importer", "unused_exports"))
 
 
-def module_detail(m: dict, symbols: int = SYMBOLS) -> list[str]:
-    lines = ["", f"### {m['module']}  [{m['status']}]" + ("  type-only module" if m["type_only"] else "")]
-    if m.get("reasons"):
-        lines.append(f"  confidence {m['confidence_head']:.2f}, the walk stopped: " + ", ".join(f"{r['reason']}={r['count']}" for r in m["reasons"]))
-        lines.append("  a complexity with stops is a floor")
-    changed = [s for s in m["symbols"] if s["status"] != "same"]
-    if changed:
-        lines.append(f"  boundary symbols that changed: {len(changed)}")
-        lines.append("  " + "".join(pad(t, w) for t, w in (("symbol", 40), ("state", 9), ("cplx", 14), ("used by", 10), ("cover", 12))) + "effects")
-    for s in changed[:symbols]:
-        cells = (s["name"] + (" (type)" if s.get("type_only") else ""), s["status"], _number(s, "complexity") + (" floor" if s.get("stops") else ""), _number(s, "used_by"), percent(s["coverage_head"]))
-        added = f"  (+{','.join(s['effects_added'])})" if s["effects_added"] else ""
-        lines.append("  " + "".join(pad(c, w) for c, w in zip(cells, (40, 9, 14, 10, 12))) + (",".join(s["effects_head"]) or "-") + added)
-    if len(changed) > symbols:
-        lines.append(f"  ... and {len(changed) - symbols} more")
-    for title, items, counted in (("direct dependencies added", m["direct_added"], False), ("direct dependencies removed", m["direct_removed"], False), ("indirect dependencies added", m["indirect_added"], True), ("declared but not imported", m["unused_exports"], True)):
-        if items:
-            lines.append(f"  {title} ({len(items)}): {_some(items)}" if counted else f"  {title}: {', '.join(items)}")
-    return lines
+def markdown_table(columns: Sequence[Column], rows: Sequence[dict], limit: int) -> list[str]:
+    body = [[fill(r).replace("|", "\\|") or "-" for _, fill in columns] for r in rows[:limit]]
+    lines = ["| " + " | ".join(cells) + " |" for cells in ([title for title, _ in columns], ["---"] * len(columns), *body)]
+    return [*lines, *_rest(rows, limit)]
+
+
+def markdown_list(items: Sequence[str], limit: int) -> list[str]:
+    return [*[f"- {x}" for x in items[:limit]], *_rest(items, limit)]
+
+
+def _rest(items: Sequence, limit: int) -> list[str]:
+    return ["", f"{len(items) - limit} more are in the JSON document."] if len(items) > limit else []
+
+
+def module_detail(m: dict, symbols: int = SYMBOLS) -> dict[str, list[str]]:
+    """Sections of one module by heading; empty ones are left out."""
+    moved = [s for s in m["symbols"] if s["status"] != "same"]
+    parts = {f"{len(moved)} symbols differ": markdown_table(SYMBOL_COLUMNS, moved, symbols) if moved else []}
+    parts["where walks stopped, so that complexity is a least value"] = markdown_list([f"{r['reason']}: {r['count']}" for r in m.get("reasons") or []], LISTED)
+    return {k: v for k, v in (parts | {f"{title}: {len(m[field])}": markdown_list(m[field], LISTED) for title, field in MODULE_LISTS}).items() if v}
 
 
 def report_text(document: str, symbols: int = SYMBOLS) -> str:
     """The text view of report_json's document."""
     r = json.loads(document)
-    lines = [f"{side}  {r[side]}" for side in ("base", "head") if side in r] + [""]
-    if r["renamed"]:
-        lines += ["renamed modules, counted below as added and removed", *[f"  {x['from_module']}  ->  {x['to_module']}" for x in r["renamed"]], ""]
-    if not r["modules"]:
-        return "\n".join([*lines, "No touched file belongs to a module; see the module patterns."])
-    lines += [f"touched modules: {len(r['modules'])}", "", "".join(pad(t, w) for t, w in zip(("module", "files", "bound", "cplx", "direct", "indir", "conf"), _WIDTHS)), "-" * sum(_WIDTHS)]
-    for m in r["modules"]:
-        cells = (m["module"], *[_number(m, c) for c in ("file_count", "boundary", "total_complexity", "direct", "indirect")], f"{m['confidence_head']:.2f}")
-        lines.append("".join(pad(c, w) for c, w in zip(cells, _WIDTHS)))
+    sections = {"# Change impact": [f"- {side}: {r[side]}" for side in ("base", "head") if side in r]}
+    sections["## Renamed modules, which count as removed and added"] = [f"- {x['from_module']} is now {x['to_module']}" for x in r["renamed"]]
+    sections[f"## Touched modules: {len(r['modules'])}"] = markdown_table(MODULE_COLUMNS, r["modules"], len(r["modules"])) if r["modules"] else ["No changed file lies in a module of the configuration."]
     for m in r["modules"]:
-        lines += module_detail(m, symbols)
+        detail = module_detail(m, symbols)
+        sections |= {f"## {m['module']}": [""]} if detail else {}
+        sections |= {f"### {m['module']}: {title}": lines for title, lines in detail.items()}
     near = r["dependentsOfTouched"]
-    lines += ["", f"direct dependents of the touched modules: {len(near)}", *[f"  {d}" for d in near[:DEPENDENTS]]]
-    return "\n".join(lines + ([f"  ... and {len(near) - DEPENDENTS} more"] if len(near) > DEPENDENTS else []))
+    sections[f"## Direct dependents of touched modules: {len(near)}"] = markdown_list(near, DEPENDENTS)
+    return "\n".join(line for title, lines in sections.items() if lines or title.startswith("# ") for line in (title, "", *lines, "")).rstrip() + "\n"

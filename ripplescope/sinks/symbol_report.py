@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from ..operators.rollups import HOTSPOTS, hotspots, per_file, roll_up
 from ..operators.symbol import Walk, symbol_facts
-from .module_report import pad, percent
+from .module_report import percent
 
 TREE_LINES, GRAPH_CROSSINGS, ROWS = 80, 60, 20  # fixed values
 
 
+def pad(text: object, width: int) -> str:
+    return f"{text!s:<{width}}"
+
+
 def symbol_document(symbol, w: Walk, matches, lines, calls, boundary: dict | None = None, edges=None) -> dict:
     """Everything about one symbol of a walk; the walk's size is bounded by its limits."""
     mine = lambda df: df.where(F.col("symbol") == symbol)

@@ -100,7 +100,8 @@ def test_sinks(report, tmp_path):
     document = report_json(report, {"base": "b", "head": "h"})
     assert json.loads(document)["modules"][0]["symbols"][0]["name"] == "run"
     view = report_text(document)
-    assert "touched modules: 3" in view and "direct dependencies added: m/c" in view and "run" in view
+    assert "## Touched modules: 3" in view and "### m/a: new direct dependencies: 1\n\n- m/c" in view and "| run | value | changed | at least 11 (+5) |" in view
+    assert "## Touched modules: 0" in report_text(json.dumps({"renamed": [], "modules": [], "dependentsOfTouched": []}))
     write_json(report.modules, report.symbols, str(tmp_path / "out"))
     assert module_models(report.model, report.facts).count() == 4
 
@@ -156,3 +157,6 @@ def test_edge_comparison_follows_chains_to_their_end(spark, tmp_path):
     stops = spark.createDataFrame([], "from_fn long, reason string")
     limited = symbol.compare_edges(seeds, functions, calls, stops)
     assert {(r.symbol, r.reach, r.truncated) for r in limited.collect()} == {(0, 13, True), (10, 6, False)}
+    # a walk that ends at the limit by itself is whole
+    whole = symbol.compare_edges(seeds.where("symbol = 10"), functions, calls, stops, max_depth=5)
+    assert {(r.reach, r.truncated) for r in whole.collect()} == {(6, False)}
