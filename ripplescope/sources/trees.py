@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,18 @@ def kept_files(files: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str, tree: str, config: Config = Config()) -> DataFrame:
-    """files(tree, file, is_js, text) of a checkout; content is read only for the files that stay."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    marker = root.rstrip("/") + "/"
-    named = raw.select(F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("path"), "content").select(F.split_part("path", F.lit(marker), F.lit(2)).alias("file"), "content")
-    kept = kept_files(named, config)
-    return kept.select(F.lit(tree).alias("tree"), "file", F.col("file").rlike(r"\.(js|jsx|mjs|cjs)$").alias("is_js"), F.decode("content", "UTF-8").alias("text"))
+    """files(tree, file, is_js, text) of a checkout; content is read only for the files that stay.
+
+    The driver lists the checkout's paths, as Spark does for any scan, and the scan is given those that stay.
+    """
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+    inner = F.expr(f"substr(plain, {len(re.sub('^[A-Za-z][A-Za-z0-9+.-]*:/+', '/', root).rstrip('/')) + 2})").alias("file")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    kept = [r.path for r in kept_files(listed.select("path", plain.alias("plain")).select("path", inner), config).select("path").collect()]
+    if not kept:
+        return spark.createDataFrame([], "tree string, file string, is_js boolean, text string")
+    read = spark.read.format("binaryFile").load(kept).select(plain.alias("plain"), "content").select(inner, "content")
+    return read.select(F.lit(tree).alias("tree"), "file", F.col("file").rlike(r"\.(js|jsx|mjs|cjs)$").alias("is_js"), F.decode("content", "UTF-8").alias("text"))
 
 
 def workspace_packages(manifests: DataFrame, tasks: DataFrame | None = None) -> DataFrame:

@@ -19,6 +19,19 @@ def test_read_tree(spark, tmp_path):
     assert rows(trees.read_tree(spark, str(tmp_path), "head")) == [("head", "p/src/a.ts", False, "export const x = 1"), ("head", "p/src/b.js", True, "é")]
 
 
+def test_read_tree_below_a_directory_of_the_same_name(spark, tmp_path):
+    root = tmp_path / "repo"
+    (root / "src" / "repo").mkdir(parents=True)
+    (root / "node_modules" / "x").mkdir(parents=True)
+    (root / "src" / "repo" / "x.ts").write_text("a")
+    (root / "node_modules" / "x" / "y.ts").write_text("b")
+    assert rows(trees.read_tree(spark, f"{root}/", "head")) == [("head", "src/repo/x.ts", False, "a")]
+    assert trees.read_tree(spark, str(root / "node_modules" / "x"), "head").count() == 1
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.txt").write_text("")
+    assert trees.read_tree(spark, str(tmp_path / "none"), "head").count() == 0
+
+
 def test_workspace_precedence(spark):
     files = [("packages/b/package.json", '{"name": "x"}'), ("apps/a/package.json", '{"name": "x"}'), ("packages/b/sub/package.json", '{"name": "y"}'), ("packages/b/node_modules/package.json", '{"name": "z"}'), ("packages/c/package.json", "{broken"), ("other/package.json", '{"name": "o"}'), ("ee/apps/q/package.json", '{"name": "t"}')]
     manifests = spark.createDataFrame([("h", *f) for f in files], "tree string, file string, text string")
