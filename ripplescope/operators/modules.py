@@ -30,11 +30,21 @@ def resolve_imports(edges: DataFrame, files: DataFrame, workspace: DataFrame) ->
     bare = bare.select("tree", "from_file", "spec", nested.alias("bases"))
     based = relative.unionByName(bare).select("tree", "from_file", "spec", F.posexplode("bases").alias("b", "base"))
     tried = based.where(~F.col("base").startswith("..")).select("tree", "from_file", "spec", "b", F.posexplode(paths.source_candidates(F.col("base"))).alias("c", "file"))
-    hits = tried.join(files.select("tree", "file"), ["tree", "file"])
-    best = hits.groupBy("tree", "from_file", "spec").agg(F.min_by("file", F.struct("b", "c")).alias("to_file"))
+    best = first_existing(tried, files, ["tree", "from_file", "spec"], F.struct("b", "c"))
     return edges.drop("to_file").join(best, ["tree", "from_file", "spec"], "left")
 
 
+def first_existing(tried: DataFrame, files: DataFrame, keys: list[str], rank: Column) -> DataFrame:
+    """tried(tree, keys.., file, ..) to (keys.., to_file): the candidate of least rank that files(tree, file) holds."""
+    hits = tried.join(files.select("tree", "file"), ["tree", "file"])
+    return hits.groupBy(*keys).agg(F.min_by("file", rank).alias("to_file"))
+
+
+def count_dependencies(uses: DataFrame, keys: list[str]) -> DataFrame:
+    """uses(keys.., type_only), a row per use, to (keys.., count, type_only): type_only if all uses are."""
+    return uses.groupBy(*keys).agg(F.count("*").alias("count"), F.bool_and("type_only").alias("type_only"))
+
+
 def split_specifiers(specs: DataFrame, workspace: DataFrame) -> DataFrame:
     """specs(tree, spec, ..) with pkg, dir, rest for the longest package that is the specifier or its leading path.
 
@@ -130,7 +140,7 @@ def build_model(files: DataFrame, imports: DataFrame, reexports: DataFrame, expo
     star_importers = used.where("name = '*' and by is not null").select("tree", "module", "by").distinct()
     uses = used.where("name <> '*'").groupBy("tree", "module", F.col("key").alias("name"), "by").agg(F.min("origin_file").alias("seen_in"))
     used_by = uses.select("tree", "module", "name", "by")
-    direct_deps = used.where("by is not null").groupBy("tree", F.col("by").alias("src"), F.col("module").alias("dst")).agg(F.count("*").alias("count"), F.bool_and("type_only").alias("type_only"))
+    direct_deps = count_dependencies(used.where("by is not null").select("tree", F.col("by").alias("src"), F.col("module").alias("dst"), "type_only"), ["tree", "src", "dst"])
 
     # names used beside the surface: bypassed where there is an entry, the surface itself where there is none
     types = exports.join(at, ["tree", "file"]).join(module_of.where("not is_test").select("tree", "file"), ["tree", "file"], "left_semi")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import paths
 from ..functions.text import confidence, one_line, pad, percent, signed
-from ..operators import delta, graph, modules, ranges, rollups, symbol
+from ..operators import delta, facts, graph, modules, ranges, rollups, symbol
 from ..sources import coverage, trees
 from .bindings import call_edges, order_ranges, ship_points, table, transitions, url_paths, with_views
 
@@ -36,7 +37,8 @@ def query(sql: str | None, *views: str, recursive: bool = False):
 @query("SELECT src, dst, count(*) AS n, bool_and(value < 50) AS type_only FROM transitions GROUP BY src, dst", "transitions")
 def direct_deps(spark, sf_dir):
     """Edges of all consecutive events: how often, and whether all are of low value."""
-    return transitions(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("n"), F.bool_and(F.col("value") < 50).alias("type_only"))
+    uses = transitions(spark, sf_dir).select("src", "dst", (F.col("value") < 50).alias("type_only"))
+    return modules.count_dependencies(uses, ["src", "dst"]).withColumnRenamed("count", "n")
 
 
 _REACH = "r(src, node, h) AS (SELECT DISTINCT src, dst, 1 FROM call_edges UNION SELECT r.src, e.dst, h + 1 FROM r JOIN call_edges e ON e.src = r.node WHERE h < {n})"
@@ -210,7 +212,8 @@ def resolve_candidates(spark, sf_dir):
     base = F.regexp_replace(F.regexp_replace("file", "/$", ""), r"\.html$", "")
     bases = files.select(base.alias("base")).distinct()
     tried = bases.select("base", F.posexplode(F.array(F.concat("base", F.lit(".html")), "base", F.concat("base", F.lit("/")))).alias("k", "file"))
-    return tried.join(files, "file").groupBy("base").agg(F.min_by("file", "k").alias("to_file"))
+    head = F.lit("head").alias("tree")
+    return modules.first_existing(tried.select(head, "base", "k", "file"), files.select(head, "file"), ["base"], F.col("k"))
 
 
 @query(
@@ -274,20 +277,31 @@ _CATALOG = {"mail": "[a-z]@[a-z]", "number": "[0-9]{3}-[0-9]{4}", "licence": "Li
     + ") c(category, pattern) ON regexp_matches(text, pattern) GROUP BY doc_id"
 )
 def effect_catalog(spark, sf_dir):
-    """Categories whose pattern a document's text matches; the catalog is part of the projection, not a join."""
-    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(c)) for c, p in sorted(_CATALOG.items())]))
-    return table(spark, sf_dir, "documents").select("doc_id", hits.alias("effects")).where(F.size("effects") > 0)
+    """Categories with a pattern that some line of a document matches; the catalog is part of the projection, not a join."""
+    files = table(spark, sf_dir, "documents").select(F.lit("head").alias("tree"), F.col("doc_id").alias("file"), "text")
+    matches = trees.effect_matches(files, Config(effects={k: (v,) for k, v in _CATALOG.items()}))
+    return matches.groupBy(F.col("file").alias("doc_id")).agg(F.array_sort(F.collect_set("category")).alias("effects"))
 
 
 # Surfaces
 
+def _head() -> Column:
+    return F.lit("head").alias("tree")
+
+
+def _surface(names: DataFrame, declared: DataFrame, used_by: DataFrame) -> DataFrame:
+    """boundary_status without entries, bypassed names and providers."""
+    none = names.where("false")
+    return symbol.boundary_status(names, declared.withColumn("file", F.lit(None).cast("string")), none, used_by, none.select("tree", "module", F.lit("").alias("entry")), none)
+
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '1995-06-01')")
 def unused_exports(spark, sf_dir):
     """Parts that no early order holds."""
     early = table(spark, sf_dir, "orders").where("o_orderdate < timestamp'1995-06-01'").select(F.col("o_orderkey").alias("l_orderkey"))
-    used = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(early, "l_orderkey", "left_semi")
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(used, "p_partkey", "left_anti")
+    part = table(spark, sf_dir, "part").select(_head(), F.col("p_brand").alias("module"), F.col("p_partkey").alias("name"))
+    sold = table(spark, sf_dir, "lineitem").join(early, "l_orderkey", "left_semi").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").cast("string").alias("by")).distinct()
+    return _surface(part, part.withColumn("type_only", F.lit(False)), sold.join(part, "name")).where("unused").select(F.col("name").alias("p_partkey"), F.col("module").alias("p_brand"))
 
 
 @query(
@@ -298,13 +312,13 @@ def unused_exports(spark, sf_dir):
 )
 def surface_status(spark, sf_dir):
     """Declared parts of a brand against those that suppliers sell in bulk: used, bypassed or unused."""
-    part = table(spark, sf_dir, "part")
-    declared = part.where("p_type in ('ECONOMY', 'STANDARD')").select(F.col("p_brand").alias("module"), F.col("p_partkey").alias("name"), (F.col("p_size") < 10).alias("type_only"), F.lit(True).alias("d"))
-    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("name"), "l_suppkey").distinct()
-    used = sold.groupBy("name").agg(F.count("*").cast("int").alias("users")).join(part.select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("module")), "name")
-    both = declared.join(used, ["module", "name"], "full_outer")
-    status = F.when(F.col("users").isNull(), "unused").when(F.col("d").isNull(), "bypassed").otherwise("used")
-    return both.select("module", "name", F.coalesce("type_only", F.lit(False)).alias("type_only"), status.alias("status"), F.coalesce("users", F.lit(0)).alias("users"))
+    part = table(spark, sf_dir, "part").select(_head(), F.col("p_brand").alias("module"), F.col("p_partkey").alias("name"), "p_type", (F.col("p_size") < 10).alias("type_only"))
+    declared = part.where("p_type in ('ECONOMY', 'STANDARD')").drop("p_type")
+    sold = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("name"), F.col("l_suppkey").cast("string").alias("by")).distinct()
+    used = sold.join(part.select("tree", "module", "name"), "name")
+    names = declared.select("tree", "module", "name").unionByName(used.select("tree", "module", "name")).distinct()
+    status = F.when(F.size("used_by") == 0, "unused").when(~F.col("on_surface"), "bypassed").otherwise("used")
+    return _surface(names, declared, used).select("module", "name", "type_only", status.alias("status"), F.size("used_by").alias("users"))
 
 
 _CROSSINGS = """x AS (SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'call' ELSE 'reference' END AS kind, c_mktsegment AS name, o_custkey AS file, n_name AS module, o_totalprice < 200000 AS type_only, o_orderkey AS seq
@@ -438,6 +452,23 @@ def edge_comparison(spark, sf_dir):
     return symbol.compare_edges(seeds, functions, edges, stops, None, None).select("symbol", "edge", "reach", "transitive", "crossings", "modules")
 
 
+_NESTED = """o AS (SELECT o_orderkey AS fn_id, CASE WHEN lag(o_custkey) OVER w = o_custkey THEN lag(o_orderkey) OVER w END AS parent, o_orderkey % 3 = 0 AS anonymous FROM orders WINDOW w AS (ORDER BY o_custkey, o_orderkey)),
+    own AS (SELECT fn_id, parent, anonymous, CAST(1 + count(l_orderkey) AS INTEGER) AS own FROM o LEFT JOIN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) ON l_orderkey = fn_id GROUP BY 1, 2, 3),
+    r(seed, node) AS (SELECT fn_id, fn_id FROM o UNION SELECT r.seed, o.parent FROM r JOIN o ON o.fn_id = r.node WHERE o.anonymous AND o.parent IS NOT NULL)"""
+
+
+@query(
+    "WITH RECURSIVE " + _NESTED + """, i AS (SELECT node, sum(own) AS n FROM r JOIN own ON fn_id = seed WHERE seed <> node GROUP BY node), t AS (SELECT seed, node FROM r JOIN o ON fn_id = node WHERE NOT (anonymous AND parent IS NOT NULL))
+    SELECT own.fn_id, own, CAST(coalesce(n, 0) AS INTEGER) AS inline, t.node AS unit_id FROM own LEFT JOIN i ON i.node = own.fn_id LEFT JOIN t ON t.seed = own.fn_id"""
+)
+def function_counts(spark, sf_dir):
+    """Orders as functions, each inside the customer's order before it: own weight, that of anonymous ones inside, and who counts it."""
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fn_id"), F.lag("o_orderkey").over(before).alias("parent"), (F.col("o_orderkey") % 3 == 0).alias("anonymous"))
+    nodes = table(spark, sf_dir, "lineitem").select(_head(), F.col("l_orderkey").alias("owner"), (F.col("l_quantity") > 25).alias("decision"))
+    return facts.function_counts(nodes, orders.select(_head(), "fn_id", "parent", "anonymous")).drop("tree")
+
+
 # Call statistics
 
 _CALLS = """k AS (SELECT c_mktsegment AS file, o_orderpriority AS pr, o_orderstatus AS st, o_totalprice AS p, c_acctbal AS b, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey),
