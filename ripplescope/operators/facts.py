@@ -19,7 +19,7 @@ def function_counts(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     """Own and inline complexity of functions.
 
     nodes(tree, owner, decision): decision points by the function whose body holds them; functions(tree, fn_id, parent,
-    anonymous). own is 1 and the function's own decisions; inline sums own and inline of the anonymous functions directly
+    anonymous). own is 1 and the function's own decisions; inline sums the decisions of the anonymous functions directly
     inside, and so on down. Returns (tree, fn_id, own, inline, unit_id): unit_id is the function that counts it, the nearest
     at or above that is not an anonymous one inside another.
     """
@@ -28,7 +28,7 @@ def function_counts(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     up = counted.where("anonymous and parent is not null").select("tree", F.col("fn_id").alias("src"), F.col("parent").alias("dst"))
     hosts = closure(up, counted.select("tree", F.col("fn_id").alias("seed"), F.col("fn_id").alias("node")), ["tree"])
     inner = hosts.where("seed <> node").join(counted.select("tree", F.col("fn_id").alias("seed"), "own"), ["tree", "seed"])
-    inline = inner.groupBy("tree", F.col("node").alias("fn_id")).agg(F.sum("own").cast("int").alias("inline"))
+    inline = inner.groupBy("tree", F.col("node").alias("fn_id")).agg(F.sum(F.col("own") - 1).cast("int").alias("inline"))
     climbing = up.select("tree", F.col("src").alias("node"))
     tops = hosts.join(climbing, ["tree", "node"], "left_anti").select("tree", F.col("seed").alias("fn_id"), F.col("node").alias("unit_id"))
     return counted.join(inline, ["tree", "fn_id"], "left").join(tops, ["tree", "fn_id"], "left").select("tree", "fn_id", "own", F.coalesce("inline", F.lit(0)).alias("inline"), F.coalesce("unit_id", "fn_id").alias("unit_id"))

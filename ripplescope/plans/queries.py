@@ -458,11 +458,11 @@ _NESTED = """o AS (SELECT o_orderkey AS fn_id, CASE WHEN lag(o_custkey) OVER w =
 
 
 @query(
-    "WITH RECURSIVE " + _NESTED + """, i AS (SELECT node, sum(own) AS n FROM r JOIN own ON fn_id = seed WHERE seed <> node GROUP BY node), t AS (SELECT seed, node FROM r JOIN o ON fn_id = node WHERE NOT (anonymous AND parent IS NOT NULL))
+    "WITH RECURSIVE " + _NESTED + """, i AS (SELECT node, sum(own - 1) AS n FROM r JOIN own ON fn_id = seed WHERE seed <> node GROUP BY node), t AS (SELECT seed, node FROM r JOIN o ON fn_id = node WHERE NOT (anonymous AND parent IS NOT NULL))
     SELECT own.fn_id, own, CAST(coalesce(n, 0) AS INTEGER) AS inline, t.node AS unit_id FROM own LEFT JOIN i ON i.node = own.fn_id LEFT JOIN t ON t.seed = own.fn_id"""
 )
 def function_counts(spark, sf_dir):
-    """Orders as functions, each inside the customer's order before it: own weight, that of anonymous ones inside, and who counts it."""
+    """Orders as functions, each inside the customer's order before it: own weight, the decisions of anonymous ones inside, and who counts it."""
     before = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fn_id"), F.lag("o_orderkey").over(before).alias("parent"), (F.col("o_orderkey") % 3 == 0).alias("anonymous"))
     nodes = table(spark, sf_dir, "lineitem").select(_head(), F.col("l_orderkey").alias("owner"), (F.col("l_quantity") > 25).alias("decision"))

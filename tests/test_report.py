@@ -130,7 +130,7 @@ def test_symbol_mode(spark):
 def test_function_counts(spark):
     functions = spark.createDataFrame([("t", "f", None, False), ("t", "cb", "f", True), ("t", "cb2", "cb", True), ("t", "g", "cb", False)], "tree string, fn_id string, parent string, anonymous boolean")
     nodes = spark.createDataFrame([("t", "f", True), ("t", "cb", True), ("t", "cb2", False), ("t", "g", True)], "tree string, owner string, decision boolean")
-    assert rows(facts.function_counts(nodes, functions)) == [("t", "cb", 2, 1, "f"), ("t", "cb2", 1, 0, "f"), ("t", "f", 2, 3, "f"), ("t", "g", 2, 0, "g")]
+    assert rows(facts.function_counts(nodes, functions)) == [("t", "cb", 2, 0, "f"), ("t", "cb2", 1, 0, "f"), ("t", "f", 2, 1, "f"), ("t", "g", 2, 0, "g")]
 
 
 def test_resolution_order(spark):
