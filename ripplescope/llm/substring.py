@@ -146,7 +146,7 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
 
 def repeated_windows(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(__row, text) to (__row, first, mask): bit i of mask is set if the window of words that starts at first + i repeats."""
-    seeds = _seeds(keyed, window, anchor)
+    seeds = materialize(_seeds(keyed, window, anchor), "seeds")
     repeated = materialize(seeds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
     seen = materialize(seeds.join(repeated, "anchor", "left_semi"), "occurrences")
     kinds = materialize(seen.groupBy("anchor", "block").agg(F.count("*").alias("k"), F.min(F.struct("__row", "first", "n", "off")).alias("one")), "blocks")
