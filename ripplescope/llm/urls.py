@@ -2,7 +2,8 @@
 
 The regression learns from a small labelled table of urls, LABELLED_URLS at most. Character 3- to 5-grams of the host (with
 its ends marked) and of the path are hashed into 2**BITS weights; a url's score is the mean weight of its n-grams through the
-logistic function. Hashes are rolling polynomials over a whole batch's bytes, so no n-gram is ever a Python object.
+logistic function. Hashes are rolling polynomials over a whole batch's characters, so no n-gram is ever a Python
+object.
 """
 
 from __future__ import annotations
@@ -50,10 +51,10 @@ def match_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
 
 
 def gram_indexes(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of a batch, and the row it belongs to."""
-    texts = [f"^{h}$".encode() + b"\x00" + p.encode() + b"\x01" for h, p in zip(hosts, paths)]
-    raw = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    """Bucket of every n-gram of a batch, and the row it belongs to. Characters are code points; no n-gram spans host and path."""
+    texts = [x for h, p in zip(hosts, paths) for x in (f"^{h}$", f"/{p}" if p else "")]
+    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    part = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     indexes, rows = [], []
     for n in GRAMS:
         if len(raw) < n:
@@ -62,9 +63,9 @@ def gram_indexes(hosts: Sequence[str], paths: Sequence[str]) -> tuple[np.ndarray
         for k in range(n):
             code = code * np.uint64(0x100000001B3) + raw[k : k + len(code)] + np.uint64(1)
         code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        inside = row[: len(code)] == row[n - 1 :]
+        inside = part[: len(code)] == part[n - 1 :]
         indexes.append((code >> np.uint64(64 - BITS)).astype(np.int64)[inside])
-        rows.append(row[: len(code)][inside])
+        rows.append(part[: len(code)][inside] // 2)
     return (np.concatenate(indexes), np.concatenate(rows)) if indexes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
