@@ -71,14 +71,15 @@ def _core(word: bytes) -> str:
 def _judge(word: bytes) -> int:
     """Hash of the lower-case word without punctuation at its ends, with flags in the low bits; 0 for punctuation alone."""
     text = word.decode("utf-8", "replace")
-    core = text if text.isalpha() else _core(word)
+    letters = text.isalpha()
+    core = text if letters else _core(word)
     if not core:
         return 0
     lower = core.lower()
     flags = _LISTED.get(lower, 0)
     if lower != core:
         flags |= _CAP * (core[0].isupper() and not core[1:].isupper()) | _NAMED * (core in NAMES)
-    if core is not text:
+    if not letters:
         if core[0].isdecimal() and _NUMBER.fullmatch(lower):
             flags |= _NUM
         if _STOP.search(text, text.rfind(core) + len(core)):
