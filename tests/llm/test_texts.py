@@ -1,6 +1,7 @@
 """Secrets, surrogates, toxicity, decontamination."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -146,6 +147,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in found.items() if not r.predicted} and kept.columns == table(spark, rows).columns
 
 
+def test_toxicity_learns_beginnings_of_words_that_no_list_holds(spark):
+    rnd = random.Random(11)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 6 == 0
+        words_ = [f"{rnd.choice('bdgklm')}{rnd.choice('aeiou')}{rnd.choice('nrst')}{rnd.randrange(300)}" for _ in range(40)]
+        if bad:
+            for _ in range(3):
+                words_[rnd.randrange(40)] = rnd.choice(["Réeux", "achlich"]) + rnd.choice(["ment", "er,", "an", "isch."]) + "x" * rnd.randrange(3)
+        rows.append((i, " ".join(words_)))
+        labels.append((i, 1, int(bad)))
+    found = toxicity.toxicity_scores(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in found if r.held_out]
+    assert len(found) == 900 and len(held) > 200
+    assert sum(r.predicted for r in held if r.doc_id % 6 == 0) / sum(r.doc_id % 6 == 0 for r in held) > 0.95
+    assert not sum(r.predicted for r in held if r.doc_id % 6)
+
+
 def test_toxicity_of_awkward_inputs(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     scored = toxicity.toxicity_scores(table(spark, awkward()), none)
@@ -223,3 +242,56 @@ def test_cards_of_fifteen_and_fourteen_digits_in_groups(spark):
     m = re.fullmatch(r"amex (\d{4} \d{6} \d{5}), (\d{4}-\d{6}-\d{5}) and diners (\d{4} \d{6} \d{4})", out[1])
     amex, same, diners = (re.sub(r"\D", "", x) for x in m.groups())
     assert amex == same == out[2] != "378282246310005" and diners != "30569309025904" and luhn(amex) and luhn(diners)
+
+
+def brute_found(item, text, window=8, share=0.5, run=13, literals=4):
+    """Whether an item of lower-case words and numbers is found in such a text."""
+    a, b = item.split(), text.split()
+    width = min(window, len(a))
+    if not width:
+        return False
+    number = [x.isdigit() for x in a]
+    typed = [sum(not n for n in number[j : j + width]) >= min(literals, width) for j in range(len(a) - width + 1)]
+    kind = lambda ws: ["#" if w.isdigit() else w for w in ws]
+    alignments: dict = {}
+    for i in range(len(b) - width + 1):
+        for j, t in enumerate(typed):
+            x, y = a[j : j + width], b[i : i + width]
+            if (kind(x) == kind(y)) if t else x == y:
+                alignments.setdefault(i - j, set()).add(j)
+    matched, longest = set(), 0
+    for shift, places in alignments.items():
+        slots = {p: (a[p], b[p + shift]) for j in places for p in range(j, j + width) if number[p]}
+        bad = {p for p, (x, y) in slots.items() if x != y and (len({v for u, v in slots.values() if u == x}) > 1 or len({u for u, v in slots.values() if v == y}) > 1)}
+        kept = {j for j in places if not bad & {*range(j, j + width)}}
+        matched |= kept
+        covered = {p for j in kept for p in range(j, j + width)}
+        for p in covered:
+            n = 0
+            while p + n in covered:
+                n += 1
+            longest = max(longest, n)
+    some = [j for j, t in enumerate(typed) if t]
+    return len(matched) / len(typed) >= share or len(matched & {*some}) / max(1, len(some)) >= share or longest >= run
+
+
+def test_contamination_against_brute_force(spark):
+    rnd = random.Random(12)
+    word = lambda: rnd.choice(["alpha", "beta", "gamma", "delta", "seven", "omega", "kappa"][:6]) + rnd.choice("xyz")
+    items = [" ".join(word() if rnd.random() < 0.75 else str(rnd.randrange(20)) for _ in range(rnd.choice([3, 8, 9, 14, 30, 60]))) for _ in range(14)]
+    items += ["", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", items[0]]
+    texts = []
+    for _ in range(160):
+        words_ = rnd.choice(items).split()
+        a, b = sorted((rnd.randrange(len(words_) + 1), rnd.randrange(len(words_) + 1)))
+        words_ = words_[a:b] if rnd.random() < 0.5 else words_
+        again = {str(k): str(rnd.randrange(20)) for k in range(20)} if rnd.random() < 0.5 else {}
+        words_ = [again.get(w, w) if rnd.random() < 0.95 else word() for w in words_]
+        texts.append(" ".join([*[word() for _ in range(rnd.randrange(12))], *words_, *[word() for _ in range(rnd.randrange(12))]]))
+    benchmark = spark.createDataFrame([*enumerate(items), (99, None)], "item_id long, text string")
+    rows = [*enumerate(texts), (None, items[2]), (900, None), (901, "")]
+    want = sorted(((i, k) for i, t in rows if t for k, item in enumerate(items) if brute_found(item, t)), key=lambda r: (r[0] is None, str(r[0]), r[1]))
+    found = sorted(((r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, rows), benchmark).collect()), key=lambda r: (r[0] is None, str(r[0]), r[1]))
+    assert found == want and 40 < len(want) < 1500
+    kept = decontaminate.drop_contaminated(table(spark, rows), benchmark)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t in rows if i not in {k for k, _ in want}) and kept.columns == table(spark, rows).columns
