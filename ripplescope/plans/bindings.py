@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schemas import TABLES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,6 +47,29 @@ def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), r"[?#].*$", "").alias("file"))
 
 
+def impact_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every user is a file of one function in one of 25 modules; call edges before the 16th are the base tree, all are the head."""
+    trees = F.explode(F.array(F.lit("base"), F.lit("head"))).alias("tree")
+    in_base = F.lit("2024-01-16").cast("timestamp")
+    file = lambda user: F.concat(F.lit("m/"), (F.col(user) % 25).cast("string"), F.lit("/u"), F.col(user).cast("string"), F.lit(".ts"))
+    text = lambda value: F.lit(value).cast("string")
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg((F.count("*") % 7 + 1).cast("int").alias("own")).select("*", trees, file("user_id").alias("file"), F.col("user_id").cast("string").alias("fn_id"))
+    edges = call_edges(spark, sf_dir).select("src", "dst", "ts", trees).where((F.col("tree") == "head") | (F.col("ts") < in_base)).select("tree", "src", "dst").distinct()
+    named = F.concat(F.lit("f"), F.col("fn_id")).alias("name")
+    wanted = [F.concat(F.lit("f"), F.col("dst").cast("string")).alias("name"), F.concat(F.lit("../"), (F.col("dst") % 25).cast("string"), F.lit("/u"), F.col("dst").cast("string")).alias("spec")]
+    out = {k: spark.createDataFrame([], v) for k, v in TABLES.items()}
+    out |= {
+        "files": users.select("tree", "file", F.lit(False).alias("is_js"), F.lit(False).alias("is_barrel"), text("function").alias("text")),
+        "imports": edges.select("tree", file("src").alias("from_file"), F.col("dst").cast("int").alias("stmt_no"), *wanted, F.lit(False).alias("type_only"), F.lit(1).alias("line"), text(None).alias("to_file")),
+        "exports": users.select("tree", "file", named, F.lit(1).alias("line"), F.lit(False).alias("type_only")),
+        "functions": users.select("tree", "fn_id", "file", F.lit(1).alias("start"), F.lit(9).alias("end"), named, text("function").alias("kind"), "own", F.lit(0).alias("inline"), F.lit(True).alias("exported"), F.lit(False).alias("is_async"), F.col("fn_id").alias("unit_id")),
+        "calls": edges.select("tree", F.col("src").cast("string").alias("from_fn"), F.col("dst").cast("int").alias("call_no"), F.col("dst").cast("string").alias("to_fn"), F.lit(1).alias("line"), text("").alias("text"), text(None).alias("via")),
+        "decl_seeds": users.select("tree", "file", named, "fn_id"),
+        "change_set": users.where("tree = 'head' and user_id < 20").select(F.col("file").alias("path"), text("M").alias("status"), text(None).alias("renamed_from")),
+    }
+    return out
+
+
 #: The same views in SQL, in front of each oracle that names them.
 SQL = {
     "transitions": """transitions AS (SELECT * FROM (SELECT lag(user_id) OVER w AS src, user_id AS dst, lag(event_type) OVER w AS src_type, event_type AS dst_type, ts, value, event_id

@@ -12,7 +12,8 @@ from ..functions import paths
 from ..functions.text import confidence, one_line, pad, percent, signed
 from ..operators import delta, facts, graph, modules, ranges, rollups, symbol
 from ..sources import coverage, trees
-from .bindings import call_edges, order_ranges, ship_points, table, transitions, url_paths, with_views
+from .bindings import call_edges, impact_tables, order_ranges, ship_points, table, transitions, url_paths, with_views
+from .report import build_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,6 +470,32 @@ def function_counts(spark, sf_dir):
     return facts.function_counts(nodes, orders.select(_head(), "fn_id", "parent", "anonymous")).drop("tree")
 
 
+# The whole report
+
+
+@query(
+    """+k AS (SELECT user_id, 'm/' || CAST(user_id % 25 AS VARCHAR) AS m, CAST(1 + count(*) % 7 AS INTEGER) AS own FROM events GROUP BY user_id),
+    e AS (SELECT DISTINCT t.tree, c.src, c.dst FROM call_edges c JOIN (VALUES ('base'), ('head')) t(tree) ON t.tree = 'head' OR c.ts < TIMESTAMP '2024-01-16'),
+    x AS (SELECT e.tree, a.m AS user_m, b.m AS module, e.dst FROM e JOIN k a ON a.user_id = e.src JOIN k b ON b.user_id = e.dst WHERE a.m <> b.m),
+    r(tree, m, node) AS (SELECT tree, module, dst FROM x UNION SELECT r.tree, r.m, e.dst FROM r JOIN e ON e.tree = r.tree AND e.src = r.node JOIN k ON k.user_id = e.dst WHERE k.m = r.m),
+    b AS (SELECT tree, module, count(DISTINCT dst) AS boundary FROM x GROUP BY 1, 2),
+    d AS (SELECT tree, user_m AS module, count(DISTINCT module) AS direct FROM x GROUP BY 1, 2),
+    s AS (SELECT z.tree, z.m AS module, CAST(sum(own) AS BIGINT) AS total FROM (SELECT DISTINCT * FROM r) z JOIN k ON user_id = node GROUP BY 1, 2),
+    n AS (SELECT m AS module, count(*) AS file_count FROM k GROUP BY 1)
+    SELECT n.module, 'changed' AS status, file_count AS file_count_head, coalesce(b1.boundary, 0) AS boundary_base, coalesce(b2.boundary, 0) AS boundary_head, coalesce(s1.total, 0) AS complexity_base, coalesce(s2.total, 0) AS complexity_head,
+        coalesce(d1.direct, 0) AS direct_base, coalesce(d2.direct, 0) AS direct_head
+    FROM n LEFT JOIN b b1 ON b1.module = n.module AND b1.tree = 'base' LEFT JOIN b b2 ON b2.module = n.module AND b2.tree = 'head' LEFT JOIN s s1 ON s1.module = n.module AND s1.tree = 'base'
+        LEFT JOIN s s2 ON s2.module = n.module AND s2.tree = 'head' LEFT JOIN d d1 ON d1.module = n.module AND d1.tree = 'base' LEFT JOIN d d2 ON d2.module = n.module AND d2.tree = 'head'
+    WHERE n.module IN (SELECT m FROM k WHERE user_id < 20)""",
+    *_EDGES, recursive=True,
+)
+def impact_report(spark, sf_dir):
+    """The two-snapshot report with users as files of 25 modules, calls of half the month as base, and the first users' files changed."""
+    modules_ = build_report(impact_tables(spark, sf_dir), Config(modules=("m/*",))).modules
+    total = [F.col(f"total_complexity_{t}").alias(f"complexity_{t}") for t in ("base", "head")]
+    return modules_.select("module", "status", "file_count_head", "boundary_base", "boundary_head", *total, "direct_base", "direct_head")
+
+
 # Call statistics
 
 _CALLS = """k AS (SELECT c_mktsegment AS file, o_orderpriority AS pr, o_orderstatus AS st, o_totalprice AS p, c_acctbal AS b, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey),
