@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges of one output file or so: small rounds are written by a few tasks, large ones by more.
+FILE_EDGES = 10_000
+
+
+def _large_star(edges: DataFrame, files: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(materialize(least, "least"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = materialize(least.coalesce(files), "least")
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = materialize(edges, "stars").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(materialize(least, "least"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, files: int) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "least")
+    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -38,7 +43,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        files = before[0] // FILE_EDGES + 2
+        # not narrowed before it is written: a hub's edges are split over the tasks of this join
+        stars = materialize(_large_star(edges, files), "stars")
+        edges = materialize(_small_star(stars, files).coalesce(files), "edges")
         now = state(edges)
         if now == before:
             break
