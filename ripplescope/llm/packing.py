@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, release
 
 CAPACITY = 2048
 CLASSES = 16
@@ -74,9 +74,9 @@ class Encoder:
         # in a byte-level vocabulary each character of an entry stands for one byte; added tokens stand for themselves
         self.bytes_of = np.array([len(special[i].encode()) if i in special else len(self.tokenizer.id_to_token(i)) for i in range(size)], np.int64)
         self.marks = {x: self._alone([x])[0] for x in _MARKS}
-        # ASCII letters after a space are one piece, so runs of such parts can do without the pattern; the vocabulary spells a space U+0120
-        self.letters = Tokenizer.from_file(path)
-        self.letters.pre_tokenizer = CharDelimiterSplit(" ")
+        # ASCII letters after a space are one piece, so runs of such parts can do without the pattern; the vocabulary spells a
+        # space U+0120. One tokenizer serves both: its vocabulary takes most of a worker's memory
+        self.pattern, self.at_spaces = self.tokenizer.pre_tokenizer, CharDelimiterSplit(" ")
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,8 +86,13 @@ class Encoder:
         joined = [" " + " ".join(g) for g in groups]
         if letters:
             joined = [x.replace(" ", " \u0120")[1:] for x in joined]
+            self.tokenizer.pre_tokenizer = self.at_spaces
         out: dict[str, bytes] = {}
-        for group, run in zip(groups, (self.letters if letters else self.tokenizer).encode_batch_fast(joined, add_special_tokens=False)):
+        try:
+            runs = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        finally:
+            self.tokenizer.pre_tokenizer = self.pattern
+        for group, run in zip(groups, runs):
             ids = np.array(run.ids, "<u4")
             lengths = np.fromiter(map(len, map(str.encode, group)), np.int64, len(group)) + 1
             cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths)) + 4).tolist()
@@ -234,8 +239,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                     rows += (got := packer.add(doc, ids + end))
                     held += sum(len(x[2]) for x in got)
@@ -245,6 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         rows += packer.end()
         if rows:
             yield batch_of(rows)
+        release()
 
     ddl = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, ddl)
