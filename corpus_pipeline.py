@@ -31,7 +31,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     # workers that have served the stages before have less memory left for known words
-    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=100_000))
+    return packing.digest(packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=50_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
