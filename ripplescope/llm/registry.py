@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, maxent, middles, neighbours, packing, pii, secrets, simhash, substring, toxicity, urls
+from . import decontaminate, maxent, middles, neighbours, packing, pii, ranked, secrets, simhash, substring, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_substring": substring.op7_substring,
     "op8_simhash": simhash.op8_simhash,
     "op12_middle": middles.op12_middle,
+    "op13_ranked": ranked.op13_ranked,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_substring": substring.ORACLE, "op12_middle": middles.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_substring": substring.ORACLE, "op12_middle": middles.ORACLE, "op13_ranked": ranked.ORACLE}

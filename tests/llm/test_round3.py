@@ -1,12 +1,16 @@
 """Fill-in-the-middle, sketches and ranked search against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
-from ripplescope.llm import middles
+import pytest
 
-from .helpers import awkward, empty, got, table
+from ripplescope.llm import middles, ranked
+
+from .helpers import awkward, empty, got, lower, table
 
 UNIT = re.compile("[A-Za-z]+|[^A-Za-z]", re.S)
 MARKED = [(20, "a <P> b"), (21, "<S>"), (22, "x<M>"), (23, "<P"), (24, "a<"), (25, ">S>"), (26, "漢字漢字 ünïcödé 𝒳𝒴 end"), (27, "éé12\x00\n\n  zz"), (28, "ab́c﻿" * 40), (29, "<S<P<M" * 30)]
@@ -47,3 +51,43 @@ def test_runs_are_searched_across_slices(spark, monkeypatch):
     monkeypatch.setattr(middles, "_SLICE_BYTES", 50)
     made = middles.fill_in_middle(table(spark, rows).coalesce(1))
     assert got(made, "doc_id", "n", "form", "output") == sorted(((w[0], w[1], w[2], w[5]) for w in (brute_middle(*r) for r in rows)), key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def item_table(spark, rows):
+    return spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "item_id long, text string, doc_id int, score int, rank int").coalesce(2)
+
+
+def brute_ranks(items, docs, top, once=True):
+    held = [(i, Counter(TERM.findall(lower(t)))) for i, t in docs]
+    held = [(i, c) for i, c in held if c]
+    n_docs, n_terms = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    out = []
+    for item, text in items:
+        wanted, scored = Counter(TERM.findall(lower(text))), []
+        for i, c in held:
+            m = 100 - 50 + (50 * sum(c.values()) * n_docs) // n_terms
+            score = sum((1 if once else k) * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 20 * m)) for t, k in wanted.items() if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i or 0))
+        out += [(item, r, None if gone else i, -s) for r, (s, gone, i) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+@pytest.mark.parametrize("top, once, entries, block", [(50, True, 1_000_000, 16_384), (3, False, 40, 4), (1, True, 1, 1)])
+def test_ranks_equal_brute_force(spark, monkeypatch, top, once, entries, block):
+    monkeypatch.setattr(ranked, "BLOCK_DOCS", block)
+    rnd = random.Random(3)
+    docs = [*awkward(), *MARKED, *((i, " ".join(f"W{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 40)))) for i in range(100, 160)), *((200 + i, "w1 w2, w3-w3") for i in range(6))]
+    items = [(1, "W1 w2 w3 w3"), (2, None), (3, ""), (4, "nowhere"), (5, "ünï 漢字 ONE two words"), (5, "w7 w7 w8"), (5, "w7 w7 w8"), (None, "x w4"), (6, " ".join(t or "" for _, t in docs[:3]))]
+    made = ranked.rank_documents(item_table(spark, items), table(spark, docs), top, once, entries)
+    assert got(made, "item_id", "rank", "doc_id", "score") == brute_ranks(items, docs, top, once)
+
+
+def test_ranks_of_nothing(spark):
+    some, items = table(spark, awkward()), item_table(spark, [(1, "one")])
+    for left, right in ((items.where("false"), some), (items, empty(spark)), (items, some.where("text is null")), (item_table(spark, [(1, "zzz")]), some)):
+        assert ranked.rank_documents(left, right).count() == 0
