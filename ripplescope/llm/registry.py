@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, maxent, middles, neighbours, packing, pii, ranked, secrets, simhash, substring, toxicity, urls
+from . import decontaminate, maxent, middles, neighbours, packing, pii, ranked, secrets, simhash, sketches, substring, toxicity, urls
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_substring": substring.op7_substring,
     "op8_simhash": simhash.op8_simhash,
+    "op11_sketches": sketches.op11_sketches,
     "op12_middle": middles.op12_middle,
     "op13_ranked": ranked.op13_ranked,
 }
