@@ -33,6 +33,7 @@ _BEFORE_VALUE = frozenset("return typeof case in of delete void do else instance
 _CONTROL = frozenset("if for while switch catch with function await return typeof super new".split())
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _STARTS = frozenset("const let var if for while do switch return throw try function class export import interface type enum break continue".split())
+_DECLARES = frozenset("const let var private public protected readonly static".split())
 #: After these a bracket or an object belongs to a type that goes on.
 _TYPE_GOES_ON = frozenset([":", "|", "&", "<", ",", "=>", "is", "keyof", "extends", "readonly", "(", "["])
 
@@ -48,6 +49,8 @@ def tokenize(text: str) -> list[Token]:
     """Tokens without space and comments; what a template literal computes stands in round brackets."""
     out: list[Token] = []
     depth: list[int] = []  # open braces inside each template that is being read
+    heads: list[bool] = []  # of each open round bracket: whether it belongs to if, for, while or with
+    headed = False  # the last closed one did
     at = 0
     while at < len(text):
         c = text[at]
@@ -66,13 +69,17 @@ def tokenize(text: str) -> list[Token]:
                 at = end + 2
             continue
         last = out[-1] if out else None
-        value = last is not None and (last.kind in ("number", "string") or last.kind == "word" and last.text not in _BEFORE_VALUE or last.text in _CLOSE or last.text == "<")
+        value = last is not None and (last.kind in ("number", "string") or last.kind == "word" and last.text not in _BEFORE_VALUE or last.text in _CLOSE and not (last.text == ")" and headed) or last.text == "<")
         if c == "/" and not value and not text.startswith(("//", "/*"), at) and (m := _PATTERN.match(text, at)):
             out.append(Token("string", m[0], at))
             at = m.end()
             continue
         m = _TOKEN.match(text, at)
         if m.lastgroup != "space":
+            if c == "(":
+                heads.append(last is not None and last.kind == "word" and last.text in ("if", "for", "while", "with", "await"))
+            elif c == ")":
+                headed = bool(heads) and heads.pop()
             out.append(Token(m.lastgroup, m[0], at))
             if depth and c in "{}":
                 depth[-1] += 1 if c == "{" else -1
@@ -80,6 +87,21 @@ def tokenize(text: str) -> list[Token]:
     return out
 
 
+def paired(tokens: list[Token]) -> tuple[dict[int, int], list[int | None]]:
+    """The partner of each bracket, and the bracket around each token."""
+    pair: dict[int, int] = {}
+    inside: list[int | None] = []
+    stack: list[int] = []
+    for i, t in enumerate(tokens):
+        if t.kind == "mark" and t.text in _CLOSE and stack and _OPEN[tokens[stack[-1]].text] == t.text:
+            pair[i] = stack[-1]
+            pair[stack.pop()] = i
+        inside.append(stack[-1] if stack else None)
+        if t.kind == "mark" and t.text in _OPEN:
+            stack.append(i)
+    return pair, inside
+
+
 @dataclass
 class Function:
     first: int  # its first token, parameters' defaults included
@@ -91,6 +113,7 @@ class Function:
     exported: bool
     parent: int | None = None
     decisions: list[int] = field(default_factory=list)
+    parameters: int | None = None  # the bracket around them
 
 
 class Source:
@@ -99,8 +122,8 @@ class Source:
     def __init__(self, text: str) -> None:
         self.text, self.tokens = text, tokenize(text)
         self.lines = [m.start() for m in re.finditer("\n", text)]
-        self._pair_brackets()
-        self.types = self._type_tokens()
+        self.pair, self.inside = paired(self.tokens)
+        self.types, self.class_bodies = self._type_tokens(), self._class_bodies()
         self.typed_arrows: set[int] = set()
         self.parameters: set[int] = set()  # opening brackets of parameter lists
         self.functions: list[Function] = []
@@ -119,18 +142,6 @@ class Source:
     def line(self, i: int) -> int:
         return bisect_right(self.lines, self.tokens[i].at - 1) + 1
 
-    def _pair_brackets(self) -> None:
-        self.pair: dict[int, int] = {}
-        self.inside: list[int | None] = []  # the bracket around each token
-        stack: list[int] = []
-        for i, t in enumerate(self.tokens):
-            if t.kind == "mark" and t.text in _CLOSE and stack and _OPEN[self.tokens[stack[-1]].text] == t.text:
-                self.pair[i] = stack[-1]
-                self.pair[stack.pop()] = i
-            self.inside.append(stack[-1] if stack else None)
-            if t.kind == "mark" and t.text in _OPEN:
-                stack.append(i)
-
     def _type_tokens(self) -> set[int]:
         found: set[int] = set()
         for i in range(len(self.tokens)):
@@ -172,15 +183,20 @@ class Source:
     def _past_generics(self, i: int) -> int:
         if not self.is_(i, "<"):
             return i
-        depth = 0
-        for k in range(i, min(i + 400, len(self.tokens))):
+        depth, k = 0, i
+        while k < len(self.tokens) and not self.is_(k, ";", "&&", "||", *_CLOSE):
             depth += self.is_(k, "<") - self.is_(k, ">")
-            if self.is_(k, ";"):
-                return i
             if not depth:
                 return k + 1
+            k = self.pair.get(k, k) + 1
         return i
 
+    def _back(self, i: int, *stops: str) -> Iterator[int]:
+        """Tokens from i towards the start of a statement, closed brackets as one, up to a stop or the bracket around them."""
+        while i >= 0 and not self.is_(i, *stops) and not (self.is_(i, *_OPEN) and self.pair.get(i, i) >= i):
+            yield i
+            i = (self.pair[i] if self.is_(i, *_CLOSE) and i in self.pair else i) - 1
+
     def _bound(self, first: int) -> str | None:
         """The name of the variable, property or target that a function which starts here is given to."""
         k = first - 1 - (self.word(first - 1) == "async")
@@ -189,20 +205,28 @@ class Source:
             j = k - 1
             while j > 0 and not self.word(j):  # past a type or an index
                 j = self.pair[j] - 1 if j in self.pair and self.is_(j, *_CLOSE) else j - 1
-            annotated = next((m for m in range(k - 1, max(-1, k - 60), -1) if self.word(m) and self.is_(m + 1, ":") and self.word(m - 1) in ("const", "let", "var", "private", "public", "protected", "readonly", "static")), None)
-            return (self.word(annotated) if annotated is not None else self.word(j)) or "?"
+            for m in self._back(k - 1, ";", "="):
+                if self.word(m) in _DECLARES:
+                    j = m + 1 if self.is_(m + 2 + self.is_(m + 2, "!", "?"), ":") else j
+                    break
+            return self.word(j) or "?"
         if self.is_(k, ":") and around is not None and self.is_(around, "{") and self.is_(k - 2, "{", ","):
             return self.tokens[k - 1].text.strip("'\"")
         return None
 
     def _exported(self, first: int) -> bool:
-        return any(self.word(k) == "export" for k in range(max(0, first - 6), first) if not any(self.is_(m, ";", "{", "}") for m in range(k, first)))
+        for k in self._back(first - 1, ";"):
+            if self.word(k) in ("const", "let", "var", "function", "class"):
+                return self.word(k - 1) == "export" or self.word(k - 1) in ("default", "async", "abstract", "declare") and self.word(k - 2) == "export"
+            if self.word(k) == "export":
+                return True
+        return False
 
     def _add(self, first: int, parameters: int | None, last: int, name: str, kind: str, anonymous: bool) -> None:
         is_async = any(self.word(k) == "async" for k in (first - 1, first - 2))
         if parameters is not None:
             self.parameters.add(parameters)
-        self.functions.append(Function(first, last, name, kind, anonymous, is_async, self._exported(first)))
+        self.functions.append(Function(first, last, name, kind, anonymous, is_async, self._exported(first), parameters=parameters))
 
     def _look_at(self, i: int, t: Token) -> None:
         if t.kind == "word" and t.text == "function" and not self.is_(i - 1, "."):
@@ -213,7 +237,8 @@ class Source:
             if body is None:
                 return
             before = i - 1 - (self.word(i - 1) == "async")
-            declared = name is not None and (before < 0 or self.is_(before, ";", "{", "}", ")") or self.word(before) in ("export", "default", "else", "declare"))
+            label = self.is_(before, ":") and any(self.word(m) in ("case", "default") for m in self._back(before - 1, ";", "}"))
+            declared = name is not None and (before < 0 or label or self.is_(before, ";", "{", "}", ")") or self.word(before) in ("export", "default", "else", "declare"))
             given = None if declared else self._bound(i)
             self._add(i, start, self.pair[body], name or given or "", "function" if declared else "expression", not declared and given is None)
         elif t.kind == "mark" and t.text == "=>":
@@ -229,9 +254,7 @@ class Source:
     def _look_at_arrow(self, i: int) -> None:
         k = i - 1
         if not (self.is_(k, ")") and k in self.pair) and not (self.word(k) and not self.is_(k - 1, ":")):
-            while k > i - 60 and k > 0 and not (self.is_(k, ":") and self.is_(k - 1, ")")):
-                k = self.pair[k] - 1 if k in self.pair and self.is_(k, *_CLOSE) else k - 1
-            k -= 1
+            k = next((m for m in self._back(k, ";", "=") if self.is_(m, ":") and self.is_(m - 1, ")")), 0) - 1
         elif self.word(k) and self.is_(k - 1, ":") and self.is_(k - 2, ")"):
             k -= 2
         parameters = self.pair.get(k) if self.is_(k, ")") else None
@@ -273,10 +296,32 @@ class Source:
             k = self.pair.get(k, k) + 1 if self.is_(k, *_OPEN) else k + 1
         return len(self.tokens) - 1
 
+    def _typed_question(self, i: int) -> bool:
+        """Whether a question mark belongs to a conditional type or to an optional method of a class or a type of an object."""
+        if any(self.word(m) == "extends" for m in self._back(i - 1, ";", ",", "=", "=>", "?", ":", "return", "&&", "||", "??")):
+            return True
+        around = self.inside[i]
+        if not (self.is_(i + 1, "(", "<") and around is not None and self.is_(around, "{")):
+            return False
+        name = self.pair[i - 1] if self.is_(i - 1, "]") and i - 1 in self.pair else i - 1
+        begins = self.is_(name - 1, "{", ";", ",", "}") or self.word(name - 1) in _DECLARES or self.line(name) > self.line(name - 1)
+        return begins and (around in self.class_bodies or self.is_(around - 1, ":", "|", "&", "<") or self.word(around - 1) in ("as", "extends", "satisfies"))
+
+    def _class_bodies(self) -> set[int]:
+        found: set[int] = set()
+        for i in range(len(self.tokens)):
+            if self.word(i) == "class" and not self.is_(i - 1, ".", "?."):
+                k = i + 1
+                while k < len(self.tokens) and not self.is_(k, "{", ";", *_CLOSE):
+                    k = (self.pair.get(k, k) if self.is_(k, *_OPEN) else k) + 1
+                if self.is_(k, "{"):
+                    found.add(k)
+        return found
+
     def decides(self, i: int) -> bool:
         t = self.tokens[i]
         if t.kind == "mark":
-            return t.text in ("&&", "||", "??") or t.text == "?" and not self.is_(i + 1, ":", ",", ")", "=", ";")
+            return t.text in ("&&", "||", "??") or t.text == "?" and not self.is_(i + 1, ":", ",", ")", "=", ";") and not self._typed_question(i)
         if t.kind != "word" or self.is_(i - 1, ".", "?.") or self.is_(i + 1, ":", ","):
             return False
         if t.text == "while":
@@ -304,12 +349,34 @@ class Source:
 _ROW = pa.schema([
     ("tree", pa.string()), ("file", pa.string()), ("fn_id", pa.string()), ("parent", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()),
     ("kind", pa.string()), ("anonymous", pa.bool_()), ("exported", pa.bool_()), ("is_async", pa.bool_()), ("decisions", pa.list_(pa.int32())),
+    ("first", pa.int32()), ("last", pa.int32()), ("parameters", pa.int32()),
 ])
-_DDL = "tree string, file string, fn_id string, parent string, start int, end int, name string, kind string, anonymous boolean, exported boolean, is_async boolean, decisions array<int>"
+_DDL = "tree string, file string, fn_id string, parent string, start int, end int, name string, kind string, anonymous boolean, exported boolean, is_async boolean, decisions array<int>, first int, last int, parameters int"
+
+
+_TOKENS = pa.schema([("tree", pa.string()), ("file", pa.string()), ("at", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("line", pa.int32()), ("pair", pa.int32()), ("around", pa.int32())])
+
+
+def token_rows(files: DataFrame) -> DataFrame:
+    """files(tree, file, text) to one row per token: at (its number), kind, text, line, pair (a bracket's partner), around (the
+    bracket around it). Texts that are null or empty have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree, file, text in zip(*[c.to_pylist() for c in batch.columns]):
+                tokens = tokenize(text or "")
+                lines = [m.start() for m in re.finditer("\n", text or "")]
+                pair, inside = paired(tokens)
+                rows = [(tree, file, i, t.kind, t.text, bisect_right(lines, t.at - 1) + 1, pair.get(i), inside[i]) for i, t in enumerate(tokens)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), _TOKENS)], schema=_TOKENS)
+
+    return files.select("tree", "file", "text").mapInArrow(run, "tree string, file string, at int, kind string, text string, line int, pair int, around int")
 
 
 def scan_functions(files: DataFrame) -> DataFrame:
-    """files(tree, file, text) to one row per function: its place, name, kind, the function around it, lines of its decisions.
+    """files(tree, file, text) to one row per function: its place, name, kind, the function around it, lines of its decisions;
+    first, last and parameters are numbers of tokens.
 
     Texts that are null or empty have no functions. Each file is read by itself, so a task holds one text at a time.
     """
@@ -320,7 +387,7 @@ def scan_functions(files: DataFrame) -> DataFrame:
                 source = Source(text or "")
                 ids = [f"{file}#{f.first}" for f in source.functions]
                 rows = [
-                    (tree, file, ids[n], None if f.parent is None else ids[f.parent], source.line(f.first), source.line(f.last), f.name, f.kind, f.anonymous, f.exported, f.is_async, f.decisions)
+                    (tree, file, ids[n], None if f.parent is None else ids[f.parent], source.line(f.first), source.line(f.last), f.name, f.kind, f.anonymous, f.exported, f.is_async, f.decisions, f.first, f.last, f.parameters)
                     for n, f in enumerate(source.functions)
                 ]
                 if rows:

@@ -20,17 +20,15 @@ def kept_files(files: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def read_tree(spark: SparkSession, root: str, tree: str, config: Config = Config()) -> DataFrame:
-    """files(tree, file, is_js, text) of a checkout; content is read only for the files that stay.
+    """files(tree, file, is_js, text) of a checkout, by one scan of the folder.
 
-    The driver lists the checkout's paths, as Spark does for any scan, and the scan is given those that stay.
+    A file's path decides before its content is decoded; names are never read as patterns, whatever brackets, braces or stars
+    they hold, and no list of paths passes the driver.
     """
     plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
     inner = F.expr(f"substr(plain, {len(re.sub('^[A-Za-z][A-Za-z0-9+.-]*:/+', '/', root).rstrip('/')) + 2})").alias("file")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = [r.path for r in kept_files(listed.select("path", plain.alias("plain")).select("path", inner), config).select("path").collect()]
-    if not kept:
-        return spark.createDataFrame([], "tree string, file string, is_js boolean, text string")
-    read = spark.read.format("binaryFile").load(kept).select(plain.alias("plain"), "content").select(inner, "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(re.sub(r"([\\\[\]{}*?])", r"\\\1", root))
+    read = kept_files(found.select(plain.alias("plain"), "content").select(inner, "content"), config)
     return read.select(F.lit(tree).alias("tree"), "file", F.col("file").rlike(r"\.(js|jsx|mjs|cjs)$").alias("is_js"), F.decode("content", "UTF-8").alias("text"))
 
 

@@ -32,6 +32,17 @@ def test_read_tree_below_a_directory_of_the_same_name(spark, tmp_path):
     assert trees.read_tree(spark, str(tmp_path / "none"), "head").count() == 0
 
 
+def test_names_of_files_are_no_patterns(spark, tmp_path):
+    root = tmp_path / "a[b]{c}*"
+    names = ["[id].ts", "{x}.ts", "[...slug].tsx", "s.tsx", "a*b.ts", "q?.ts", "p q/[k]/%41.ts", "back\\\\slash.ts"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name)
+    (tmp_path / "abc").mkdir()
+    (tmp_path / "abc" / "other.ts").write_text("other")
+    assert rows(trees.read_tree(spark, str(root), "t"), "file", "text") == sorted((n, n) for n in names if "\\\\" not in n or (root / n).exists())
+
+
 def test_workspace_precedence(spark):
     files = [("packages/b/package.json", '{"name": "x"}'), ("apps/a/package.json", '{"name": "x"}'), ("packages/b/sub/package.json", '{"name": "y"}'), ("packages/b/node_modules/package.json", '{"name": "z"}'), ("packages/c/package.json", "{broken"), ("other/package.json", '{"name": "o"}'), ("ee/apps/q/package.json", '{"name": "t"}')]
     manifests = spark.createDataFrame([("h", *f) for f in files], "tree string, file string, text string")

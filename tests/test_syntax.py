@@ -1,4 +1,6 @@
-"""Complexity of functions by their tokens, against counts made by hand."""
+"""Complexity of functions by their tokens: generated programs whose counts the generator knows, and forms that are easy to misread."""
+
+import random
 
 import pytest
 
@@ -6,40 +8,95 @@ from ripplescope.sources.syntax import Source, function_table, tokenize
 
 from .conftest import rows
 
+
+def generated(rnd, depth):
+    """A statement, what it adds to its function, and what the anonymous functions directly inside it add."""
+    if depth == 0:
+        return "step();", 0, 0
+    inner, own, inline = generated(rnd, depth - 1)
+    text, points = expression(rnd)
+    form = rnd.randrange(12)
+    if form == 0:
+        return f"if ({text}) {{ {inner} }} else {{ other() }}", own + points + 1, inline
+    if form == 1:
+        return f"for (const i of {text}) {{ {inner} }}", own + points + 1, inline
+    if form == 2:
+        return f"while ({text}) {{ {inner} }}", own + points + 1, inline
+    if form == 3:
+        return f"do {{ {inner} }} while ({text});", own + points + 1, inline
+    if form == 4:
+        cases = rnd.randrange(4)
+        return f"switch ({text}) {{ {' '.join(f'case {i}: {inner} break;' if i == 0 else f'case {i}:' for i in range(cases))} default: }}", (own if cases else 0) + points + cases, inline if cases else 0
+    if form == 5:
+        return f"try {{ {inner} }} catch (e) {{ note(e) }} finally {{ {text}; }}", own + points + 1, inline
+    if form == 6:
+        return f"function named{rnd.randrange(9)}(v) {{ {inner} return {text}; }}", 0, 0
+    if form == 7:
+        return f"call((v) => {{ {inner} return {text}; }});", 0, own + points + inline
+    if form == 8:
+        return f"const kept = (v) => {{ {inner} return {text} }};", 0, 0
+    if form == 9:
+        return f"target {rnd.choice(('&&=', '||=', '??=', '+='))} {text}; {inner}", own + points, inline
+    if form == 10:
+        return f"const m = /&&|if(x)/.test(`${{{text}}} case`); {inner} // while (x) ?\n", own + points, inline
+    return f"const z: {{ a?: number; b?(): void }} = {text} as (A extends B ? C : D); {inner}", own + points, inline
+
+
+def expression(rnd, depth=2):
+    if depth == 0:
+        return rnd.choice(("a", "b.c?.d?.()", "x?.[0]", "'a ? b : c'", "1")), 0
+    (left, m), (right, n) = expression(rnd, depth - 1), expression(rnd, depth - 1)
+    form = rnd.randrange(4)
+    if form == 0:
+        return f"({left} ? {right} : 0)", m + n + 1
+    if form == 1:
+        return f"({left} {rnd.choice(('&&', '||', '??'))} {right})", m + n + 1
+    return f"f({left}, {right})", m + n
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_counts_of_generated_functions(seed):
+    rnd = random.Random(seed)
+    parts = [generated(rnd, rnd.randrange(4)) for _ in range(rnd.randrange(6))]
+    default, points = expression(rnd)
+    head = rnd.choice(("function go(p?: T, q = {}) {{ {} }}", "const go = async (p?: T, q = {}) => {{ {} }}", "class K {{ static async go(p?: T, q = {}): Promise<void> {{ {} }} }}"))
+    counted(head.format(default, "\n".join(p[0] for p in parts)), 1 + points + sum(p[1] for p in parts), sum(p[2] for p in parts))
+
+
 #: text, own and inline complexity of its first function
-COUNTED = (
-    ("function go() { work(); }", 1, 0),
-    ("function go(x) { if (x) { return 1 } }", 2, 0),
-    ("function go(x) { if (x) {} else if (!x) {} else {} }", 3, 0),
-    ("function go(x) { for (let i = 0; i < 3; i++) {} for (const k in x) {} for (const v of x) {} while (x) {} do { x-- } while (x) }", 6, 0),
-    ("function go(x) { switch (x) { case 'a': case 'b': break; default: } }", 3, 0),
-    ("function go() { try { a() } catch { b() } finally { c() } }", 2, 0),
-    ("const go = function (x) { return x ? 1 : 2 }", 2, 0),
-    ("function go(x, y) { return (x && y) || (x ?? y) }", 4, 0),
-    ("function go(x) { return x?.y?.[0]?.() }", 1, 0),
-    ("function go(x?: string, y?: { z?: number }): { w?: string } { return {} }", 1, 0),
-    ("function go(x = 3, y = x || 4) {}", 2, 0),
-    ("function go(x) { x &&= 1; x ||= 2; x ??= 3 }", 1, 0),
-    ("const go = (x) => x && x.y", 2, 0),
-    ("function go() { function inner(x) { if (x) {} } }", 1, 0),
-    ("function go(xs) { return xs.filter((x) => x.a || x.b) }", 1, 1),
-    ("const go = (x) => (y) => (z) => (x ? y && z : 0)", 1, 2),
-    ("function go() { const inner = (x) => (x ? 1 : 2) }", 1, 0),
+MISREAD = (
     ("function go() { call(function named(x) { if (x) {} }) }", 1, 1),
     ("function go(cb = () => a || b) {}", 1, 1),
     ("function go() { return `${a ? `${b || c}` : 'if (x)'}` /* && */ + /if ? x/.source }  // ||", 3, 0),
     ("async function go() { for await (const x of y) { p.catch((e) => e && log(e)) } }", 2, 1),
+    ("function go(a) { if (a) /x&&y||z/.test(a) }", 2, 0),
+    ("function go(a) { while (a) /x&&y/.exec(a); return (a) / b / c ? 1 : 2 }", 3, 0),
+    ("function go(x: { foo?(): void }) {}", 1, 0),
+    ("function go(x) { const y: T extends string ? 1 : 2 = x }", 1, 0),
+    ("function go(x) { return x as (A extends B ? C : D extends E ? F : G) }", 1, 0),
+    ("class K { [x]?(): void; b?(): void; private static c?(): void; go() { return a ? (b) : (c) } }", 2, 0),
+    ("function go(a) { const x = { b: a ? (1) : 2 }; a ? (b) : (c) }", 3, 0),
 )
 
 
-@pytest.mark.parametrize("text, own, inline", COUNTED)
-def test_counts_of_the_first_function(text, own, inline):
+@pytest.mark.parametrize("text, own, inline", MISREAD)
+def test_counts_of_misread_forms(text, own, inline):
+    counted(text, own, inline)
+
+
+def counted(text, own, inline):
     fs = Source(text).functions
 
     def below(k):
         return sum(len(f.decisions) + below(j) for j, f in enumerate(fs) if f.parent == k and f.anonymous)
 
-    assert (1 + len(fs[0].decisions), below(0)) == (own, inline)
+    assert (1 + len(fs[0].decisions), below(0)) == (own, inline), text
+
+
+def test_names_and_exports_are_found_however_far_back():
+    long = ", ".join(f"K{i}: V{i}" for i in range(200))
+    text = f"export const one: {{ {long} }} = () => 1\nconst held: A<B> = [];\nconst two = () => 2\nexport default async function three<{', '.join(f'T{i}' for i in range(500))}>() {{ }}"
+    assert [(f.name, f.exported) for f in Source(text).functions] == [("one", True), ("two", False), ("three", True)]
 
 
 def test_types_hold_no_functions_and_names_come_from_what_they_are_given_to():
