@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import paths
 from ..functions.text import confidence, one_line, pad, percent, signed
-from ..operators import delta, facts, graph, modules, ranges, rollups, symbol
+from ..operators import delta, facts, graph, modules, names, ranges, rollups, symbol
 from ..sources import coverage, trees
 from .bindings import call_edges, impact_tables, order_ranges, ship_points, table, transitions, url_paths, with_views
 from .report import build_report
@@ -577,3 +577,85 @@ def istanbul_lines(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('a.ts', 'M', NULL), ('c.ts', 'R', 'b.ts'), ('d.ts', 'D', NULL)) t(path, status, renamed_from)")
 def change_set(spark, sf_dir):
     return trees.change_set(spark.createDataFrame([("M\ta.ts",), ("R092\tb.ts\tc.ts",), ("D\td.ts",)], "value string"))
+
+
+# Names, callees, seeds and closures
+
+
+_NAMED = (
+    "u AS (SELECT DISTINCT file, line AS use, line % 3 AS name FROM ship_points),"
+    "d AS (SELECT file, id, id % 3 AS name, \"start\", \"end\" FROM order_ranges)"
+)
+
+
+def _named_points(spark, sf_dir):
+    """Days of shipping as uses of one of three names, open orders as declarations that are visible while they are open."""
+    uses = ship_points(spark, sf_dir).select("file", F.col("line").alias("use"), F.col("line").alias("at"), (F.col("line") % 3).cast("long").alias("name"))
+    spans = order_ranges(spark, sf_dir).select("file", F.col("id").alias("decl"), (F.col("id") % 3).alias("name"), F.col("start").alias("from"), F.col("end").alias("to"))
+    return uses, spans
+
+
+@query(
+    "+" + _NAMED + "SELECT file, use, decl FROM (SELECT u.file, use, d.id AS decl, rank() OVER (PARTITION BY u.file, use ORDER BY \"end\" - \"start\", \"start\" DESC) AS n FROM u JOIN d ON d.file = u.file AND d.name = u.name AND use BETWEEN \"start\" AND \"end\") WHERE n = 1",
+    "order_ranges", "ship_points",
+)
+def visible_declarations(spark, sf_dir):
+    """The declaration that a name means: of the orders that bear it, the shortest that is open."""
+    return names.visible_declarations(*_named_points(spark, sf_dir), ["file"])
+
+
+_KINDS = ("function", "class", "variable", "abstract", "parameter", "signature", "outside")
+
+
+@query(
+    "+" + _NAMED + """, k AS (SELECT *, CASE id % 7 WHEN 0 THEN 'body' WHEN 1 THEN 'holder' WHEN 2 THEN 'holder' WHEN 3 THEN 'abstract' WHEN 4 THEN 'function-type' WHEN 5 THEN 'interface' ELSE 'external' END AS outcome,
+        CASE id % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 5 ELSE 6 END AS place FROM d),
+    r AS (SELECT u.file, use, k.id AS decl, outcome, rank() OVER (PARTITION BY u.file, use ORDER BY place) AS n FROM u JOIN k ON k.file = u.file AND k.name = u.name AND use BETWEEN "start" AND "end")
+    SELECT u.file, u.use AS call, coalesce(outcome, CASE WHEN u.use % 2 = 0 THEN 'unresolved' ELSE 'dynamic' END) AS outcome, decl FROM u LEFT JOIN r ON r.file = u.file AND r.use = u.use AND n = 1""",
+    "order_ranges", "ship_points",
+)
+def callee_choice(spark, sf_dir):
+    """Where a call leads if any order open on its day may be meant: bodies first, then holders, then the reasons in their order."""
+    uses, spans = _named_points(spark, sf_dir)
+    calls = uses.select("file", F.col("use").alias("call"), (F.col("use") % 2 == 0).alias("by_name"))
+    met = ranges.containing(uses, spans, ["file", "name"], "at", "from", "to")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("decl") % 7 + 1).cast("int"))
+    return names.choose_callees(calls, met.select("file", F.col("use").alias("call"), "decl", kind.alias("kind"), (F.col("decl") % 7 == 0).alias("has_body")), ["file"])
+
+
+_PARENTS = (
+    "p AS (SELECT file, inner_id AS id, arg_min(outer_id, {'l': length, 'i': outer_id}) AS parent FROM (SELECT i.file, i.id AS inner_id, o.id AS outer_id, o.\"end\" - o.\"start\" AS length FROM order_ranges i JOIN order_ranges o"
+    " ON o.file = i.file AND i.\"start\" BETWEEN o.\"start\" AND o.\"end\" AND o.\"end\" >= i.\"end\" AND o.id <> i.id AND (o.\"end\" - o.\"start\" > i.\"end\" - i.\"start\" OR o.id < i.id)) GROUP BY file, inner_id)"
+)
+
+
+@query("+" + _PARENTS + "SELECT file, id, parent FROM p", "order_ranges")
+def span_parents(spark, sf_dir):
+    """The forest of nested orders."""
+    return names.parents(order_ranges(spark, sf_dir), ["file"])
+
+
+@query("+" + _PARENTS + "SELECT file, id AS decl, id AS fn FROM order_ranges WHERE id % 4 <> 0 UNION SELECT file, parent, id FROM p WHERE parent % 4 = 0 AND id % 4 <> 0", "order_ranges")
+def seed_functions(spark, sf_dir):
+    """Every fourth order is a class, the others are functions: a class seeds the functions directly inside."""
+    spans = order_ranges(spark, sf_dir)
+    holders = names.parents(spans, ["file"])
+    is_class = F.col("id") % 4 == 0
+    declared = spans.select("file", F.col("id").alias("decl"), F.when(is_class, "class").otherwise("function").alias("kind"), F.when(~is_class, F.col("id")).alias("fn"), F.col("id").alias("body"))
+    functions = spans.where(~is_class).join(holders, ["file", "id"], "left").select("file", F.col("id").alias("fn"), F.col("parent").alias("holder"))
+    return names.seed_functions(declared, functions, ["file"])
+
+
+@query(
+    """WITH u AS (SELECT user_id AS "array", bool_and(value < 99) AS a FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
+    e AS (SELECT user_id AS "array", CASE WHEN value >= 1 THEN event_id END AS fn FROM events WHERE event_type = 'purchase'),
+    b AS (SELECT "array", bool_and(fn IS NOT NULL) AS b FROM e GROUP BY "array")
+    SELECT s."array", e.fn, coalesce(a, true) AND coalesce(b, true) AS complete FROM (SELECT DISTINCT user_id AS "array" FROM events) s LEFT JOIN u ON u."array" = s."array" LEFT JOIN b ON b."array" = s."array"
+    LEFT JOIN (SELECT DISTINCT * FROM e WHERE fn IS NOT NULL) e ON e."array" = s."array" """
+)
+def held_closures(spark, sf_dir):
+    """Users as arrays: what they bought is put in, what they looked at may let other values in."""
+    events = table(spark, sf_dir, "events").withColumnRenamed("user_id", "array").withColumn("all", F.lit(1))
+    uses = events.where("event_type in ('view', 'click')").select("all", "array", (F.col("value") < 99).alias("known"))
+    elements = events.where("event_type = 'purchase'").select("all", "array", F.when(F.col("value") >= 1, F.col("event_id")).alias("fn"))
+    return names.held_closures(events, uses, elements, ["all"]).drop("all")
