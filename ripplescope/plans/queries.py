@@ -560,23 +560,42 @@ def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", pad(F.col("c_name"), 12).alias("padded"), signed(n).alias("signed"), percent(n / 24.0).alias("share"), one_line(F.concat("c_name", F.lit("  "), "c_mktsegment"), 24).alias("label"))
 
 
-_LCOV = "SF:a.ts\nDA:1,1\nDA:2,0\nDA:2,3\nend_of_record\nSF:b.ts\nDA:1,0\nend_of_record\nSF:a.ts\nDA:1,0\nDA:4,2\nend_of_record\n"
-_ISTANBUL = '{"/r/a.ts":{"statementMap":{"0":{"start":{"line":1},"end":{"line":3}},"1":{"start":{"line":2},"end":{"line":2}}},"s":{"0":0,"1":5}},"/r/b.ts":{"statementMap":{"0":{"start":{"line":7},"end":{"line":7}}},"s":{}}}'
-
-
-@query("SELECT * FROM (VALUES ('head', 'a.ts', 1, 0::BIGINT), ('head', 'a.ts', 4, 2), ('head', 'b.ts', 1, 0)) t(tree, file, line, hits)")
+@query("SELECT 'head' AS tree, 'c' || file || '.ts' AS file, line, hits FROM ship_points", "ship_points")
 def lcov_lines(spark, sf_dir):
-    return coverage.lcov_lines(spark.createDataFrame([("head", _LCOV)], "tree string, text string"))
+    """Days of shipping written as reports of fifty, each file named twice: its last block counts, and there its last line."""
+    lines = ship_points(spark, sf_dir).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "hits"))).alias("x"))
+    record = lambda shown: F.concat(F.lit("SF:/r/c"), F.col("file").cast("string"), F.lit(".ts\n"), F.array_join(F.transform("x", shown), "\n"), F.lit("\nend_of_record"))
+    da = lambda x, hits: F.concat(F.lit("DA:"), x["line"].cast("string"), F.lit(","), hits.cast("string"))
+    stale = record(lambda x: da(x, F.lit(99)))
+    fresh = record(lambda x: F.concat(da(x, F.lit(7)), F.lit("\n"), da(x, x["hits"])))
+    reports = lines.select(F.pmod("file", F.lit(50)).alias("report"), "file", F.explode(F.array(F.struct(F.lit(0).alias("turn"), stale.alias("text")), F.struct(F.lit(1).alias("turn"), fresh.alias("text")))).alias("y"))
+    texts = reports.groupBy("report").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y.turn", "file", "y.text"))), lambda z: z["text"]), "\n").alias("text"))
+    return coverage.lcov_lines(texts.select(F.lit("head").alias("tree"), F.concat(F.lit("TN:\n"), "text").alias("text")), "/r")
 
 
-@query("SELECT * FROM (VALUES ('head', 'a.ts', 1, 0::BIGINT), ('head', 'a.ts', 2, 5), ('head', 'a.ts', 3, 0), ('head', 'b.ts', 7, 0)) t(tree, file, line, hits)")
+@query(
+    """SELECT 'head' AS tree, 'c' || file || '.ts' AS file, CAST(line AS INTEGER) AS line, max(id % 5) AS hits FROM (SELECT file, id, unnest(range("start", "end" + 1)) AS line FROM order_ranges) GROUP BY ALL""",
+    "order_ranges",
+)
 def istanbul_lines(spark, sf_dir):
-    return coverage.istanbul_lines(spark.createDataFrame([("head", _ISTANBUL)], "tree string, text string"), "/r")
+    """Orders written as statements of a customer's file, a report for every customer."""
+    at = lambda c: F.struct(F.col(c).alias("line"))
+    spans = order_ranges(spark, sf_dir).select("file", F.col("id").cast("string").alias("k"), F.struct(at("start").alias("start"), at("end").alias("end")).alias("at"), (F.col("id") % 5).alias("n"))
+    files = spans.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "at"))).alias("statementMap"), F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("s"))
+    text = F.to_json(F.create_map(F.concat(F.lit("/r/c"), F.col("file").cast("string"), F.lit(".ts")), F.struct("statementMap", "s")))
+    return coverage.istanbul_lines(files.select(F.lit("head").alias("tree"), text.alias("text")), "/r")
 
 
-@query("SELECT * FROM (VALUES ('a.ts', 'M', NULL), ('c.ts', 'R', 'b.ts'), ('d.ts', 'D', NULL)) t(path, status, renamed_from)")
+@query(
+    """SELECT CASE WHEN event_type = 'signup' THEN 'n/' ELSE 'm/' END || user_id || '/' || event_id || '.ts' AS path, CASE event_type WHEN 'signup' THEN 'R' WHEN 'error' THEN 'D' ELSE 'M' END AS status,
+    CASE WHEN event_type = 'signup' THEN 'm/' || user_id || '/' || event_id || '.ts' END AS renamed_from FROM events"""
+)
 def change_set(spark, sf_dir):
-    return trees.change_set(spark.createDataFrame([("M\ta.ts",), ("R092\tb.ts\tc.ts",), ("D\td.ts",)], "value string"))
+    """Events written as the lines of a change list: a signup is a renamed file, an error a deleted one."""
+    path = lambda top: F.concat(F.lit(top), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".ts"))
+    kind = F.col("event_type")
+    line = F.when(kind == "signup", F.concat_ws("\t", F.format_string("R%03d", (F.col("event_id") % 101).cast("int")), path("m/"), path("n/"))).otherwise(F.concat_ws("\t", F.when(kind == "error", "D").otherwise("M"), path("m/")))
+    return trees.change_set(table(spark, sf_dir, "events").select(line.alias("value")))
 
 
 # Names, callees, seeds and closures

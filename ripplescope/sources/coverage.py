@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import relative_to
@@ -20,24 +20,38 @@ def istanbul_lines(reports: DataFrame, root: str = "/") -> DataFrame:
     return lines.select("tree", "file", "hits", F.explode("span").alias("line")).groupBy("tree", "file", "line").agg(F.max("hits").alias("hits"))
 
 
-def lcov_lines(reports: DataFrame, root: str = "/") -> DataFrame:
-    """reports(tree, text): the last DA of a line wins, and a repeated SF replaces its file."""
-    numbered = reports.select("tree", "text", F.monotonically_increasing_id().alias("report"))
-    rows = numbered.select("tree", "report", F.posexplode(F.split("text", "\n")).alias("pos", "row"))
-    before = Window.partitionBy("tree", "report").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.when(F.col("row").startswith("SF:"), F.struct(F.trim(F.expr("substr(row, 4)")).alias("file"), F.col("pos").alias("block")))
-    placed = rows.withColumn("sf", F.last(opened, ignorenulls=True).over(before)).where("sf is not null")
-    file = relative_to(root, F.col("sf.file")).alias("file")
-    blocks = placed.where(F.col("row").startswith("SF:")).groupBy("tree", "report", file).agg(F.max("sf.block").alias("block"))
-    hits = placed.where(F.col("row").startswith("DA:")).select("tree", "report", file, "sf.block", "pos", F.split(F.expr("substr(row, 4)"), ",").alias("v"))
-    kept = hits.join(blocks, ["tree", "report", "file", "block"], "left_semi")
+def _lcov(records: DataFrame, root: str) -> DataFrame:
+    """records(tree, report, at, record), each a file's name and the lines after it; at is its place in the report."""
+    parts = F.split(F.regexp_replace("record", "^SF:", ""), "\r?\n")
+    named = records.where(~F.col("record").rlike("^(?!SF:)[A-Z]+:")).select("tree", "report", "at", relative_to(root, F.trim(parts[0])).alias("file"), F.filter(parts, lambda x: x.startswith("DA:")).alias("lines"))
+    # a file that is named again starts anew; of several reports the last one counts
+    last = named.groupBy("tree", "report", "file").agg(F.max_by("lines", "at").alias("lines"))
+    hits = last.select("tree", "report", "file", F.posexplode("lines").alias("pos", "line")).withColumn("v", F.split(F.expr("substr(line, 4)"), ","))
     line = F.trim(F.col("v")[0]).cast("int").alias("line")
-    return kept.groupBy("tree", "file", line).agg(F.max_by(F.trim(F.col("v")[1]).cast("long"), F.struct("report", "pos")).alias("hits"))
+    return hits.groupBy("tree", "file", line).agg(F.max_by(F.trim(F.col("v")[1]).cast("long"), F.struct("report", "pos")).alias("hits"))
+
+
+def lcov_lines(reports: DataFrame, root: str = "/") -> DataFrame:
+    """reports(tree, text): the last DA of a line wins, and a repeated SF replaces its file; what stands before the first SF is passed over."""
+    numbered = reports.select("tree", F.monotonically_increasing_id().alias("report"), F.posexplode(F.split("text", "\nSF:")).alias("at", "record"))
+    return _lcov(numbered, root)
+
+
+def lcov_file(spark: SparkSession, path: str, tree: str, root: str = "/") -> DataFrame:
+    """The lines of the report or reports at path, read by records: a large report is split over tasks.
+
+    A record's place is its split's start in the file and its order there.
+    """
+    rows = spark.read.option("lineSep", "\nSF:").text(path)
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return _lcov(rows.select(F.lit(tree).alias("tree"), F.col("_metadata.file_path").alias("report"), at.alias("at"), F.col("value").alias("record")), root)
 
 
 def read_coverage(spark: SparkSession, path: str | None, tree: str, root: str = "/") -> tuple[str, DataFrame]:
     """(source, lines) of a report by its name; no path gives ('none', no lines)."""
     if not path:
         return "none", empty(spark, "coverage_lines")
+    if not path.endswith(".json"):
+        return "lcov", lcov_file(spark, path, tree, root)
     reports = spark.read.text(path, wholetext=True).select(F.lit(tree).alias("tree"), F.col("value").alias("text"))
-    return ("istanbul", istanbul_lines(reports, root)) if path.endswith(".json") else ("lcov", lcov_lines(reports, root))
+    return "istanbul", istanbul_lines(reports, root)

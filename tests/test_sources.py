@@ -78,6 +78,22 @@ def test_coverage_reader_by_name(spark, tmp_path):
     assert coverage.read_coverage(spark, None, "head")[0] == "none"
 
 
+def test_large_lcov_reports_are_split(spark, tmp_path):
+    blocks = [(f"/r/f{i % 300}.ts", [(j, i) for j in range(1, 6)] + [(2, 0)] * (i % 2)) for i in range(400)]
+    text = "TN:\n" + "".join(f"SF:{file}\nFN:1,f\n" + "".join(f"DA:{a},{b}\n" for a, b in lines) + "end_of_record\n" for file, lines in blocks)
+    (tmp_path / "l.info").write_text(text)
+    want = {file[3:]: dict(lines) for file, lines in blocks}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        made = coverage.lcov_file(spark, str(tmp_path / "l.info"), "head", "/r")
+        assert spark.read.option("lineSep", "\nSF:").text(str(tmp_path / "l.info")).rdd.getNumPartitions() > 5
+        assert rows(made, "file", "line", "hits") == sorted(((f, a, b) for f, lines in want.items() for a, b in lines.items()), key=lambda r: tuple((v is None, str(v)) for v in r))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole = coverage.lcov_lines(spark.createDataFrame([("head", text.replace("\n", "\r\n")), ("head", None), ("head", "")], "tree string, text string"), "/r")
+    assert rows(whole) == rows(made)
+
+
 SOURCE = """import def, { a, type B as C } from './x';
 import type { T } from "../t";
 import * as ns from 'pkg';
