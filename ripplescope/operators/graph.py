@@ -211,6 +211,27 @@ def follow_reexports(exports: DataFrame, reexports: DataFrame, wanted: DataFrame
     return best.select("tree", "file", "name", "x.origin_file", "x.origin_name", "x.chain")
 
 
+def follow_aliases(aliases: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """aliases(keys.., src, dst) to (keys.., src, end, hops): where a chain of aliases ends, by pointer jumping.
+
+    A round doubles the length of every pointer that does not reach an end yet, so a chain of n aliases takes log2(n) rounds, each
+    a join of pointers on their ends. Of several targets of one alias the least counts. Aliases on or before a cycle have no end
+    and no row; rows with nulls are no aliases.
+    """
+    keys = [*keys]
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, "src", "dst")])
+    first = aliases.where(known).groupBy(*keys, "src").agg(F.min("dst").alias("end"))
+    starts = first.select(*keys, F.col("src").alias("end"), F.lit(True).alias("more"))
+    state = materialize(first.join(starts, [*keys, "end"], "left").select(*keys, "src", "end", F.lit(1).cast("long").alias("hops"), F.col("more").isNull().alias("done")), "aliases")
+    rounds, total = 0, state.count()
+    while state.where("not done").limit(1).count() and 1 << rounds < total:
+        on = state.select(*keys, F.col("src").alias("end"), F.col("end").alias("to"), F.col("hops").alias("further"), F.col("done").alias("ended"))
+        moved = state.where("not done").join(on, [*keys, "end"]).select(*keys, "src", F.col("to").alias("end"), (F.col("hops") + F.col("further")).alias("hops"), F.col("ended").alias("done"))
+        state = materialize(state.where("done").unionByName(moved), "aliases")
+        rounds += 1
+    return state.where("done").drop("done")
+
+
 def chain_depths(reexports: DataFrame, depth: int = 12) -> DataFrame:
     """(tree, depth, barrels): how many files start a re-export chain of each greatest length."""
     edges = reexports.where("to_file is not null").select("tree", F.col("from_file").alias("src"), F.col("to_file").alias("dst")).distinct()

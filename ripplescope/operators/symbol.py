@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import confidence
@@ -42,36 +42,42 @@ class Walk:
     truncated: DataFrame  # symbol
 
 
-def walk(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, kind: str, max_depth: int | None = MAX_DEPTH, max_nodes: int | None = MAX_NODES) -> Walk:
-    """seeds(symbol, fn_id); functions(fn_id, name, file, module, package, start, end, own, inline); calls(from_fn, to_fn, ..).
+def walk(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, kind: str, max_depth: int | None = MAX_DEPTH, max_nodes: int | None = MAX_NODES, references: DataFrame | None = None) -> Walk:
+    """seeds(symbol, fn_id); functions(fn_id, name, file, module, package, start, end, own, inline); calls(from_fn, to_fn, ..);
+    references(from_fn, kind, name, file, module, package, external, type_only): other uses of names of other files and packages.
 
-    A call to a function outside the edge is a crossing. Nodes beyond max_nodes, in the order of depth and fn_id, are cut.
+    A call to a function outside the edge is a crossing, and so is a reference to a declaration outside it; a package that is
+    external lies outside every edge. Nodes beyond max_nodes, in the order of depth and fn_id, are cut.
     A limit that is None does not hold.
     """
     edges, start = _zoned(seeds, functions, calls, kind)
     found = bfs(edges, start, max_depth, ["zone"])
-    return _cut(found, edges, functions, calls, call_stops, max_nodes, max_depth)
+    return _cut(found, edges, functions, calls, call_stops, max_nodes, max_depth, references)
+
+
+def _zone(kind: str, at: str) -> Column:
+    """Where a place lies under an edge rule; module and package fall back to the file. The kind is part of it, so walks of several kinds can be one."""
+    if kind == "repo":
+        return F.lit("repo")
+    return F.concat(F.lit(f"{kind}:"), F.coalesce(F.col(f"{at}.{kind}"), F.concat(F.lit("/"), F.col(f"{at}.file"))))
 
 
 def _zoned(seeds: DataFrame, functions: DataFrame, calls: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """edges(zone, src, dst) of the calls that stay inside a seed's edge, and start(zone, seed, node).
 
-    The edge rule depends on a symbol's home only through its place, so homes of one place share a zone and its edges. Module and
-    package fall back to the file.
+    The edge rule depends on a symbol's home only through its place, so homes of one place share a zone and its edges.
     """
     place = functions.select("fn_id", F.struct("file", "module", "package").alias("place"))
     homes = seeds.join(place, "fn_id").groupBy("symbol").agg(F.min("place").alias("home"))
     ends = calls.select("from_fn", "to_fn").distinct().join(place.select(F.col("fn_id").alias("to_fn"), "place"), "to_fn")
-    column = {"repo": None, "file": "file", "module": "module", "package": "package"}[kind]
-    # the kind is part of the zone, so walks of several kinds can be one
-    of = lambda c: F.lit("repo") if column is None else F.concat(F.lit(f"{kind}:"), F.coalesce(F.col(f"{c}.{column}"), F.concat(F.lit("/"), F.col(f"{c}.file"))))
+    of = lambda c: _zone(kind, c)
     zoned = homes.select("symbol", of("home").alias("zone"))
     edges = ends.select(of("place").alias("zone"), F.col("from_fn").alias("src"), F.col("to_fn").alias("dst"))
     edges = edges.join(zoned.select("zone").distinct(), "zone", "left_semi")
     return edges, seeds.join(zoned, "symbol").select("zone", F.col("symbol").alias("seed"), F.col("fn_id").alias("node"))
 
 
-def _cut(found: DataFrame, edges: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_nodes: int | None, max_depth: int | None) -> Walk:
+def _cut(found: DataFrame, edges: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_nodes: int | None, max_depth: int | None, references: DataFrame | None = None) -> Walk:
     """The walk of found(zone, seed, node, hops), which bfs gave for the edges."""
     found = found.select("zone", F.col("seed").alias("symbol"), F.col("node").alias("fn_id"), F.col("hops").alias("depth"))
     none = F.lit(False)
@@ -85,8 +91,13 @@ def _cut(found: DataFrame, edges: DataFrame, functions: DataFrame, calls: DataFr
     inside = edges.select("zone", F.col("src").alias("from_fn"), F.col("dst").alias("to_fn")).distinct()
     crossed = out.join(inside, ["zone", "from_fn", "to_fn"], "left_anti")
     target = functions.select(F.col("fn_id").alias("to_fn"), "name", "file", "module", "package")
-    crossings = crossed.join(target, "to_fn").groupBy("symbol", F.lit("call").alias("kind"), "name", "file", "module", "package").agg(F.count("*").alias("count"))
-    crossings = crossings.withColumn("type_only", F.lit(False))
+    key = ["symbol", "kind", "name", "file", "module", "package", "external"]
+    crossings = crossed.join(target, "to_fn").select("symbol", F.lit("call").alias("kind"), "name", "file", "module", "package", F.lit(False).alias("external"), F.lit(False).alias("type_only"))
+    if references is not None:
+        used = nodes.select("zone", "symbol", F.col("fn_id").alias("from_fn")).join(references.withColumn("place", F.struct("file", "module", "package")), "from_fn")
+        own = reduce(lambda other, kind: F.when(F.col("zone").startswith(kind), _zone(kind, "place")).otherwise(other), EDGE_KINDS, F.lit(None).cast("string"))
+        crossings = crossings.unionByName(used.where(F.col("external") | ~F.col("zone").eqNullSafe(own)).select(*key, "type_only"))
+    crossings = crossings.groupBy(*key).agg(F.count("*").alias("count"), F.bool_and("type_only").alias("type_only"))
     stops = nodes.select("symbol", "fn_id").join(call_stops.select(F.col("from_fn").alias("fn_id"), "reason"), "fn_id")
     # the depth limit cuts a walk only where a call inside the edge leads on to a function that was not met
     last = found.where(none if max_depth is None else F.col("depth") >= max_depth).select("zone", "symbol", F.col("fn_id").alias("from_fn"))

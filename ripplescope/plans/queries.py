@@ -654,6 +654,17 @@ def span_parents(spark, sf_dir):
     return names.parents(order_ranges(spark, sf_dir), ["file"])
 
 
+@query(
+    "+" + _PARENTS + ", r(file, src, cur, hops) AS (SELECT file, id, parent, 1 FROM p UNION ALL SELECT r.file, src, parent, hops + 1 FROM r JOIN p ON p.file = r.file AND p.id = r.cur)"
+    "SELECT file, src, arg_max(cur, hops) AS \"end\", CAST(max(hops) AS BIGINT) AS hops FROM r GROUP BY file, src",
+    "order_ranges", recursive=True,
+)
+def alias_ends(spark, sf_dir):
+    """Every nested order as an alias of the one around it, followed to the outermost."""
+    up = names.parents(order_ranges(spark, sf_dir), ["file"])
+    return graph.follow_aliases(up.select("file", F.col("id").alias("src"), F.col("parent").alias("dst")), ["file"])
+
+
 @query("+" + _PARENTS + "SELECT file, id AS decl, id AS fn FROM order_ranges WHERE id % 4 <> 0 UNION SELECT file, parent, id FROM p WHERE parent % 4 = 0 AND id % 4 <> 0", "order_ranges")
 def seed_functions(spark, sf_dir):
     """Every fourth order is a class, the others are functions: a class seeds the functions directly inside."""

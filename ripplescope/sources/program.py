@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.facts import function_counts
-from ..operators.graph import follow_reexports
+from ..operators.graph import follow_aliases, follow_reexports
 from ..operators.names import BODY, EXTERNAL, FUNCTION_TYPE, HOLDER, choose_callees, held_closures, seed_functions, visible_declarations
 from ..operators.ranges import containing, innermost
 from ..storage import materialize
@@ -46,6 +46,7 @@ class Program:
     decl_seeds: DataFrame
     declarations: DataFrame  # tree, file, decl, name, kind, at, from, to, fn, body, ..
     arrays: DataFrame  # tree, file, array (the decl), fn, complete
+    references: DataFrame  # tree, from_fn, kind, name, line, file (null: external), package (of externals), external, type_only
 
 
 def contexts(tokens: DataFrame) -> DataFrame:
@@ -167,7 +168,13 @@ def scan_program(files: DataFrame, imports: DataFrame, reexports: DataFrame, exp
     reached = imports.where("to_file is not null").select("tree", F.col("from_file").alias("file"), "spec", "to_file").distinct()
     bound = bound.join(reached, [*KEY, "spec"])
     asked = bound.select("tree", F.col("to_file").alias("file"), F.col("source").alias("name")).distinct()
-    origins = follow_reexports(exports, reexports, asked, depth).select("tree", F.col("file").alias("to_file"), F.col("name").alias("source"), "origin_file", "origin_name")
+    # chains of named re-exports are followed to their end, then what is exported with a star, some files deep
+    place = lambda file, name: F.struct(F.col(file).alias("file"), F.col(name).alias("name"))
+    passed_on = reexports.where("not star and to_file is not null and exported is not null and source is not null").join(exports.select("tree", F.col("file").alias("from_file"), F.col("name").alias("exported")), ["tree", "from_file", "exported"], "left_anti")
+    ends = follow_aliases(passed_on.select("tree", place("from_file", "exported").alias("src"), place("to_file", "source").alias("dst")), ["tree"]).select("tree", "src.*", "end")
+    asked = asked.join(ends, ["tree", "file", "name"], "left").withColumn("end", F.coalesce("end", place("file", "name")))
+    found = follow_reexports(exports, reexports, asked.select("tree", "end.*").distinct(), depth).select("tree", place("file", "name").alias("end"), "origin_file", "origin_name")
+    origins = asked.join(found, ["tree", "end"]).select("tree", F.col("file").alias("to_file"), F.col("name").alias("source"), "origin_file", "origin_name")
     top = declarations.where("from = -1 and kind <> 'import'").select("tree", F.col("file").alias("origin_file"), F.col("name").alias("origin_name"), F.col("decl").alias("to_decl"))
     targets = bound.join(origins, ["tree", "to_file", "source"]).join(top, ["tree", "origin_file", "origin_name"])
     targets = materialize(targets.select(*KEY, "decl", "to_decl", F.col("origin_file").alias("to_file")), "targets")
@@ -194,6 +201,8 @@ def scan_program(files: DataFrame, imports: DataFrame, reexports: DataFrame, exp
     candidates = _candidates(direct, declarations).unionByName(outside).unionByName(_by_receiver(sites, declarations, members, targets, resolve, brackets, exports, reached))
     chosen = materialize(choose_callees(sites.select(*KEY, F.col("use").alias("call"), "by_name"), candidates.select(*KEY, F.col("use").alias("call"), "decl", "kind", F.col("fn").isNotNull().alias("has_body")), KEY), "callees")
 
+    references = _references(near, declarations, targets, reached, sites, at, functions)
+
     # functions behind the declarations that calls lead to
     holders = declarations.select("tree", "decl", "kind", "fn", F.col("file").alias("in_file"), "body").unionByName(members.select("tree", "decl", "kind", "fn", F.col("file").alias("in_file"), F.lit(None).cast("int").alias("body")))
     placed = holders.withColumn("body", F.concat_ws("@", "in_file", F.col("body").cast("string")))
@@ -226,6 +235,7 @@ def scan_program(files: DataFrame, imports: DataFrame, reexports: DataFrame, exp
         functions=table.select("tree", "fn_id", "file", "start", "end", "name", "kind", "own", "inline", "exported", "is_async", "unit_id"),
         calls=materialize(calls, "calls"), call_stops=materialize(stops.select("tree", "from_fn", "call_no", "reason", "decl_file", "line", "text"), "stops"),
         decl_seeds=materialize(shown.select(*KEY, "name", "fn_id").unionByName(default).distinct(), "decl-seeds"), declarations=declarations, arrays=arrays,
+        references=materialize(references, "references"),
     )
 
 
@@ -272,6 +282,29 @@ def _by_receiver(sites, declarations, members, targets, resolve, brackets, expor
     return out.unionByName(inside.select(*KEY, "use", F.col("to_decl").alias("decl"), F.col("to_kind").alias("kind"), "fn"))
 
 
+def _references(near, declarations, targets, reached, sites, at, functions) -> DataFrame:
+    """Uses of imported names in functions: where the name is declared, or of which external package it is.
+
+    A namespace stands for its file. Calls of external names are there as calls, too; a use of an external name counts as a type.
+    """
+    bound = declarations.where("kind = 'import'")
+    words = near.where("kind = 'word' and not coalesce(p1 in ('.', '?.'), false) and not (n1 = ':' and coalesce(p1 in ('{', ','), false))")
+    words = words.join(bound.select(*KEY, F.col("name").alias("text")).distinct(), [*KEY, "text"], "left_semi").select(*KEY, F.col("at").alias("use"), F.col("text").alias("name"), "at", "line")
+    used = visible_declarations(words, declarations, KEY).join(bound.select(*KEY, "decl", "spec", "source", F.col("at").alias("site")), [*KEY, "decl"]).where("use <> site")
+    used = used.join(words.select(*KEY, "use", "name", "line"), [*KEY, "use"]).join(targets.withColumnRenamed("to_file", "end_file"), [*KEY, "decl"], "left").join(reached, [*KEY, "spec"], "left")
+    kinds = declarations.select("tree", F.col("decl").alias("to_decl"), F.col("kind").isin("interface", "type").alias("is_type"))
+    used = used.join(kinds, ["tree", "to_decl"], "left")
+    external = F.col("to_file").isNull() & ~F.col("spec").startswith(".")
+    used = used.where(external | F.col("end_file").isNotNull() | (F.col("source") == "*") & F.col("to_file").isNotNull())
+    shown = used.select(*KEY, "use", "line", "name", external.alias("external"), F.coalesce("end_file", "to_file").alias("in_file"), F.when(external, F.regexp_extract("spec", "^((?:@[^/]+/)?[^/]+)", 1)).alias("package"), F.when(external, True).otherwise(F.coalesce("is_type", F.lit(False))).alias("type_only"))
+    spans = functions.select(*KEY, F.col("fn").alias("from_fn"), "first", "last")
+    inside = containing(shown, spans, KEY, "use", "first", "last")
+    called = sites.where("receiver is null").select(*KEY, "use").unionByName(sites.where("receiver is not null and receiver <> ''").select(*KEY, (F.col("use") - 2).alias("use")))
+    calls = inside.where("external").join(called, [*KEY, "use"], "left_semi")
+    columns = ["tree", "from_fn", "name", "line", F.col("in_file").alias("file"), "package", "external"]
+    return inside.select(*columns, F.lit("reference").alias("kind"), "type_only").unionByName(calls.select(*columns, F.lit("call").alias("kind"), F.lit(False).alias("type_only")))
+
+
 def _functions_of(values: DataFrame, near: DataFrame, declarations: DataFrame, functions: DataFrame, resolve) -> DataFrame:
     """values(tree, file, id, at) to (.., id, fn): the function that an expression which starts at a token is, itself or by name.
 

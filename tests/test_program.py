@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ripplescope.operators import modules, names
+from ripplescope.operators import graph, modules, names, rollups, symbol
 from ripplescope.sources import lexical, program
 
 from .conftest import rows
@@ -63,6 +63,36 @@ def test_parents_equal_brute_force(spark):
     assert rows(names.parents(table, ["k"])) == order(want)
 
 
+def test_alias_chains_end_in_a_logarithm_of_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, label, f=graph.materialize: written.append(label) or f(df, label))
+    chain = [("c", i, i + 1) for i in range(1000)]
+    other = [("d", 1, 2), ("d", 2, 3), ("d", 3, 1), ("d", 4, 1), ("d", 5, 5), ("d", 6, 8), ("d", 6, 7), ("d", None, 1), ("d", 9, None), (None, 1, 2)]
+    made = graph.follow_aliases(spark.createDataFrame(chain + other, "k string, src int, dst int"), ["k"])
+    assert rows(made) == order([("c", i, 1000, 1000 - i) for i in range(1000)] + [("d", 6, 7, 1)])
+    assert len(written) <= 12
+    assert graph.follow_aliases(spark.createDataFrame([], "src int, dst int")).count() == 0
+
+
+def test_references_cross_edges(spark):
+    functions = spark.createDataFrame([("f", "f", "m/a/f.ts", "m/a", "p"), ("g", "g", "m/a/g.ts", "m/a", "p")], "fn_id string, name string, file string, module string, package string").selectExpr("*", "1 AS start", "9 AS end", "1 AS own", "0 AS inline")
+    calls, stops = spark.createDataFrame([("f", "g")], "from_fn string, to_fn string"), spark.createDataFrame([], "from_fn string, reason string")
+    uses = [("f", "reference", "T", "m/a/g.ts", "m/a", "p", False, True), ("g", "reference", "T", "m/b/h.ts", "m/b", "p", False, True), ("g", "reference", "T", "m/b/h.ts", "m/b", "p", False, False), ("g", "call", "x", None, None, "lib", True, False), ("f", "reference", "U", "z.ts", None, None, False, False)]
+    references = spark.createDataFrame(uses, "from_fn string, kind string, name string, file string, module string, package string, external boolean, type_only boolean")
+    seeds = spark.createDataFrame([("S", "f")], "symbol string, fn_id string")
+    want = {
+        "file": {("call", "g", "m/a", 1, False), ("reference", "T", "m/a", 1, True), ("reference", "U", None, 1, False)},
+        "module": {("reference", "T", "m/b", 2, False), ("call", "x", None, 1, False), ("reference", "U", None, 1, False)},
+        "package": {("call", "x", None, 1, False), ("reference", "U", None, 1, False)},
+        "repo": {("call", "x", None, 1, False)},
+    }
+    for kind, crossed in want.items():
+        walk = symbol.walk(seeds, functions, calls, stops, kind, references=references)
+        assert {(r.kind, r["name"], r.module, r["count"], r.type_only) for r in walk.crossings.collect()} == crossed
+    packages = rollups.roll_up(walk.crossings.where("external"), ["package"])
+    assert rows(packages, "package", "calls", "references", "names") == [("lib", 1, 0, ("x",))]
+
+
 A = """import { help as h, Shape } from './b';
 import * as lib from './b';
 export class Store extends Shape {
@@ -139,6 +169,19 @@ def test_calls_and_stops_of_a_program(scanned):
     assert sorted((r.file, r.name, named[r.fn_id]) for r in seeds) == [("a.ts", "Store", "save"), ("a.ts", "Store", "write"), ("a.ts", "default", ""), ("a.ts", "run", "run"), ("b.ts", "Shape", "area"), ("b.ts", "help", "help")]
 
 
+def test_references_of_a_program(spark):
+    texts = {"a.ts": "import { deep as d, type T } from './r0';\nimport * as ns from './z';\nimport React, { use } from '@x/react/sub';\nexport function f(p: T) { d(); ns.q(); use(React); const r = (d) => d; return { d: 1, e: d } }"}
+    texts |= {f"r{i}.ts": f"export {{ deep, T }} from './r{i + 1}';" for i in range(9)} | {"r9.ts": "export * from './z';", "z.ts": "export function deep() {}\nexport type T = string\nexport function q() {}"}
+    files = spark.createDataFrame([("t", *x) for x in texts.items()], "tree string, file string, text string")
+    tables = [modules.resolve_imports(t(files), files, spark.createDataFrame([], "tree string, pkg string, dir string")) for t in (lexical.imports, lexical.reexports)]
+    made = program.scan_program(files, *tables, lexical.exports(files))
+    got = [(r.kind, r["name"], r.file, r.package, r.type_only) for r in made.references.where("from_fn like 'a.ts%'").collect() if r.line == 4]
+    want = [("reference", "T", "z.ts", None, True), *[("reference", "d", "z.ts", None, False)] * 2, ("reference", "ns", "z.ts", None, False), ("reference", "use", None, "@x/react", True), ("call", "use", None, "@x/react", False), ("reference", "React", None, "@x/react", True)]
+    assert order(got) == order(want)
+    named = {r.fn_id: (r.file, r.name) for r in made.functions.collect()}
+    assert {(r.text, *named[r.to_fn]) for r in made.calls.collect()} == {("d", "z.ts", "deep"), ("q", "z.ts", "q")}
+
+
 def test_closures_of_generated_programs(scanned):
     arrays, calls, stops = {}, {}, set()
     for r in scanned.arrays.where("file like 'g%'").collect():
