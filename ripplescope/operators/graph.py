@@ -1,28 +1,22 @@
 """Bounded graph operators over edge tables. Every key may carry leading columns such as tree.
 
-A search over at most LOCAL_EDGES different edges is one job: the edges go to the executors as arrays, and each seed is searched
-by itself, seeds being dealt over tasks. Beyond that size a round joins the frontier with the edges, drops what was seen and is
-written once to the shared folder, so the plan of a round never contains the rounds before it. Both ways give the same rows. A
-path is never enumerated: only (seed, node) pairs are kept.
+A search is a loop of joins. A round takes the frontier a few hops on, drops what was seen, and is written once to the shared
+folder, so the plan of a round never contains the rounds before it. A path is never enumerated: only (seed, node) pairs are kept,
+each at its least hops.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..storage import materialize
 
-#: Edges that a task may hold as a whole: some 20 MB with their nodes' names.
-LOCAL_EDGES = 200_000
-_FLUSH = 1 << 16
+#: Hops of one round: each costs a join and a shuffle, a round also a join with all that was seen and a table that is written.
+ROUND_HOPS = 3
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -34,116 +28,22 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: S
     keys = [*keys]
     known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, "src", "dst")])
     edges = materialize(edges.select(*keys, "src", "dst").where("src <> dst").where(known).distinct(), "edges")
-    seeds = seeds.select(*keys, "seed", "node").distinct()
-    return _local(edges, seeds, max_hops, keys) if edges.count() <= LOCAL_EDGES else _in_rounds(edges, seeds, max_hops, keys)
-
-
-def _in_rounds(edges: DataFrame, seeds: DataFrame, max_hops: int | None, keys: list[str]) -> DataFrame:
-    frontier = materialize(seeds.withColumn("hops", F.lit(0)), "hop")
+    frontier = materialize(seeds.select(*keys, "seed", "node").distinct().withColumn("hops", F.lit(0)), "hop")
     rounds, hops = [frontier], 0
     while (max_hops is None or hops < max_hops) and not frontier.isEmpty():
-        hops += 1
-        joined = frontier.drop("hops").withColumnRenamed("node", "src").join(edges, [*keys, "src"])
-        found = joined.select(*keys, "seed", F.col("dst").alias("node"), F.lit(hops).alias("hops")).distinct()
-        # a node is at most one hop beyond the frontier, but may have been seen in any round
+        ahead, at = [], frontier.drop("hops")
+        for _ in range(ROUND_HOPS if max_hops is None else min(ROUND_HOPS, max_hops - hops)):
+            hops += 1
+            at = at.withColumnRenamed("node", "src").join(edges, [*keys, "src"]).select(*keys, "seed", F.col("dst").alias("node")).distinct()
+            ahead.append(at.withColumn("hops", F.lit(hops)))
+        found = reduce(DataFrame.unionByName, ahead).groupBy(*keys, "seed", "node").agg(F.min("hops").alias("hops")) if len(ahead) > 1 else ahead[0]
+        # what lies nearer may have been seen in any round; only nodes at the last hop have not led on yet
         seen = reduce(DataFrame.unionByName, rounds).select(*keys, "seed", "node")
-        frontier = materialize(found.join(seen, [*keys, "seed", "node"], "left_anti"), "hop")
-        rounds.append(frontier)
+        rounds.append(materialize(found.join(seen, [*keys, "seed", "node"], "left_anti"), "hop"))
+        frontier = rounds[-1].where(F.col("hops") == hops)
     return reduce(DataFrame.unionByName, rounds)
 
 
-class Adjacency:
-    """Edges as arrays: the followers of node i are follow[first[i]:first[i + 1]]."""
-
-    def __init__(self, source: np.ndarray, target: np.ndarray, nodes: int) -> None:
-        order = np.argsort(source, kind="stable")
-        self.follow = target[order]
-        self.first = np.searchsorted(source[order], np.arange(nodes + 1))
-        self.mark, self.turn = np.zeros(nodes, np.int64), 0
-
-    def levels(self, start: np.ndarray, max_hops: int | None) -> Iterator[np.ndarray]:
-        """Nodes that are 0, 1, 2 .. hops from the start."""
-        self.turn += 1
-        front, hops = np.unique(start), 0
-        while len(front):
-            self.mark[front] = self.turn
-            yield front
-            if hops == max_hops:
-                return
-            hops += 1
-            n = self.first[front + 1] - self.first[front]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            following = self.follow[np.repeat(self.first[front], n) + step]
-            front = np.unique(following[self.mark[following] != self.turn])
-
-
-def _local(edges: DataFrame, seeds: DataFrame, max_hops: int | None, keys: list[str]) -> DataFrame:
-    label = lambda *columns: F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]))
-    held = edges.select(label(*keys, "src").alias("a"), label(*keys, "dst").alias("b"), "src", "dst").toArrow().combine_chunks()
-    both = lambda x, y: pa.concat_arrays([pa.concat_arrays(held.column(c).chunks) if held.num_rows else pa.array([], held.schema.field(c).type) for c in (x, y)])
-    labels = both("a", "b")
-    names = pc.unique(labels)
-    place = pc.index_in(labels, names).to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.full(len(names), -1, np.int64)
-    first[place[::-1]] = np.arange(len(place))[::-1]
-    values = both("src", "dst").take(pa.array(first))
-    source, target = place[: held.num_rows], place[held.num_rows :]
-    width = len(keys) + 2  # keys, seed, node
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = Adjacency(source, target, len(names))
-        last, owner, start = None, None, []
-        out: list[list] = []
-        size = 0
-
-        def search() -> None:
-            nonlocal size
-            for hops, front in enumerate(graph.levels(np.array(start), max_hops)):
-                out.append([*[x.take(pa.array(np.zeros(len(front), np.int64))) for x in owner], values.take(pa.array(front)), pa.repeat(pa.scalar(hops, pa.int32()), len(front))])
-                size += len(front)
-
-        def flush() -> pa.RecordBatch:
-            nonlocal size
-            columns = [pa.concat_arrays([_cast(x[i], types[i]) for x in out]) for i in range(width + 1)]
-            out.clear()
-            size = 0
-            return pa.RecordBatch.from_arrays(columns, names=[*fields, "hops"])
-
-        types: list[pa.DataType] = []
-        for batch in batches:
-            types = [*[batch.schema.field(i).type for i in range(width)], pa.int32()]
-            at = pc.index_in(batch.column(width), names).to_numpy(zero_copy_only=False)
-            # nodes without edges are found at once
-            alone = pa.array(np.flatnonzero(np.isnan(at.astype(float))))
-            if len(alone):
-                out.append([*[batch.column(i).take(alone) for i in range(width)], pa.repeat(pa.scalar(0, pa.int32()), len(alone))])
-                size += len(alone)
-            groups = batch.column(width + 1).to_pylist()
-            for i in np.flatnonzero(~np.isnan(at.astype(float))).tolist():
-                if groups[i] != last:
-                    if start:
-                        search()
-                    last, owner, start = groups[i], [batch.column(k).slice(i, 1) for k in range(width - 1)], []
-                start.append(int(at[i]))
-                if size > _FLUSH:
-                    yield flush()
-        if start:
-            search()
-        if out:
-            yield flush()
-
-    fields = [*keys, "seed", "node"]
-    dealt = seeds.select(*fields, label(*keys, "node").alias("__at"), label(*keys, "seed").alias("__of"))
-    dealt = dealt.repartition("__of").sortWithinPartitions("__of")
-    schema = StructType([*[StructField(f, seeds.schema[f].dataType) for f in fields], StructField("hops", IntegerType())])
-    return materialize(dealt.mapInArrow(run, schema), "reached")
-
-
-def _cast(x: pa.Array, kind: pa.DataType) -> pa.Array:
-    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-    return x if x.type == kind else x.cast(kind)
-
-
 def indirect_deps(direct: DataFrame, max_hops: int = 5, keys: Sequence[str] = (), only: DataFrame | None = None) -> DataFrame:
     """direct(keys.., src, dst) to (keys.., src, dst, hops): what each node reaches in 2 to max_hops hops but not in fewer.
 

@@ -31,16 +31,21 @@ def test_closure_handles_cycles_and_loops(spark):
     assert rows(graph.closure(edges, seeds)) == [("s", "a"), ("s", "b"), ("s", "c"), ("t", "c")]
 
 
-def test_search_in_one_job_equals_search_in_rounds(spark, monkeypatch):
+def test_search_equals_brute_force(spark, monkeypatch):
     rnd = random.Random(3)
-    edges = spark.createDataFrame([(t, rnd.randrange(40), rnd.randrange(40)) for t in ("b", "h") for _ in range(70)] + [("b", None, 1), (None, 1, 2)], "tree string, src long, dst long")
-    seeds = spark.createDataFrame([(t, f"s{i}", n) for t in ("b", "h") for i in range(9) for n in (i, i + 30)] + [("b", "s0", None), ("x", None, 3), ("h", "s1", 99)], "tree string, seed string, node long")
-    for hops in (None, 0, 3):
-        monkeypatch.setattr(graph, "LOCAL_EDGES", 10_000)
-        one = rows(graph.bfs(edges, seeds, hops, ["tree"]))
-        monkeypatch.setattr(graph, "LOCAL_EDGES", -1)
-        assert one == rows(graph.bfs(edges, seeds, hops, ["tree"])) and len(one) > 30
-    monkeypatch.setattr(graph, "LOCAL_EDGES", 10_000)
+    held = [(t, rnd.randrange(40), rnd.randrange(40)) for t in ("b", "h") for _ in range(70)] + [("h", 50 + i, 51 + i) for i in range(12)]
+    starts = [(t, f"s{i}", n) for t in ("b", "h") for i in range(9) for n in (i, i + 30)] + [("h", "long", 50)]
+    edges = spark.createDataFrame([*held, ("b", None, 1), (None, 1, 2)], "tree string, src long, dst long")
+    seeds = spark.createDataFrame([*starts, ("b", "s0", None), ("x", None, 3), ("h", "s1", 99)], "tree string, seed string, node long")
+    alone = [("b", "s0", None, 0), ("x", None, 3, 0), ("h", "s1", 99, 0)]
+    for limit, step in ((None, 1), (None, 4), (0, 3), (3, 2), (5, 3)):
+        monkeypatch.setattr(graph, "ROUND_HOPS", step)
+        want = {}
+        for t, s, n in starts:
+            for d, h in brute_hops({(a, b) for k, a, b in held if k == t}, n).items():
+                if limit is None or h <= limit:
+                    want[t, s, d] = min(h, want.get((t, s, d), h))
+        assert rows(graph.bfs(edges, seeds, limit, ["tree"])) == sorted([*((*k, h) for k, h in want.items()), *alone], key=lambda r: tuple((v is None, str(v)) for v in r))
     assert rows(graph.bfs(edges.where("false"), seeds, None, ["tree"])) == sorted(rows(seeds.selectExpr("tree", "seed", "node", "0 AS hops")), key=lambda r: tuple((v is None, str(v)) for v in r))
     assert rows(graph.bfs(edges, seeds.where("false"), None, ["tree"])) == []
     struct = seeds.selectExpr("tree", "struct(seed, 1 AS k) AS seed", "node")
