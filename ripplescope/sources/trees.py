@@ -19,19 +19,29 @@ def kept_files(files: DataFrame, config: Config = Config()) -> DataFrame:
     return files.where(paths.extension(F.col("file")).isin(*EXTENSIONS) & ~F.col("file").endswith(".d.ts") & ~hidden & ~excluded)
 
 
+def _contents(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
+    """(file, content) below a folder; names are never read as patterns, whatever brackets, braces or stars they hold."""
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+    inner = F.expr(f"substr(plain, {len(re.sub('^[A-Za-z][A-Za-z0-9+.-]*:/+', '/', root).rstrip('/')) + 2})").alias("file")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    found = (reader if only is None else reader.option("pathGlobFilter", only)).load(re.sub(r"([\\\[\]{}*?])", r"\\\1", root))
+    return found.select(plain.alias("plain"), "content").select(inner, "content")
+
+
 def read_tree(spark: SparkSession, root: str, tree: str, config: Config = Config()) -> DataFrame:
     """files(tree, file, is_js, text) of a checkout, by one scan of the folder.
 
-    A file's path decides before its content is decoded; names are never read as patterns, whatever brackets, braces or stars
-    they hold, and no list of paths passes the driver.
+    A file's path decides before its content is decoded, and no list of paths passes the driver.
     """
-    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
-    inner = F.expr(f"substr(plain, {len(re.sub('^[A-Za-z][A-Za-z0-9+.-]*:/+', '/', root).rstrip('/')) + 2})").alias("file")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(re.sub(r"([\\\[\]{}*?])", r"\\\1", root))
-    read = kept_files(found.select(plain.alias("plain"), "content").select(inner, "content"), config)
+    read = kept_files(_contents(spark, root), config)
     return read.select(F.lit(tree).alias("tree"), "file", F.col("file").rlike(r"\.(js|jsx|mjs|cjs)$").alias("is_js"), F.decode("content", "UTF-8").alias("text"))
 
 
+def read_manifests(spark: SparkSession, root: str, tree: str) -> DataFrame:
+    """manifests(tree, file, text) of a checkout, for workspace_packages."""
+    return _contents(spark, root, "package.json").select(F.lit(tree).alias("tree"), "file", F.decode("content", "UTF-8").alias("text"))
+
+
 def workspace_packages(manifests: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
     """(tree, pkg, dir): build tasks(tree, pkg, dir) first, then package.json texts manifests(tree, file, text).
 
