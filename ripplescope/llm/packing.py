@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ CAPACITY = 2048
 CLASSES = 16
 END_ID = 1
 CACHE = 1_000_000
+TOGETHER = 256
+_SLICE_BYTES = 4 << 20
 _ROUND = 8192
 _FLUSH_BYTES = 4 << 20
 
@@ -217,10 +220,11 @@ class HarmonicPacker:
         return self._drain()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, classes: int = CLASSES, end_id: int = END_ID, cache: int = CACHE) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, classes: int = CLASSES, end_id: int = END_ID, cache: int = CACHE, together: int = TOGETHER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    cache: parts of texts whose ids a worker keeps, about 200 bytes each in four generations; it changes speed and memory only.
+    cache: parts of texts whose ids a worker keeps, about 200 bytes each in four generations. together: documents whose parts are
+    looked up at once, fewer if their texts are long. Both change speed and memory only.
 
     Each document's ids are its text's, then end_id; null and empty texts give end_id alone. A null doc_id stays null and
     repeated rows are packed each by itself; extra columns are not read; an empty table gives no rows. sequence_id is unique over
@@ -239,8 +243,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _slices(batch, together):
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
                     rows += (got := packer.add(doc, ids + end))
                     held += sum(len(x[2]) for x in got)
@@ -257,6 +260,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     return pieces.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
 
 
+def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and _SLICE_BYTES of text, or one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        n = min(rows, max(1, int(np.searchsorted(ends, done + _SLICE_BYTES, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -275,4 +289,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 def op9_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digest(pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+    return digest(pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), together=1024))
