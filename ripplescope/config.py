@@ -26,24 +26,26 @@ REEXPORT_DEPTH = 6
 MAX_HOPS = 5
 STOP_REASONS = ("unresolved", "dynamic", "abstract", "function-type", "interface", "javascript", "no-tsconfig", "stale-dist")
 STOP_WEIGHT, JS_WEIGHT = 0.5, 0.2
-#: Effect category: regular expressions over source lines, the textual form of the structural patterns.
+#: Effect category: structural patterns.
 EFFECTS = {
-    "db": (r"\bModels\.[A-Za-z_$][\w$]*\.(insert|update|remove)\(", r"\.(insertOne|updateOne|deleteOne|findOneAndUpdate)\("),
-    "network": (r"\bfetch\(", r"\baxios(\.[A-Za-z_$][\w$]*)?\(", r"\bgot\("),
-    "fs": (r"\bfs\.(promises\.)?[A-Za-z_$][\w$]*\(", r"\b(readFile|writeFile)\("),
-    "process": (r"\bprocess\.env\b", r"\bprocess\.exit\("),
-    "timer": (r"\b(setTimeout|setInterval)\(",),
-    "emit": (r"\bapi\.broadcast\(", r"\bMeteor\.(call|callAsync)\("),
+    "db": ("Models.$MODEL.insert($$$A)", "Models.$MODEL.update($$$A)", "Models.$MODEL.remove($$$A)", "$M.insertOne($$$A)", "$M.updateOne($$$A)", "$M.deleteOne($$$A)", "$M.findOneAndUpdate($$$A)"),
+    "network": ("fetch($$$A)", "axios($$$A)", "axios.$M($$$A)", "got($$$A)"),
+    "fs": ("fs.$M($$$A)", "fs.promises.$M($$$A)", "readFile($$$A)", "writeFile($$$A)"),
+    "process": ("process.env", "process.exit($$$A)"),
+    "timer": ("setTimeout($$$A)", "setInterval($$$A)"),
+    "emit": ("api.broadcast($$$A)", "Meteor.call($$$A)", "Meteor.callAsync($$$A)"),
 }
 
 
 @dataclass(frozen=True)
 class Provider:
-    """A boundary symbol that is no export: a pattern over source lines whose first group is the symbol's name."""
+    """A boundary symbol that is no export: a structural pattern with the wildcard that is its name, or without one a regular
+    expression over source lines whose first group is the name."""
 
     name: str
     pattern: str
     roots: tuple[str, ...] = ()
+    name_var: str | None = None
 
 
 @dataclass(frozen=True)
@@ -51,13 +53,14 @@ class Config:
     modules: tuple[str, ...] = MODULE_PATTERNS
     exclude: tuple[str, ...] = EXCLUDED
     effects: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(EFFECTS))
-    providers: tuple[Provider, ...] = (Provider("apiRouteProbe", r"\bAPI\.v1\.addRoute\(\s*['\"`]([^'\"`]+)['\"`]\s*,", ("apps/meteor",)),)
+    effect_lines: dict[str, tuple[str, ...]] = field(default_factory=dict)  # regular expressions over source lines
+    providers: tuple[Provider, ...] = (Provider("apiRouteProbe", "API.v1.addRoute($PATH, $$$ARGS)", ("apps/meteor",), "PATH"),)
     test_files: tuple[str, ...] = TEST_FILES
     reexport_depth: int = REEXPORT_DEPTH
 
 
 #: Names of the JSON form.
-_JSON_NAMES = {"testFiles": "test_files", "reexportDepth": "reexport_depth"}
+_JSON_NAMES = {"testFiles": "test_files", "reexportDepth": "reexport_depth", "effectLines": "effect_lines"}
 
 
 def load_config(text: str | None = None) -> Config:
@@ -68,7 +71,8 @@ def load_config(text: str | None = None) -> Config:
     given = {_JSON_NAMES.get(k, k): v for k, v in json.loads(text).items()}
     given = {k: v for k, v in given.items() if k in known}
     if "providers" in given:
-        given["providers"] = tuple(Provider(p["name"], p["pattern"], tuple(p.get("roots") or ())) for p in given["providers"])
-    if "effects" in given:
-        given["effects"] = {k: tuple(v) for k, v in given["effects"].items()}
+        given["providers"] = tuple(Provider(p["name"], p["pattern"], tuple(p.get("roots") or ()), p.get("nameVar")) for p in given["providers"])
+    for name in ("effects", "effect_lines"):
+        if name in given:
+            given[name] = {k: tuple(v) for k, v in given[name].items()}
     return replace(Config(), **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})

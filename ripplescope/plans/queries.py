@@ -280,7 +280,7 @@ _CATALOG = {"mail": "[a-z]@[a-z]", "number": "[0-9]{3}-[0-9]{4}", "licence": "Li
 def effect_catalog(spark, sf_dir):
     """Categories with a pattern that some line of a document matches; the catalog is part of the projection, not a join."""
     files = table(spark, sf_dir, "documents").select(F.lit("head").alias("tree"), F.col("doc_id").alias("file"), "text")
-    matches = trees.effect_matches(files, Config(effects={k: (v,) for k, v in _CATALOG.items()}))
+    matches = trees.effect_matches(files, Config(effects={}, effect_lines={k: (v,) for k, v in _CATALOG.items()}))
     return matches.groupBy(F.col("file").alias("doc_id")).agg(F.array_sort(F.collect_set("category")).alias("effects"))
 
 

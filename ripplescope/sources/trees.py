@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EXTENSIONS, PACKAGE_ROOTS, SKIPPED_DIRECTORIES, Config
 from ..functions import paths
+from .patterns import Pattern, structural_matches
 
 
 def kept_files(files: DataFrame, config: Config = Config()) -> DataFrame:
@@ -74,19 +77,29 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 
 def effect_matches(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """matches(tree, category, file, line, end_line): one row per category and line that one of its patterns hits."""
-    hit = [F.when(F.col("text").rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(category)) for category, patterns in config.effects.items()]
-    lines = source_lines(files).select("tree", "file", "line", F.explode(F.array_compact(F.array(*hit))).alias("category"))
-    return lines.select("tree", "category", "file", "line", F.col("line").alias("end_line"))
+    """matches(tree, category, file, line, end_line): one row per category and place that one of its patterns hits."""
+    found = []
+    if config.effects:
+        met = structural_matches(files, [Pattern(category, p) for category, patterns in config.effects.items() for p in patterns])
+        found.append(met.select("tree", F.col("key").alias("category"), "file", "line", "end_line").distinct())
+    if config.effect_lines or not found:
+        hit = [F.when(F.col("text").rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(category)) for category, patterns in config.effect_lines.items()]
+        lines = source_lines(files).select("tree", "file", "line", F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *hit))).alias("category"))
+        found.append(lines.select("tree", "category", "file", "line", F.col("line").alias("end_line")))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
+
+
+def _below(roots: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [F.col("file").startswith(root.rstrip("/") + "/") for root in roots]) if roots else F.lit(True)
 
 
 def provided_symbols(files: DataFrame, config: Config = Config()) -> DataFrame:
-    """provided(tree, provider, file, line, name): matches of the providers' patterns under their roots."""
-    lines, rows = source_lines(files), None
+    """provided(tree, provider, file, line, name): named matches of the providers' patterns under their roots."""
+    lines, rows = source_lines(files), []
     for p in config.providers:
-        inside = F.lit(not p.roots)
-        for root in p.roots:
-            inside = inside | F.col("file").startswith(root.rstrip("/") + "/")
-        one = lines.where(inside).select("tree", F.lit(p.name).alias("provider"), "file", "line", F.regexp_extract("text", p.pattern, 1).alias("name")).where("name <> ''")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+        if p.name_var is None:
+            found = lines.select("tree", "file", "line", F.regexp_extract("text", p.pattern, 1).alias("name"))
+        else:
+            found = structural_matches(files.where(_below(p.roots)), [Pattern(p.name, p.pattern, p.name_var)])
+        rows.append(found.where(_below(p.roots) & (F.col("name") != "")).select("tree", F.lit(p.name).alias("provider"), "file", "line", "name"))
+    return reduce(DataFrame.unionByName, rows) if rows else None
