@@ -19,9 +19,11 @@ from ..storage import materialize
 ROUND_HOPS = 3
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: Sequence[str] = (), budget: int | None = None) -> DataFrame:
     """edges(keys.., src, dst), seeds(keys.., seed, node) to (keys.., seed, node, hops) at the least hops; seeds are at 0.
 
+    A seed that has met more than budget nodes at the end of a round goes no further; all nodes up to the hops it came to are
+    there, so its first budget nodes by hops are those of the whole search, and it has more of them just where that has.
     Cycles and self-loops are harmless; max_hops None runs until nothing new is found. Rows with null keys or ends are no edges,
     and a null node leads nowhere.
     """
@@ -30,6 +32,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: S
     edges = materialize(edges.select(*keys, "src", "dst").where("src <> dst").where(known).distinct(), "edges")
     frontier = materialize(seeds.select(*keys, "seed", "node").distinct().withColumn("hops", F.lit(0)), "hop")
     rounds, hops = [frontier], 0
+    met = None  # how many nodes each seed has
     while (max_hops is None or hops < max_hops) and not frontier.isEmpty():
         ahead, at = [], frontier.drop("hops")
         for _ in range(ROUND_HOPS if max_hops is None else min(ROUND_HOPS, max_hops - hops)):
@@ -41,6 +44,10 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: S
         seen = reduce(DataFrame.unionByName, rounds).select(*keys, "seed", "node")
         rounds.append(materialize(found.join(seen, [*keys, "seed", "node"], "left_anti"), "hop"))
         frontier = rounds[-1].where(F.col("hops") == hops)
+        if budget is not None:
+            counts = [r.groupBy(*keys, "seed").agg(F.count("*").alias("n")) for r in (rounds if met is None else rounds[-1:])] + ([] if met is None else [met])
+            met = materialize(reduce(DataFrame.unionByName, counts).groupBy(*keys, "seed").agg(F.sum("n").alias("n")), "met")
+            frontier = frontier.join(met.where(F.col("n") > budget), [*keys, "seed"], "left_anti")
     return reduce(DataFrame.unionByName, rounds)
 
 

@@ -47,11 +47,12 @@ def walk(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: D
     references(from_fn, kind, name, file, module, package, external, type_only): other uses of names of other files and packages.
 
     A call to a function outside the edge is a crossing, and so is a reference to a declaration outside it; a package that is
-    external lies outside every edge. Nodes beyond max_nodes, in the order of depth and fn_id, are cut.
+    external lies outside every edge. Nodes beyond max_nodes, in the order of depth and fn_id, are cut,
+    and a symbol that has so many goes no further after the round in which it met them.
     A limit that is None does not hold.
     """
     edges, start = _zoned(seeds, functions, calls, kind)
-    found = bfs(edges, start, max_depth, ["zone"])
+    found = bfs(edges, start, max_depth, ["zone"], max_nodes)
     return _cut(found, edges, functions, calls, call_stops, max_nodes, max_depth, references)
 
 
@@ -142,7 +143,7 @@ def compare_edges(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call
     edges, starts = zip(*[_zoned(seeds, functions, calls, kind) for kind in EDGE_KINDS])
     named = [start.withColumn("seed", F.struct(F.col("seed").alias("symbol"), F.lit(kind).alias("edge"))) for kind, start in zip(EDGE_KINDS, starts)]
     every = materialize(reduce(DataFrame.unionByName, edges), "zones")
-    w = _cut(bfs(every, reduce(DataFrame.unionByName, named), max_depth, ["zone"]), every, functions, calls, call_stops, max_nodes, max_depth)
+    w = _cut(bfs(every, reduce(DataFrame.unionByName, named), max_depth, ["zone"], max_nodes), every, functions, calls, call_stops, max_nodes, max_depth)
     out = w.nodes.groupBy("symbol").agg(F.count("*").alias("reach"), F.sum(F.col("own") + F.col("inline")).alias("transitive"))
     out = out.join(w.stops.groupBy("symbol").agg(F.count("*").alias("stops")), "symbol", "left")
     out = out.join(w.crossings.groupBy("symbol").agg(F.count("*").alias("crossings"), F.count_distinct("module").alias("modules")), "symbol", "left").na.fill(0)

@@ -105,3 +105,20 @@ def test_coverage_counts_overlap_twice_and_keeps_unknown_null(spark):
     r = spark.createDataFrame([("s", "f", 1, 3), ("s", "f", 2, 2), ("u", "g", 1, 9)], "name string, file string, start int, end int")
     lines = spark.createDataFrame([("f", 2, 1), ("f", 3, 0), ("f", 9, 5)], "file string, line int, hits long")
     assert rows(ranges.line_coverage(r, lines, ["file"], ["name"])) == [("s", 2, 3, 2 / 3), ("u", 0, 0, None)]
+
+
+def test_budgeted_search_holds_the_first_nodes(spark):
+    rnd = random.Random(7)
+    arcs = [(rnd.choice("pq"), rnd.randrange(60), rnd.randrange(60)) for _ in range(160)] + [("p", 100 + i, 101 + i) for i in range(11)]
+    edges = spark.createDataFrame(arcs, "zone string, src int, dst int")
+    seeds = spark.createDataFrame([(z, f"{z}{n}", n) for z in "pq" for n in (0, 1, 2, 3, 77)] + [("p", "p100", 100), ("p", "p100", 100)], "zone string, seed string, node int")
+    first = lambda found, n: {s: sorted((h, x) for _, t, x, h in found if t == s)[:n] for s in {f[1] for f in found}}
+    whole = rows(graph.bfs(edges, seeds, None, ["zone"]))
+    for budget in (1, 11):
+        some = rows(graph.bfs(edges, seeds, None, ["zone"], budget))
+        assert first(some, budget) == first(whole, budget) and set(some) <= set(whole)
+        for seed, met in first(whole, 10**6).items():
+            assert (len(met) > budget) == (sum(t == seed for _, t, _, _ in some) > budget)
+        # a chain stops in the round in which its budget ends
+        assert budget > 1 or sum(s == "p100" for _, s, _, _ in some) == 1 + graph.ROUND_HOPS
+    assert graph.bfs(edges, seeds.where("false"), None, ["zone"], 5).count() == 0
