@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import paths
 from ..functions.text import confidence, one_line, pad, percent, signed
-from ..operators import delta, facts, graph, modules, names, ranges, rollups, symbol
-from ..sources import coverage, trees
+from ..operators import delta, facts, fields, graph, modules, names, ranges, rollups, symbol
+from ..sources import coverage, patterns, trees
 from .bindings import call_edges, impact_tables, order_ranges, ship_points, table, transitions, url_paths, with_views
 from .report import build_report
 
@@ -286,6 +286,28 @@ def effect_catalog(spark, sf_dir):
 
 # Surfaces
 
+_SEQUENCES = ("by the", "of $X and", "to the $X of", "die $X $Y der", "que le")
+
+
+def _sequence_sql() -> str:
+    parts = [[None if w.startswith("$") else w for w in p.split()] for p in _SEQUENCES]
+    at = lambda i: "w" if i == 0 else f"lead(w, {i}) OVER o"
+    words = ", ".join(f"{at(i)} AS w{i}" for i in range(max(map(len, parts))))
+    hits = [f"SELECT file, {n} AS pattern, first, first + {len(p) - 1} AS last FROM n WHERE w{len(p) - 1} IS NOT NULL AND p1 NOT IN ('.', '?.', 'new', 'function') AND " + " AND ".join(f"w{i} = '{w}'" for i, w in enumerate(p) if w) for n, p in enumerate(parts)]
+    return (
+        "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents), "
+        f"n AS (SELECT CAST(doc_id AS VARCHAR) AS file, CAST(i AS INTEGER) AS first, coalesce(lag(w) OVER o, '') AS p1, {words} FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)) " + " UNION ALL ".join(hits)
+    )
+
+
+@query(_sequence_sql())
+def word_sequences(spark, sf_dir):
+    """Where documents hold sequences of words with gaps."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", " ")).alias("at", "text"))
+    tokens = words.select(_head(), "file", "at", F.lit("word").alias("kind"), "text", (F.col("at") + 1).alias("line"), *[F.lit(None).cast("int").alias(c) for c in ("pair", "around")])
+    return patterns.match_sequences(tokens, [patterns.Pattern("words", p) for p in _SEQUENCES]).select("file", "pattern", "first", "last")
+
+
 def _head() -> Column:
     return F.lit("head").alias("tree")
 
@@ -436,6 +458,16 @@ def _walk_sql(kind: str, rule: str) -> str:
 _RULES = {"file": "a.file = b.file", "module": "a.module = b.module", "package": "a.module = b.module", "repo": "true"}
 
 
+def _event_functions(spark, sf_dir):
+    """Users as functions in ten files and five modules, and the calls between them."""
+    ids = F.col("user_id")
+    functions = table(spark, sf_dir, "events").groupBy(ids.alias("fn_id")).agg(F.count("*").cast("int").alias("own"))
+    text = F.col("fn_id").cast("string")
+    functions = functions.select("fn_id", text.alias("name"), (F.col("fn_id") % 10).cast("string").alias("file"), (F.col("fn_id") % 5).cast("string").alias("module"), (F.col("fn_id") % 5).cast("string").alias("package"), F.lit(0).alias("start"), F.lit(0).alias("end"), "own", F.lit(0).alias("inline"))
+    edges = call_edges(spark, sf_dir).select(F.col("src").alias("from_fn"), F.col("dst").alias("to_fn")).distinct()
+    return functions, edges
+
+
 @query(
     "+" + _PLACES + ", ce AS (SELECT DISTINCT src, dst FROM call_edges), " + ",\n".join(_walk_sql(k, r) for k, r in _RULES.items())
     + " UNION ALL ".join(f" SELECT o.symbol, edge, reach, transitive, coalesce(crossings, 0) AS crossings, coalesce(modules, 0) AS modules FROM o_{k} o LEFT JOIN c_{k} c ON c.symbol = o.symbol" for k in _RULES),
@@ -443,16 +475,27 @@ _RULES = {"file": "a.file = b.file", "module": "a.module = b.module", "package":
 )
 def edge_comparison(spark, sf_dir):
     """Reach, weight and crossings of every caller under the four edge rules."""
-    ids = F.col("user_id")
-    functions = table(spark, sf_dir, "events").groupBy(ids.alias("fn_id")).agg(F.count("*").cast("int").alias("own"))
-    text = F.col("fn_id").cast("string")
-    functions = functions.select("fn_id", text.alias("name"), (F.col("fn_id") % 10).cast("string").alias("file"), (F.col("fn_id") % 5).cast("string").alias("module"), (F.col("fn_id") % 5).cast("string").alias("package"), F.lit(0).alias("start"), F.lit(0).alias("end"), "own", F.lit(0).alias("inline"))
-    edges = call_edges(spark, sf_dir).select(F.col("src").alias("from_fn"), F.col("dst").alias("to_fn")).distinct()
+    functions, edges = _event_functions(spark, sf_dir)
     seeds = edges.select(F.col("from_fn").alias("symbol"), F.col("from_fn").alias("fn_id")).distinct()
     stops = edges.select("from_fn", F.lit("dynamic").alias("reason")).where("false")
     return symbol.compare_edges(seeds, functions, edges, stops, None, None).select("symbol", "edge", "reach", "transitive", "crossings", "modules")
 
 
+@query(
+    "+" + _REACH.format(n=5) + """, m AS (SELECT src AS symbol, node, min(h) AS h FROM (SELECT * FROM r UNION SELECT DISTINCT src, src, 0 FROM call_edges) GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY h, node) AS n FROM m WHERE h <= 4), t AS (SELECT DISTINCT symbol FROM m WHERE h = 5)
+    SELECT k.symbol, count_if(n <= 12) AS reach, CAST(max(CASE WHEN n <= 12 THEN h END) AS INTEGER) AS depth, max(n) > 12 OR bool_or(t.symbol IS NOT NULL) AS truncated FROM k LEFT JOIN t ON t.symbol = k.symbol GROUP BY k.symbol""",
+    *_EDGES, recursive=True,
+)
+def walk_limits(spark, sf_dir):
+    """Every caller's walk of four hops and twelve functions at most, and whether one of the limits cut it."""
+    functions, edges = _event_functions(spark, sf_dir)
+    seeds = edges.select(F.col("from_fn").alias("symbol"), F.col("from_fn").alias("fn_id")).distinct()
+    w = symbol.walk(seeds, functions, edges, edges.select("from_fn", F.lit("dynamic").alias("reason")).where("false"), "repo", 4, 12)
+    out = w.nodes.groupBy("symbol").agg(F.count("*").alias("reach"), F.max("depth").alias("depth"))
+    return out.join(w.truncated.withColumn("truncated", F.lit(True)), "symbol", "left").na.fill(False)
+
+
 _NESTED = """o AS (SELECT o_orderkey AS fn_id, CASE WHEN lag(o_custkey) OVER w = o_custkey THEN lag(o_orderkey) OVER w END AS parent, o_orderkey % 3 = 0 AS anonymous FROM orders WINDOW w AS (ORDER BY o_custkey, o_orderkey)),
     own AS (SELECT fn_id, parent, anonymous, CAST(1 + count(l_orderkey) AS INTEGER) AS own FROM o LEFT JOIN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25) ON l_orderkey = fn_id GROUP BY 1, 2, 3),
     r(seed, node) AS (SELECT fn_id, fn_id FROM o UNION SELECT r.seed, o.parent FROM r JOIN o ON o.fn_id = r.node WHERE o.anonymous AND o.parent IS NOT NULL)"""
@@ -689,3 +732,29 @@ def held_closures(spark, sf_dir):
     uses = events.where("event_type in ('view', 'click')").select("all", "array", (F.col("value") < 99).alias("known"))
     elements = events.where("event_type = 'purchase'").select("all", "array", F.when(F.col("value") >= 1, F.col("event_id")).alias("fn"))
     return names.held_closures(events, uses, elements, ["all"]).drop("all")
+
+
+@query(
+    """WITH RECURSIVE s AS (SELECT c_custkey AS cls, 0 AS field, c_custkey % 4 + 1 AS property FROM customer UNION ALL SELECT c_custkey, 1, c_custkey % 3 + 4 FROM customer),
+    k AS (SELECT o_orderkey AS site, o_custkey AS cls, CASE WHEN o_orderstatus = 'P' THEN 'other' WHEN o_orderpriority = '5-LOW' THEN 'none' ELSE 'object' END AS form FROM orders),
+    g AS (SELECT l_orderkey AS site, l_linenumber AS property, CASE WHEN l_quantity <= 45 THEN l_returnflag || l_linestatus END AS type, CASE WHEN l_quantity > 45 AND l_returnflag = 'A' THEN l_suppkey * 3 END AS from_cls, l_linenumber % 2 AS from_field FROM lineitem),
+    d AS (SELECT s.cls, s.field, k.site, s.property, form, g.site IS NOT NULL AS there, type, t.cls AS to_cls, t.field AS to_field FROM s JOIN k ON k.cls = s.cls LEFT JOIN g ON g.site = k.site AND g.property = s.property
+        LEFT JOIN s t ON t.cls = g.from_cls AND t.field = g.from_field),
+    e AS (SELECT DISTINCT cls, field, to_cls, to_field FROM d WHERE form = 'object' AND to_cls IS NOT NULL),
+    r(cls, field, to_cls, to_field, hops) AS (SELECT cls, field, cls, field, 0 FROM s UNION SELECT r.cls, r.field, e.to_cls, e.to_field, hops + 1 FROM r JOIN e ON e.cls = r.to_cls AND e.field = r.to_field WHERE hops < 40),
+    m AS (SELECT cls, field, to_cls, to_field, min(hops) AS hops FROM r GROUP BY 1, 2, 3, 4)
+    SELECT DISTINCT m.cls, m.field, d.site, d.property, CASE WHEN form = 'none' THEN 'no-argument' WHEN form <> 'object' THEN 'not-literal' WHEN NOT there THEN 'no-property' WHEN type IS NULL THEN 'unknown' ELSE 'bound' END AS outcome,
+        CASE WHEN form = 'object' THEN type END AS type, m.hops FROM m JOIN d ON d.cls = m.to_cls AND d.field = m.to_field WHERE form <> 'object' OR d.to_cls IS NULL"""
+)
+def field_bindings(spark, sf_dir):
+    """Customers as classes of two fields, orders as constructions, lines as values: some are a field of another customer."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cls"))
+    slots = customers.select("cls", F.lit(0).alias("field"), (F.col("cls") % 4 + 1).alias("property")).unionByName(customers.select("cls", F.lit(1).alias("field"), (F.col("cls") % 3 + 4).alias("property")))
+    form = F.when(F.col("o_orderstatus") == "P", "other").when(F.col("o_orderpriority") == "5-LOW", "none").otherwise("object")
+    sites = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site"), F.col("o_custkey").alias("cls"), form.alias("form"))
+    passed = (F.col("l_quantity") > 45) & (F.col("l_returnflag") == "A")
+    given = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("site"), F.col("l_linenumber").cast("long").alias("property"), F.when(F.col("l_quantity") <= 45, F.concat("l_returnflag", "l_linestatus")).alias("type"),
+        F.when(passed, F.col("l_suppkey") * 3).alias("from_cls"), (F.col("l_linenumber") % 2).cast("int").alias("from_field"),
+    )
+    return fields.bind_fields(slots, sites, given)

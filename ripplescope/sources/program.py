@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.facts import function_counts
+from ..operators.fields import bind_fields
 from ..operators.graph import follow_aliases, follow_reexports
 from ..operators.names import BODY, EXTERNAL, FUNCTION_TYPE, HOLDER, choose_callees, held_closures, seed_functions, visible_declarations
 from ..operators.ranges import containing, innermost
@@ -47,6 +48,9 @@ class Program:
     declarations: DataFrame  # tree, file, decl, name, kind, at, from, to, fn, body, ..
     arrays: DataFrame  # tree, file, array (the decl), fn, complete
     references: DataFrame  # tree, from_fn, kind, name, line, file (null: external), package (of externals), external, type_only
+    slots: DataFrame  # tree, cls, field, property: see operators.fields
+    sites: DataFrame  # tree, file, site, cls, form, line
+    given: DataFrame  # tree, site, property, type, from_cls, from_field
 
 
 def contexts(tokens: DataFrame) -> DataFrame:
@@ -235,10 +239,55 @@ def scan_program(files: DataFrame, imports: DataFrame, reexports: DataFrame, exp
         functions=table.select("tree", "fn_id", "file", "start", "end", "name", "kind", "own", "inline", "exported", "is_async", "unit_id"),
         calls=materialize(calls, "calls"), call_stops=materialize(stops.select("tree", "from_fn", "call_no", "reason", "decl_file", "line", "text"), "stops"),
         decl_seeds=materialize(shown.select(*KEY, "name", "fn_id").unionByName(default).distinct(), "decl-seeds"), declarations=declarations, arrays=arrays,
-        references=materialize(references, "references"),
+        references=materialize(references, "references"), **_constructions(near, brackets, declarations, functions, resolve),
     )
 
 
+def field_bindings(program: Program) -> DataFrame:
+    """(tree, class, field, file, line, property, outcome, type, hops): what constructions give to the fields of classes.
+
+    A constructor gives a field if it assigns a plain name to it, the last one if there are several; the construction's first
+    argument is then searched for a property of that name. A value's type is that of a declared variable or parameter, what it is
+    a `new` of, or that of a literal.
+    """
+    found = bind_fields(program.slots, program.sites, program.given, ["tree"])
+    named = program.declarations.where("kind = 'class'").select("tree", F.col("decl").alias("cls"), F.col("name").alias("class"))
+    return found.join(program.sites.select("tree", "site", "file", "line"), ["tree", "site"]).join(named, ["tree", "cls"]).select("tree", "class", "field", "file", "line", "property", "outcome", "type", "hops")
+
+
+def _constructions(near, brackets, declarations, functions, resolve) -> dict[str, DataFrame]:
+    """slots, sites and given of a Program; nothing is computed until they are asked for."""
+    classes = declarations.where("kind = 'class' and body is not null").select(*KEY, "decl", F.col("body").alias("open"))
+    spans = classes.join(brackets.select(*KEY, "open", "close"), [*KEY, "open"]).select(*KEY, F.col("decl").alias("cls"), F.col("open").alias("start"), F.col("close").alias("end"))
+    around = lambda df, *columns: innermost(df, spans, KEY, [*KEY, *columns], "cls", line="at")
+    after = near.select(*KEY, (F.col("at") - 1).alias("at"), F.col("line").alias("n_line"))
+    ends = F.col("n1").isNull() | F.col("n1").isin(";", "}", ",") | (F.col("n_line") > F.col("line")) & (F.col("n1").rlike(r"^[\w$#@]") & ~F.col("n1").isin("as", "in", "instanceof", "satisfies"))
+    plain = (F.col("kind") == "word") & ~F.col("text").isin(*_NO_CALLEE, "this", "true", "false", "null", "undefined")
+    assigned = near.where("p1 = '=' and p3 = '.' and p4 = 'this'").where(plain).join(after, [*KEY, "at"], "left").where(ends).select(*KEY, "at", F.col("p2").alias("field"), F.col("text").alias("property"))
+    inside = containing(assigned, functions.where("kind = 'constructor'").select(*KEY, "first", "last"), KEY, "at", "first", "last").select(*KEY, "at", "field", "property").distinct()
+    slots = around(inside, "at", "field", "property").groupBy("tree", "cls", "field").agg(F.max_by("property", "at").alias("property"))
+
+    made = near.where("p1 = 'new' and kind = 'word' and n1 = '('").select(*KEY, F.col("at").alias("use"), "at", F.col("text").alias("name"), "line", "n2")
+    form = F.when(F.col("n2") == "{", "object").when(F.col("n2") == ")", "none").otherwise("other")
+    meant = resolve(made.select(*KEY, "use", "name", "at")).join(classes.select("tree", "decl"), ["tree", "decl"], "left_semi").select(*KEY, "use", F.col("decl").alias("cls"))
+    sites = made.join(meant, [*KEY, "use"]).select(*KEY, F.concat_ws("@", "file", "use").alias("site"), "cls", form.alias("form"), "line", (F.col("use") + 2).alias("around"))
+
+    listed = near.where("kind = 'word' and p1 in ('{', ',') and n1 in (':', ',', '}')").join(sites.where("form = 'object'").select(*KEY, "around", "site").distinct(), [*KEY, "around"])
+    listed = listed.select(*KEY, "site", F.col("text").alias("property"), F.when(F.col("n1") == ":", F.col("at") + 2).otherwise(F.col("at")).alias("at"))
+    values = listed.join(near.select(*KEY, "at", "kind", "text", "n1", "n2", "n3"), [*KEY, "at"])
+    last = lambda c: F.col(c).isin(",", "}")
+    words = values.where((F.col("kind") == "word") & (last("n1") | (F.col("n1") == ":"))).select(*KEY, F.col("at").alias("use"), F.col("text").alias("name"), "at").distinct()
+    types = resolve(words).join(declarations.select("tree", "decl", F.col("type").alias("declared")), ["tree", "decl"]).groupBy(*KEY, F.col("use").alias("at")).agg(F.min("declared").alias("declared"))
+    own = around(values.where(F.col("text") == "this").select(*KEY, "at").distinct(), "at").select(*KEY, "at", F.col("cls").alias("from_cls"))
+    field = F.when((F.col("text") == "this") & (F.col("n1") == ".") & last("n3"), F.col("n2"))
+    type_ = (
+        F.when((F.col("text") == "new") & (F.col("kind") == "word"), F.col("n1")).when((F.col("kind") == "string") & last("n1"), "string")
+        .when((F.col("kind") == "number") & last("n1"), "number").when(F.col("text").isin("true", "false") & last("n1"), "boolean").otherwise(F.col("declared"))
+    )
+    given = values.join(types, [*KEY, "at"], "left").join(own, [*KEY, "at"], "left").select("tree", "site", "property", type_.alias("type"), F.when(field.isNotNull(), F.col("from_cls")).alias("from_cls"), field.alias("from_field"))
+    return {"slots": slots, "sites": sites.select(*KEY, "site", "cls", "form", "line"), "given": given}
+
+
 def _candidates(found: DataFrame, declarations: DataFrame) -> DataFrame:
     """found(tree, file, use, decl, at_file) with the kind and function of the declaration."""
     return found.select(*KEY, "use", "decl").join(declarations.select("tree", "decl", "kind", "fn"), ["tree", "decl"]).select(*KEY, "use", "decl", "kind", "fn")
