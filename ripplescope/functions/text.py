@@ -41,3 +41,8 @@ def confidence(stop_fraction: Column, js_fraction: Column, stop_weight: float =
     """1 less the weighted fractions, within 0 and 1, rounded half up to two digits."""
     raw = F.lit(1.0) - F.lit(stop_weight) * stop_fraction - F.lit(js_weight) * js_fraction
     return half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+
+
+def locale_order(c: Column) -> Column:
+    """A key that sorts names as readers do: letters before case, accents in between, by the root collation of Unicode."""
+    return F.collate(c, "UNICODE")

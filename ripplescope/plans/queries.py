@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import paths
-from ..functions.text import confidence, one_line, pad, percent, signed
+from ..functions.text import confidence, locale_order, one_line, pad, percent, signed
 from ..operators import delta, facts, fields, graph, modules, names, ranges, rollups, symbol
 from ..sources import coverage, patterns, trees
 from .bindings import call_edges, impact_tables, order_ranges, ship_points, table, transitions, url_paths, with_views
@@ -758,3 +758,15 @@ def field_bindings(spark, sf_dir):
         F.when(passed, F.col("l_suppkey") * 3).alias("from_cls"), (F.col("l_linenumber") % 2).cast("int").alias("from_field"),
     )
     return fields.bind_fields(slots, sites, given)
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT lang, unnest(string_split(text, ' ')) AS word FROM documents)
+    SELECT lang, lower(left(word, 1)) AS letter, word, row_number() OVER (PARTITION BY lang, lower(left(word, 1)) ORDER BY word COLLATE en_US, word) AS place FROM w WHERE length(word) BETWEEN 2 AND 6"""
+)
+def name_order(spark, sf_dir):
+    """Short words of a language by first letter, in the order of the report's names."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", " ")).alias("word")).distinct().where("length(word) between 2 and 6")
+    letter = F.lower(F.left("word", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("lang", letter).orderBy(locale_order(F.col("word")), "word"))
+    return words.select("lang", letter.alias("letter"), "word", place.cast("long").alias("place"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.text import locale_order
 from ..operators.delta import module_delta, renamed_modules, symbol_delta, touched_modules
 from ..operators.facts import Facts, module_facts
 from ..operators.graph import blast_radius, indirect_deps
@@ -51,7 +52,10 @@ def build_report(tables: dict[str, DataFrame], config: Config = Config()) -> Rep
 
 def module_models(model: ModuleModel, facts: Facts) -> DataFrame:
     """One nested row per tree and module: facts, boundary, direct and indirect dependencies, dependents."""
-    boundary = facts.symbols.groupBy("tree", "module").agg(F.sort_array(F.collect_list(F.struct((-F.col("complexity")).alias("rank"), "name", "provider", "file", "type_only", "used_by", "complexity", "stops", "effects", "coverage"))).alias("symbols"))
+    # the most complex first, names without a function as zero, then by name as readers sort
+    rank = -F.coalesce("complexity", F.lit(0))
+    shown = F.struct(rank.alias("rank"), locale_order(F.col("name")).alias("order"), "name", "provider", "file", "type_only", "used_by", "complexity", "stops", "effects", "coverage")
+    boundary = facts.symbols.groupBy("tree", "module").agg(F.transform(F.sort_array(F.collect_list(shown)), lambda s: s.dropFields("order")).alias("symbols"))
     direct = model.direct_deps.groupBy("tree", F.col("src").alias("module")).agg(F.sort_array(F.collect_list(F.struct(F.col("dst").alias("module"), "type_only", "count"))).alias("direct"))
     far = indirect_deps(model.direct_deps.select("tree", "src", "dst"), keys=["tree"]).groupBy("tree", F.col("src").alias("module")).agg(F.sort_array(F.collect_list(F.struct("hops", F.col("dst").alias("module")))).alias("indirect"))
     near = model.direct_deps.groupBy("tree", F.col("dst").alias("module")).agg(F.sort_array(F.collect_set("src")).alias("dependents"))
