@@ -62,3 +62,9 @@ def test_text_views(spark):
 def test_config_overrides_by_key():
     c = load_config('{"modules": ["m/*"], "reexportDepth": 2, "providers": [{"name": "r", "pattern": "x(y)", "nameVar": "P"}], "other": 1}')
     assert c.modules == ("m/*",) and c.reexport_depth == 2 and c.providers[0].name == "r" and "dist" in c.exclude
+
+
+def test_names_in_locale_order(spark):
+    names = ["b", "B", "a", "É", "e", "é", "_z", "e1", "f", None, ""]
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    assert [r[0] for r in df.orderBy(text.locale_order(F.col("v"))).collect()] == [None, "", "_z", "a", "b", "B", "e", "é", "É", "e1", "f"]
