@@ -19,18 +19,23 @@ from ..storage import materialize
 ROUND_HOPS = 3
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: Sequence[str] = (), budget: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: Sequence[str] = (), budget: int | None = None, known: DataFrame | None = None) -> DataFrame:
     """edges(keys.., src, dst), seeds(keys.., seed, node) to (keys.., seed, node, hops) at the least hops; seeds are at 0.
 
     A seed that has met more than budget nodes at the end of a round goes no further; all nodes up to the hops it came to are
     there, so its first budget nodes by hops are those of the whole search, and it has more of them just where that has.
+    known(keys.., seed, node) was met by an earlier search: it is neither entered nor returned nor part of the budget.
     Cycles and self-loops are harmless; max_hops None runs until nothing new is found. Rows with null keys or ends are no edges,
     and a null node leads nowhere.
     """
     keys = [*keys]
-    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, "src", "dst")])
-    edges = materialize(edges.select(*keys, "src", "dst").where("src <> dst").where(known).distinct(), "edges")
-    frontier = materialize(seeds.select(*keys, "seed", "node").distinct().withColumn("hops", F.lit(0)), "hop")
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*keys, "src", "dst")])
+    edges = materialize(edges.select(*keys, "src", "dst").where("src <> dst").where(whole).distinct(), "edges")
+    start = seeds.select(*keys, "seed", "node").distinct()
+    met_before = [] if known is None else [known.select(*keys, "seed", "node")]
+    for before in met_before:
+        start = start.join(before, [*keys, "seed", "node"], "left_anti")
+    frontier = materialize(start.withColumn("hops", F.lit(0)), "hop")
     rounds, hops = [frontier], 0
     met = None  # how many nodes each seed has
     while (max_hops is None or hops < max_hops) and not frontier.isEmpty():
@@ -41,7 +46,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None, keys: S
             ahead.append(at.withColumn("hops", F.lit(hops)))
         found = reduce(DataFrame.unionByName, ahead).groupBy(*keys, "seed", "node").agg(F.min("hops").alias("hops")) if len(ahead) > 1 else ahead[0]
         # what lies nearer may have been seen in any round; only nodes at the last hop have not led on yet
-        seen = reduce(DataFrame.unionByName, rounds).select(*keys, "seed", "node")
+        seen = reduce(DataFrame.unionByName, [r.select(*keys, "seed", "node") for r in rounds] + met_before)
         rounds.append(materialize(found.join(seen, [*keys, "seed", "node"], "left_anti"), "hop"))
         frontier = rounds[-1].where(F.col("hops") == hops)
         if budget is not None:

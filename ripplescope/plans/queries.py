@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import paths
 from ..functions.text import confidence, locale_order, one_line, pad, percent, signed
-from ..operators import delta, facts, fields, graph, modules, names, ranges, rollups, symbol
+from ..operators import delta, facts, fields, graph, growth, modules, names, ranges, rollups, symbol
 from ..sources import coverage, patterns, trees
 from .bindings import call_edges, impact_tables, order_ranges, ship_points, table, transitions, url_paths, with_views
 from .report import build_report
@@ -770,3 +770,43 @@ def name_order(spark, sf_dir):
     letter = F.lower(F.left("word", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("lang", letter).orderBy(locale_order(F.col("word")), "word"))
     return words.select("lang", letter.alias("letter"), "word", place.cast("long").alias("place"))
+
+
+def _growth_sql(rounds: int) -> str:
+    """Every round closes the files and then the functions anew, from all that the rounds before have."""
+    parts = [
+        """+t AS (SELECT t.*, tree FROM transitions t, (SELECT unnest(['base', 'head']) AS tree) WHERE tree = 'head' OR ts < TIMESTAMP '2024-01-16'),
+    c AS (SELECT DISTINCT tree, src, dst FROM t WHERE src_type = 'error' AND dst_type = 'purchase' AND value < 25),
+    i AS (SELECT DISTINCT tree, src // 2 AS src, dst // 2 AS dst FROM t WHERE src_type = 'view' AND dst_type = 'signup' AND value < 15),
+    a AS (SELECT DISTINCT tree, src, dst // 2 + CASE WHEN dst // 2 % 7 = 3 THEN 1 ELSE 0 END AS source, dst AS name FROM t WHERE src_type = 'signup' AND dst_type = 'error' AND value < 25 AND dst // 2 % 5 <> 0),
+    o AS (SELECT tree, src, name AS dst, source FROM a WHERE source = name // 2),
+    s AS (SELECT DISTINCT tree, seed FROM (SELECT arg_max(user_id, {'v': value, 'e': event_id}) AS seed FROM events GROUP BY date_trunc('day', ts)), (SELECT unnest(['base', 'head']) AS tree))"""
+    ]
+    for n in range(rounds + 1):
+        files = "SELECT tree, seed // 2 AS file FROM s" if n == 0 else f"SELECT tree, file FROM l{n - 1} UNION SELECT a.tree, a.source FROM a JOIN r{n - 1} r ON r.tree = a.tree AND r.fn = a.src"
+        functions = "SELECT tree, seed, seed AS fn FROM s" if n == 0 else f"SELECT tree, seed, fn FROM r{n - 1}"
+        parts.append(f"l{n}(tree, file) AS (SELECT tree, file FROM ({files}) UNION SELECT i.tree, i.dst FROM l{n} l JOIN i ON i.tree = l.tree AND i.src = l.file)")
+        parts.append(f"e{n} AS (SELECT tree, src, dst FROM c UNION SELECT o.tree, o.src, o.dst FROM o JOIN l{n} l ON l.tree = o.tree AND l.file = o.source)")
+        parts.append(f"r{n}(tree, seed, fn) AS (SELECT tree, seed, fn FROM ({functions}) UNION SELECT r.tree, r.seed, e.dst FROM r{n} r JOIN e{n} e ON e.tree = r.tree AND e.src = r.fn)")
+    rows = " UNION ALL ".join(f"SELECT tree, 'file' AS kind, CAST(NULL AS BIGINT) AS seed, file AS item, {n} AS n FROM l{n} UNION ALL SELECT tree, 'function', seed, fn, {n} FROM r{n}" for n in range(rounds + 1))
+    return ",\n    ".join(parts) + f"\n    SELECT tree, kind, seed, item, CAST(min(n) AS INTEGER) AS round FROM ({rows}) GROUP BY tree, kind, seed, item"
+
+
+@query(_growth_sql(growth.GROWTH_ROUNDS), "transitions", recursive=True)
+def program_growth(spark, sf_dir):
+    """Users as functions, two to a file: what the users with the dearest event of a day reach, and the files that are loaded for it."""
+    trees_ = F.explode(F.array(F.lit("base"), F.lit("head"))).alias("tree")
+    moved = transitions(spark, sf_dir).select("*", trees_).where((F.col("tree") == "head") | (F.col("ts") < F.lit("2024-01-16").cast("timestamp")))
+    of = lambda a, b, below: moved.where((F.col("src_type") == a) & (F.col("dst_type") == b) & (F.col("value") < below))
+    file = lambda user: F.expr(f"{user} div 2")
+    built = of("signup", "error", 25).select("tree", "src", file("dst").alias("file"), F.col("dst").alias("name"))
+    source = F.col("file") + F.when(F.col("file") % 7 == 3, 1).otherwise(0)  # those of some built files do not declare the name
+    users = table(spark, sf_dir, "events").select("user_id", trees_).distinct()
+    seeds = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts")).agg(F.max_by("user_id", F.struct("value", "event_id")).alias("seed")).select("seed").distinct().select(trees_, "seed", F.col("seed").alias("fn"))
+    grown = growth.grow(
+        seeds, of("error", "purchase", 25), built, built.where("file % 5 <> 0").select("tree", "file", source.alias("source")).distinct(),
+        users.select("tree", file("user_id").alias("file"), F.col("user_id").alias("name"), F.col("user_id").alias("fn")), seeds.select("tree", file("seed").alias("file")),
+        of("view", "signup", 15).select("tree", file("src").alias("src"), file("dst").alias("dst")),
+    )
+    files = grown.loaded.select("tree", F.lit("file").alias("kind"), F.lit(None).cast("long").alias("seed"), F.col("file").alias("item"), "round")
+    return files.unionByName(grown.reached.select("tree", F.lit("function").alias("kind"), "seed", F.col("fn").alias("item"), "round"))
