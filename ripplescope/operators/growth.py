@@ -62,15 +62,15 @@ def grow(
     file_keys, fn_keys = [*keys, "file"], [*keys, "seed", "fn"]
     asks = materialize(built_calls.join(sources, file_keys).select(*keys, "src", "source", "name").na.drop().distinct(), "asks")
     opens = materialize(asks.join(declared.select(*keys, F.col("file").alias("source"), "name", F.col("fn").alias("dst")), [*keys, "source", "name"]).select(*keys, "src", "dst", F.col("source").alias("file")).na.drop().distinct(), "opens")
-    imports = materialize(imports.select(*keys, "src", "dst").distinct(), "imports")
+    imports, calls = [materialize(edges.select(*keys, "src", "dst").distinct(), "given") for edges in (imports, calls)]
 
     def load(wanted: DataFrame, known: DataFrame | None) -> DataFrame:
         one = lambda df: df.select(*keys, F.lit(0).alias("seed"), F.col("file").alias("node"))
-        return bfs(imports, one(wanted), keys=keys, known=None if known is None else one(known)).select(*keys, F.col("node").alias("file"))
+        return materialize(bfs(imports, one(wanted), keys=keys, known=None if known is None else one(known)).select(*keys, F.col("node").alias("file")), "loaded")
 
     def search(edges: DataFrame, start: DataFrame, known: DataFrame | None) -> DataFrame:
         nodes = lambda df: df.select(*keys, "seed", F.col("fn").alias("node"))
-        return bfs(edges, nodes(start), keys=keys, known=None if known is None else nodes(known)).select(*keys, "seed", F.col("node").alias("fn"))
+        return materialize(bfs(edges, nodes(start), keys=keys, known=None if known is None else nodes(known)).select(*keys, "seed", F.col("node").alias("fn")), "reached")
 
     def asked(new: DataFrame, held: DataFrame) -> DataFrame:
         """Sources that the functions reached last want; those reached before have theirs."""
@@ -78,7 +78,7 @@ def grow(
         return materialize(asks.join(callers, [*keys, "src"], "left_semi").select(*keys, F.col("source").alias("file")).distinct().join(held, file_keys, "left_anti"), "pending")
 
     held = load(loaded.select(*file_keys).na.drop().distinct(), None)
-    edges = calls.select(*keys, "src", "dst").unionByName(opens.join(held, file_keys, "left_semi").drop("file"))
+    edges = calls.unionByName(opens.join(held, file_keys, "left_semi").drop("file"))
     reached = search(edges, seeds.select(*fn_keys).na.drop().distinct(), None)
     files, functions = [held.withColumn("round", F.lit(0))], [reached.withColumn("round", F.lit(0))]
     pending = asked(reached, held)
