@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +16,8 @@ from .ranges import innermost, line_coverage
 
 EDGE_KINDS = ("file", "module", "package", "repo")
 MAX_DEPTH, MAX_NODES = 12, 4000  # fixed values
+#: Kinds of declarations without a value at run time.
+TYPE_KINDS = ("interface", "type", "type-parameter")
 
 
 def parse_reference(reference: str) -> dict[str, str | None]:
@@ -151,6 +154,25 @@ def compare_edges(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call
     return out.select("symbol.symbol", "symbol.edge", "reach", "transitive", "stops", "crossings", "modules", "truncated")
 
 
+def identities(declarations: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("tree", "file")) -> DataFrame:
+    """declarations(keys.., symbol, decl, kind, line, exported, is_default, given), seeds(keys.., symbol, fn_id) to
+    (keys.., symbol, kind, line, exported, default_export, type_only, overloads, seeds), a row per declared symbol.
+
+    kind and line are those of the first declaration by line and decl. It is exported if any declaration is, type-only if all are
+    types or variables that are given nothing. Declarations and seed functions that are repeated count once; a null flag is
+    false, and rows without a key, symbol, decl or function play no part.
+    """
+    key = [*keys, "symbol"]
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    is_type = F.coalesce(F.col("kind").isin(*TYPE_KINDS) | ((F.col("kind") == "variable") & ~F.coalesce("given", F.lit(False))), F.lit(False))
+    parts = declarations.na.drop(subset=[*key, "decl"]).groupBy(*key, "decl").agg(F.min(F.struct("line", "kind")).alias("x"), flag("exported").alias("exported"), flag("is_default").alias("is_default"), F.bool_and(is_type).alias("is_type"))
+    out = parts.groupBy(*key).agg(
+        F.min_by("x", F.struct(F.col("x.line"), F.col("decl"))).alias("x"), F.bool_or("exported").alias("exported"), F.bool_or("is_default").alias("default_export"), F.bool_and("is_type").alias("type_only"), F.count("*").alias("overloads"),
+    )
+    counts = seeds.select(*key, "fn_id").na.drop().distinct().groupBy(*key).agg(F.count("*").alias("seeds"))
+    return out.join(counts, key, "left").select(*key, "x.kind", "x.line", "exported", "default_export", "type_only", "overloads", F.coalesce("seeds", F.lit(0).cast("long")).alias("seeds"))
+
+
 def importers(imports: DataFrame, origins: DataFrame, module_of: DataFrame, file: str, name: str) -> DataFrame:
     """Imports that end at file#name through re-exports: file, line, spec, as, type_only, module."""
     hits = imports.where("to_file is not null").join(origins.select("tree", F.col("file").alias("to_file"), "name", "origin_file", "origin_name"), ["tree", "to_file", "name"], "left")

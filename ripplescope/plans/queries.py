@@ -810,3 +810,23 @@ def program_growth(spark, sf_dir):
     )
     files = grown.loaded.select("tree", F.lit("file").alias("kind"), F.lit(None).cast("long").alias("seed"), F.col("file").alias("item"), "round")
     return files.unionByName(grown.reached.select("tree", F.lit("function").alias("kind"), "seed", F.col("fn").alias("item"), "round"))
+
+
+@query(
+    """WITH d AS (SELECT o_custkey AS symbol, o_orderkey AS decl, CASE WHEN o_totalprice < 60000 THEN 'interface' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'variable' ELSE 'function' END AS kind,
+        date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS line, o_orderstatus = 'P' AS exported, o_orderpriority = '5-LOW' AS is_default, o_orderstatus = 'F' AS given FROM orders),
+    g AS (SELECT symbol, arg_min(kind, {'l': line, 'd': decl}) AS kind, arg_min(line, {'l': line, 'd': decl}) AS line, bool_or(exported) AS exported, bool_or(is_default) AS default_export,
+        bool_and(kind = 'interface' OR kind = 'variable' AND NOT given) AS type_only, count(*) AS overloads FROM d GROUP BY symbol),
+    f AS (SELECT o_custkey AS symbol, count(DISTINCT l_partkey) AS seeds FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT g.symbol, kind, CAST(line AS INTEGER) AS line, exported, default_export, type_only, overloads, coalesce(seeds, 0) AS seeds FROM g LEFT JOIN f ON f.symbol = g.symbol"""
+)
+def symbol_identity(spark, sf_dir):
+    """Customers as symbols, their orders as declarations, returned parts as seed functions."""
+    orders = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_totalprice") < 60000, "interface").when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "variable").otherwise("function")
+    declared = orders.select(
+        F.col("o_custkey").alias("symbol"), F.col("o_orderkey").alias("decl"), kind.alias("kind"), F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("line"),
+        (F.col("o_orderstatus") == "P").alias("exported"), (F.col("o_orderpriority") == "5-LOW").alias("is_default"), (F.col("o_orderstatus") == "F").alias("given"),
+    )
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("fn_id"))
+    return symbol.identities(declared, returned.join(orders.select("o_orderkey", F.col("o_custkey").alias("symbol")), "o_orderkey"), ())

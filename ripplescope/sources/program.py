@@ -18,6 +18,7 @@ from ..operators.fields import bind_fields
 from ..operators.graph import follow_aliases, follow_reexports
 from ..operators.names import BODY, EXTERNAL, FUNCTION_TYPE, HOLDER, choose_callees, held_closures, seed_functions, visible_declarations
 from ..operators.ranges import containing, innermost
+from ..operators.symbol import identities
 from ..storage import materialize
 from .syntax import decision_nodes, scan_functions, token_rows
 
@@ -243,6 +244,20 @@ def scan_program(files: DataFrame, imports: DataFrame, reexports: DataFrame, exp
     )
 
 
+def symbol_identities(program: Program, exports: DataFrame) -> DataFrame:
+    """(tree, file, symbol, kind, line, exported, default_export, type_only, overloads, seeds) of what files declare at their top.
+
+    exports(tree, file, name, line); a declaration is the default export if its line says so.
+    """
+    declared = program.declarations.where("from = -1 and kind <> 'import' and name is not null")
+    shown = exports.where("name <> 'default'").select(*KEY, "name", F.lit(True).alias("exported")).distinct()
+    default = exports.where("name = 'default'").select(*KEY, "line", F.lit(True).alias("is_default")).distinct()
+    declared = declared.join(shown, [*KEY, "name"], "left").join(default, [*KEY, "line"], "left")
+    declared = declared.select(*KEY, F.col("name").alias("symbol"), "decl", "kind", "line", (F.col("exported") | F.col("is_default")).alias("exported"), "is_default", F.col("value").isNotNull().alias("given"))
+    declared = declared.withColumn("exported", F.coalesce("exported", F.lit(False)))
+    return identities(declared, program.decl_seeds.withColumnRenamed("name", "symbol"), KEY)
+
+
 def field_bindings(program: Program) -> DataFrame:
     """(tree, class, field, file, line, property, outcome, type, hops): what constructions give to the fields of classes.
 

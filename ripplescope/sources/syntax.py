@@ -174,12 +174,16 @@ class Source:
                 k = self.pair.get(k, k) + 1
             elif self.is_(k, "{"):
                 return k if k in self.pair else None
-            elif self.is_(k, ";", "=", "}", ")"):
+            elif self.is_(k, ";", "=", "}", ")") or k > i + 1 and self._next_statement(k):
                 return None
             else:
                 k += 1
         return None
 
+    def _next_statement(self, k: int) -> bool:
+        """Whether a type has ended with its line before k, as that of an overload without a semicolon."""
+        return self.word(k) not in (None, "is", "extends") and self.line(k) > self.line(k - 1) and not self.is_(k - 1, *_TYPE_GOES_ON)
+
     def _past_generics(self, i: int) -> int:
         if not self.is_(i, "<"):
             return i
