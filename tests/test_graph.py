@@ -122,3 +122,29 @@ def test_budgeted_search_holds_the_first_nodes(spark):
         # a chain stops in the round in which its budget ends
         assert budget > 1 or sum(s == "p100" for _, s, _, _ in some) == 1 + graph.ROUND_HOPS
     assert graph.bfs(edges, seeds.where("false"), None, ["zone"], 5).count() == 0
+
+
+def test_reach_sums_list_no_pairs_below_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_EDGES", 10)
+    rnd = random.Random(5)
+    held = {(t, base + rnd.randrange(60), base + rnd.randrange(60)) for t, base in (("b", 0), ("b", 100), ("h", 0)) for _ in range(120)} | {("h", 200 + i, 201 + i) for i in range(9)}
+    listed, search = [], graph.bfs
+
+    def counted(edges, seeds, *rest):
+        found = search(edges, seeds, *rest)
+        listed.append(found.count())
+        return found
+
+    monkeypatch.setattr(graph, "bfs", counted)
+    edges = spark.createDataFrame([*held, ("b", None, 1), ("b", 7, 7)], "tree string, src long, dst long")
+    nodes = sorted({(t, n) for t, a, b in held for n in (a, b)} | {("b", 999)})
+    weights = spark.createDataFrame([(t, n, 1, n % 7) for t, n in nodes if n != 3], "tree string, node long, reach long, n long")
+    want, pairs = [], 0
+    for t, n in nodes:
+        met = brute_hops({(a, b) for k, a, b in held if k == t}, n)
+        pairs += len(met)
+        found = [m for m in met if m != 3]
+        if found:
+            want.append((t, n, len(found), sum(m % 7 for m in found)))
+    assert rows(graph.reach_sums(edges, weights, edges.sparkSession.createDataFrame(nodes, "tree string, node long"), ["tree"])) == sorted(want, key=lambda r: tuple((False, str(v)) for v in r))
+    assert pairs > 5 * sum(listed)
