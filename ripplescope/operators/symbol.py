@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import confidence
 from ..storage import materialize
-from .graph import bfs
+from .graph import bfs, reach_sums
 from .ranges import innermost, line_coverage
 
 EDGE_KINDS = ("file", "module", "package", "repo")
@@ -141,8 +141,10 @@ def symbol_facts(w: Walk, matches: DataFrame, lines: DataFrame) -> DataFrame:
 def compare_edges(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame, max_depth: int | None = MAX_DEPTH, max_nodes: int | None = MAX_NODES) -> DataFrame:
     """(symbol, edge, reach, transitive, stops, crossings, modules, truncated) under each of the four edge rules.
 
-    truncated: a limit was met, so the other figures are least values.
+    truncated: a limit was met, so the other figures are least values. Without limits no walk is listed, only its sums are made.
     """
+    if max_depth is None and max_nodes is None:
+        return _edge_sums(seeds, functions, calls, call_stops)
     edges, starts = zip(*[_zoned(seeds, functions, calls, kind) for kind in EDGE_KINDS])
     named = [start.withColumn("seed", F.struct(F.col("seed").alias("symbol"), F.lit(kind).alias("edge"))) for kind, start in zip(EDGE_KINDS, starts)]
     every = materialize(reduce(DataFrame.unionByName, edges), "zones")
@@ -154,6 +156,35 @@ def compare_edges(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call
     return out.select("symbol.symbol", "symbol.edge", "reach", "transitive", "stops", "crossings", "modules", "truncated")
 
 
+def _edge_sums(seeds: DataFrame, functions: DataFrame, calls: DataFrame, call_stops: DataFrame) -> DataFrame:
+    """compare_edges without limits. Symbols, functions, crossings and modules crossed to are nodes of one graph per zone, so all figures are sums over what a symbol reaches."""
+    node = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("id"))
+    place = materialize(functions.select("fn_id", F.struct("name", "file", "module", "package").alias("place")).distinct(), "places")
+    starts = materialize(reduce(DataFrame.unionByName, [_zoned(seeds, functions, calls, kind)[1].withColumn("edge", F.lit(kind)) for kind in EDGE_KINDS]), "starts")
+    zones = F.explode(F.array(*[_zone(kind, "place") for kind in EDGE_KINDS])).alias("zone")
+    # a symbol may start at functions outside its home's zone
+    members = place.select(zones, "fn_id").unionByName(starts.select("zone", F.col("node").alias("fn_id"))).join(starts.select("zone").distinct(), "zone", "left_semi").distinct()
+    of = F.element_at(F.create_map(*[x for kind in EDGE_KINDS for x in (F.lit(kind), _zone(kind, "place"))]), F.substring_index("zone", ":", 1))
+    used = calls.select(F.col("from_fn").alias("fn_id"), "to_fn").distinct().join(members, "fn_id").join(place.select(F.col("fn_id").alias("to_fn"), "place"), "to_fn")
+    used = materialize(used.select("zone", node("function", F.col("fn_id")).alias("src"), "to_fn", "place", (F.col("zone") == of).alias("inside")), "used")
+    edges = [
+        starts.select("zone", node("symbol", F.col("seed")).alias("src"), node("function", F.col("node")).alias("dst")),
+        used.where("inside").select("zone", "src", node("function", F.col("to_fn")).alias("dst")),
+        used.where("not inside").select("zone", "src", node("crossing", F.to_json("place")).alias("dst")),
+        used.where("not inside and place.module is not null").select("zone", "src", node("module", F.col("place.module")).alias("dst")),
+    ]
+    edges = reduce(DataFrame.unionByName, edges).distinct()
+    zero = F.lit(0).cast("long")
+    stops = call_stops.groupBy(F.col("from_fn").alias("fn_id")).agg(F.count("*").alias("stops"))
+    counts = functions.join(stops, "fn_id", "left").groupBy("fn_id").agg(F.count("*").alias("reach"), F.sum((F.col("own") + F.col("inline")).cast("long")).alias("transitive"), F.sum(F.coalesce("stops", zero)).alias("stops"))
+    counts = counts.join(members, "fn_id").select("zone", node("function", F.col("fn_id")).alias("node"), "reach", "transitive", "stops", zero.alias("crossings"), zero.alias("modules"))
+    outside = edges.where("dst.kind in ('crossing', 'module')").select("zone", F.col("dst").alias("node")).distinct()
+    outside = outside.select("zone", "node", *[zero.alias(c) for c in ("reach", "transitive", "stops")], *[(F.col("node.kind") == kind).cast("long").alias(c) for kind, c in (("crossing", "crossings"), ("module", "modules"))])
+    of_symbols = starts.select("zone", "edge", F.col("seed").alias("symbol"), node("symbol", F.col("seed")).alias("node")).distinct()
+    sums = reach_sums(edges, materialize(counts.unionByName(outside), "weights"), of_symbols, ["zone"]).where("reach > 0")
+    return of_symbols.join(sums, ["zone", "node"]).select("symbol", "edge", "reach", "transitive", "stops", "crossings", "modules", F.lit(False).alias("truncated"))
+
+
 def identities(declarations: DataFrame, seeds: DataFrame, keys: Sequence[str] = ("tree", "file")) -> DataFrame:
     """declarations(keys.., symbol, decl, kind, line, exported, is_default, given), seeds(keys.., symbol, fn_id) to
     (keys.., symbol, kind, line, exported, default_export, type_only, overloads, seeds), a row per declared symbol.

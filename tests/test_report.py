@@ -160,3 +160,32 @@ def test_edge_comparison_follows_chains_to_their_end(spark, tmp_path):
     # a walk that ends at the limit by itself is whole
     whole = symbol.compare_edges(seeds.where("symbol = 10"), functions, calls, stops, max_depth=5)
     assert {(r.reach, r.truncated) for r in whole.collect()} == {(6, False)}
+
+
+def test_unlimited_edge_comparison_lists_no_walk(spark, monkeypatch):
+    from ripplescope.operators import graph
+
+    def no_walk(*_):
+        raise AssertionError("a walk was listed")
+
+    monkeypatch.setattr(symbol, "bfs", no_walk)
+    monkeypatch.setattr(graph, "HUB_EDGES", 5)
+    calls = {(i, (i * 7 + k) % 12) for i in range(12) for k in (1, 4)} | {(3, 20)}
+    held = {i: (f"f{i % 3}", f"m{i % 2}" if i else None) for i in (*range(12), 20)}
+    functions = spark.createDataFrame([(i, "n", f, m, "p", 0, 0, i, 1) for i, (f, m) in held.items()], "fn_id long, name string, file string, module string, package string, start int, end int, own int, inline int")
+    starts = {100: (1, 5), 101: (3,), 102: (20,), 103: (0,)}
+    seeds = spark.createDataFrame([(s, f) for s, fs in starts.items() for f in fs], "symbol long, fn_id long")
+    stops = spark.createDataFrame([(3, "dynamic"), (3, "param"), (7, "dynamic")], "from_fn long, reason string")
+    want = set()
+    for s, fs in starts.items():
+        home = min((held[f] for f in fs))
+        for edge, at in (("file", lambda f: held[f][0]), ("module", lambda f: held[f][1] or f"/{held[f][0]}"), ("repo", lambda f: 0)):
+            zone = {"file": home[0], "module": home[1] or f"/{home[0]}", "repo": 0}[edge]
+            met, ahead = set(fs), set(fs)
+            while ahead:
+                ahead = {b for a, b in calls if a in ahead and at(b) == zone} - met
+                met |= ahead
+            out = {held[b] for a, b in calls if a in met and at(b) != zone}
+            want.add((s, edge, len(met), sum(f + 1 for f in met), 2 * (3 in met) + (7 in met), len(out), len({m for _, m in out if m})))
+    got = symbol.compare_edges(seeds, functions, spark.createDataFrame([*calls], "from_fn long, to_fn long"), stops, None, None)
+    assert {(r.symbol, r.edge, r.reach, r.transitive, r.stops, r.crossings, r.modules) for r in got.collect() if r.edge != "package"} == want
