@@ -11,12 +11,17 @@ from ..schemas import empty
 _ISTANBUL = "map<string, struct<statementMap: map<string, struct<start: struct<line: int>, `end`: struct<line: int>>>, s: map<string, bigint>>>"
 
 
-def istanbul_lines(reports: DataFrame, root: str = "/") -> DataFrame:
-    """reports(tree, text), a JSON object each: a line has the most hits of the statements that span it."""
+def istanbul_lines(reports: DataFrame, root: str = "/", partitions: int | None = None) -> DataFrame:
+    """reports(tree, text), a JSON object each: a line has the most hits of the statements that span it.
+
+    Statements are brought together by file before their lines are made, in so many partitions if given.
+    """
     files = reports.select("tree", F.explode(F.from_json("text", _ISTANBUL)).alias("file", "x"))
     spans = files.select("tree", relative_to(root, F.col("file")).alias("file"), "x.s", F.explode("x.statementMap").alias("id", "at"))
+    spans = spans.select("tree", "file", F.coalesce(F.element_at("s", F.col("id")), F.lit(0).cast("long")).alias("hits"), "at")
+    spans = spans.repartition("tree", "file") if partitions is None else spans.repartition(partitions, "tree", "file")
     first = F.col("at.start.line")
-    lines = spans.select("tree", "file", F.coalesce(F.element_at("s", F.col("id")), F.lit(0).cast("long")).alias("hits"), F.sequence(first, F.greatest(first, F.coalesce("at.end.line", first))).alias("span"))
+    lines = spans.select("tree", "file", "hits", F.sequence(first, F.greatest(first, F.coalesce("at.end.line", first))).alias("span"))
     return lines.select("tree", "file", "hits", F.explode("span").alias("line")).groupBy("tree", "file", "line").agg(F.max("hits").alias("hits"))
 
 
