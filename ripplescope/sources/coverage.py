@@ -19,7 +19,7 @@ def istanbul_lines(reports: DataFrame, root: str = "/", partitions: int | None =
     files = reports.select("tree", F.explode(F.from_json("text", _ISTANBUL)).alias("file", "x"))
     spans = files.select("tree", relative_to(root, F.col("file")).alias("file"), "x.s", F.explode("x.statementMap").alias("id", "at"))
     spans = spans.select("tree", "file", F.coalesce(F.element_at("s", F.col("id")), F.lit(0).cast("long")).alias("hits"), "at")
-    spans = spans.repartition("tree", "file") if partitions is None else spans.repartition(partitions, "tree", "file")
+    spans = spans.repartition("file") if partitions is None else spans.repartition(partitions, "file")  # a tree may be a constant, which would deal the lines anew
     first = F.col("at.start.line")
     lines = spans.select("tree", "file", "hits", F.sequence(first, F.greatest(first, F.coalesce("at.end.line", first))).alias("span"))
     return lines.select("tree", "file", "hits", F.explode("span").alias("line")).groupBy("tree", "file", "line").agg(F.max("hits").alias("hits"))

@@ -23,3 +23,5 @@ def test_istanbul_statements_meet_by_file_before_lines_are_made(spark):
     found = coverage.istanbul_lines(spark.createDataFrame([("head", text), ("base", text)], "tree string, text string"), "/r", 5)
     assert found.rdd.getNumPartitions() == 5
     assert rows(found) == [(t, "a.ts", line, hits) for t in ("base", "head") for line, hits in ((1, 2), (2, 2), (3, 5))]
+    constant = coverage.istanbul_lines(spark.createDataFrame([(text,)], "text string").select(F.lit("head").alias("tree"), "text"), "/r", 5)
+    assert constant.rdd.getNumPartitions() == 5 and constant.count() == 3
