@@ -25,10 +25,11 @@ def istanbul_lines(reports: DataFrame, root: str = "/", partitions: int | None =
     return lines.select("tree", "file", "hits", F.explode("span").alias("line")).groupBy("tree", "file", "line").agg(F.max("hits").alias("hits"))
 
 
-def _lcov(records: DataFrame, root: str) -> DataFrame:
-    """records(tree, report, at, record), each a file's name and the lines after it; at is its place in the report."""
+def _lcov(records: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
+    """records(tree, report, at, record), each a file's name and the lines after it; at is its place in the report. Records meet by file, in so many partitions if given."""
     parts = F.split(F.regexp_replace("record", "^SF:", ""), "\r?\n")
     named = records.where(~F.col("record").rlike("^(?!SF:)[A-Z]+:")).select("tree", "report", "at", relative_to(root, F.trim(parts[0])).alias("file"), F.filter(parts, lambda x: x.startswith("DA:")).alias("lines"))
+    named = named.repartition("file") if partitions is None else named.repartition(partitions, "file")
     # a file that is named again starts anew; of several reports the last one counts
     last = named.groupBy("tree", "report", "file").agg(F.max_by("lines", "at").alias("lines"))
     hits = last.select("tree", "report", "file", F.posexplode("lines").alias("pos", "line")).withColumn("v", F.split(F.expr("substr(line, 4)"), ","))
@@ -36,10 +37,10 @@ def _lcov(records: DataFrame, root: str) -> DataFrame:
     return hits.groupBy("tree", "file", line).agg(F.max_by(F.trim(F.col("v")[1]).cast("long"), F.struct("report", "pos")).alias("hits"))
 
 
-def lcov_lines(reports: DataFrame, root: str = "/") -> DataFrame:
+def lcov_lines(reports: DataFrame, root: str = "/", partitions: int | None = None) -> DataFrame:
     """reports(tree, text): the last DA of a line wins, and a repeated SF replaces its file; what stands before the first SF is passed over."""
     numbered = reports.select("tree", F.monotonically_increasing_id().alias("report"), F.posexplode(F.split("text", "\nSF:")).alias("at", "record"))
-    return _lcov(numbered, root)
+    return _lcov(numbered, root, partitions)
 
 
 def lcov_file(spark: SparkSession, path: str, tree: str, root: str = "/") -> DataFrame:

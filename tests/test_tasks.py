@@ -25,3 +25,10 @@ def test_istanbul_statements_meet_by_file_before_lines_are_made(spark):
     assert rows(found) == [(t, "a.ts", line, hits) for t in ("base", "head") for line, hits in ((1, 2), (2, 2), (3, 5))]
     constant = coverage.istanbul_lines(spark.createDataFrame([(text,)], "text string").select(F.lit("head").alias("tree"), "text"), "/r", 5)
     assert constant.rdd.getNumPartitions() == 5 and constant.count() == 3
+
+
+def test_lcov_records_meet_by_file_once(spark):
+    texts = [("SF:/r/a.ts\nDA:1,9\nend_of_record\nSF:/r/b.ts\nDA:2,1\nSF:/r/a.ts\nDA:1,3\nDA:4,0",)]
+    found = coverage.lcov_lines(spark.createDataFrame(texts, "text string").select(F.lit("head").alias("tree"), "text"), "/r", 5)
+    assert found.rdd.getNumPartitions() == 5
+    assert rows(found) == [("head", "a.ts", 1, 3), ("head", "a.ts", 4, 0), ("head", "b.ts", 2, 1)]
