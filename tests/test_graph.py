@@ -148,3 +148,22 @@ def test_reach_sums_list_no_pairs_below_a_hub(spark, monkeypatch):
             want.append((t, n, len(found), sum(m % 7 for m in found)))
     assert rows(graph.reach_sums(edges, weights, edges.sparkSession.createDataFrame(nodes, "tree string, node long"), ["tree"])) == sorted(want, key=lambda r: tuple((False, str(v)) for v in r))
     assert pairs > 5 * sum(listed)
+
+
+def _broadcasts(df):
+    """What the plan that ran sends to all tasks."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("BroadcastExchange")
+
+
+def test_a_search_broadcasts_no_large_tables(spark, monkeypatch):
+    """Neither seen pairs nor many edges pass the driver in every round, however small Spark takes them for."""
+    edges = spark.range(40).selectExpr("id src", "id + 1 dst")
+    seeds = spark.createDataFrame([(0, 0), (1, 7)], "seed long, node long")
+    plans, keep = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: (plans.append(_broadcasts(df)) if label == "hop" else None) or keep(df, label))
+    want = sorted([(0, n, n) for n in range(8)] + [(1, n, n - 7) for n in range(7, 15)])
+    assert sorted(map(tuple, graph.bfs(edges, seeds, 7).collect())) == want and max(plans) > 0
+    plans.clear()
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, graph.bfs(edges, seeds, 7).collect())) == want and plans and max(plans) == 0
