@@ -21,14 +21,18 @@ def extension(path: Column) -> Column:
 
 
 def normalise(path: Column) -> Column:
-    """Without '.', empty and resolvable '..' segments; '.' if nothing is left. A leading '..' stays."""
+    """Without '.', empty and resolvable '..' segments; '.' if nothing is left. A leading '..' stays.
+
+    Only a path that has such a segment is taken apart: the steps are interpreted, and cost more than all else of a candidate.
+    """
 
     def step(done: Column, segment: Column) -> Column:
         back = (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("")), done), -1) != "..")
         return F.when(segment.isin("", "."), done).when((segment == "..") & back, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(segment)))
 
     joined = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-    return F.when(joined == "", ".").otherwise(joined)
+    special = path.rlike(r"(^|/)\.{0,2}(/|\z)")
+    return F.when(special, F.when(joined == "", ".").otherwise(joined)).otherwise(path)
 
 
 def join(directory: Column, rest: Column) -> Column:
@@ -58,7 +62,7 @@ def matches_any(directory: Column, patterns: Sequence[str]) -> Column:
 def module_of(path: Column, patterns: Sequence[str]) -> Column:
     """The deepest ancestor directory that a pattern selects, else null. Stays inside the projection: no join, no shuffle."""
     found = F.filter(ancestors(dirname(path)), lambda d: matches_any(d, patterns))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.try_element_at(found, F.lit(-1))
 
 
 def is_test_file(path: Column, marks: Sequence[str]) -> Column:
@@ -81,6 +85,12 @@ def source_candidates(base: Column) -> Column:
     return F.transform(F.array(*[F.concat(stem(base), F.lit(e)) for e in EXTENSIONS], *index, *nested), normalise)
 
 
+def source_stems(base: Column) -> Column:
+    """What source_candidates of a normalised base are before their extensions, best first: the six of one stem differ in these only."""
+    inside = F.when(base == ".", "").otherwise(F.concat(base, F.lit("/")))
+    return F.array(stem(base), F.concat(inside, F.lit("index")), F.concat(inside, F.lit("src/index")))
+
+
 def package_root(specifier: Column) -> Column:
     """@scope/name or the first segment."""
     return F.regexp_extract(specifier, r"^(@[^/]+/[^/]+|[^/]+)", 1)

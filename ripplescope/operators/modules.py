@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ENTRY_NAMES, Config
+from ..config import ENTRY_NAMES, EXTENSIONS, Config
 from ..functions import paths
 from ..storage import materialize
 from .graph import follow_reexports
@@ -29,8 +29,12 @@ def resolve_imports(edges: DataFrame, files: DataFrame, workspace: DataFrame) ->
     nested = F.array(paths.join(F.col("dir"), F.concat(F.lit("src/"), F.col("rest"))), paths.join(F.col("dir"), F.col("rest")))
     bare = bare.select("tree", "from_file", "spec", nested.alias("bases"))
     based = relative.unionByName(bare).select("tree", "from_file", "spec", F.posexplode("bases").alias("b", "base"))
-    tried = based.where(~F.col("base").startswith("..")).select("tree", "from_file", "spec", "b", F.posexplode(paths.source_candidates(F.col("base"))).alias("c", "file"))
-    best = first_existing(tried, files, ["tree", "from_file", "spec"], F.struct("b", "c"))
+    # the paths of source_candidates meet the files by what stands before the extension, a sixth of the rows
+    tried = based.where(~F.col("base").startswith("..")).select("tree", "from_file", "spec", "b", F.posexplode(paths.source_stems(F.col("base"))).alias("c", "stem"))
+    last = F.regexp_extract("file", r"\.[^./]*\z", 0)
+    sources = files.select("tree", "file", last.alias("last")).where(F.col("last").isin(*EXTENSIONS))
+    sources = sources.select("tree", F.expr("left(file, length(file) - length(last))").alias("stem"), "file", F.array_position(F.array(*[F.lit(e) for e in EXTENSIONS]), F.col("last")).alias("e"))
+    best = tried.join(sources, ["tree", "stem"]).groupBy("tree", "from_file", "spec").agg(F.min_by("file", F.struct("b", "c", "e")).alias("to_file"))
     return edges.drop("to_file").join(best, ["tree", "from_file", "spec"], "left")
 
 
@@ -86,8 +90,11 @@ class ModuleModel:
 
 
 def assign_modules(files: DataFrame, config: Config) -> DataFrame:
+    """(tree, file, module, is_test) of files in modules, written once: Spark would else take the condition on the module down to
+    the rows that files are made of, and match the paths once for each of these."""
     module = paths.module_of(F.col("file"), config.modules)
-    return files.select("tree", "file", module.alias("module"), paths.is_test_file(F.col("file"), config.test_files).alias("is_test")).where("module is not null")
+    placed = files.select("tree", "file", module.alias("module"), paths.is_test_file(F.col("file"), config.test_files).alias("is_test"))
+    return materialize(placed, "module-of").where("module is not null")
 
 
 def module_shapes(files: DataFrame, exports: DataFrame, module_of: DataFrame) -> DataFrame:
@@ -108,7 +115,7 @@ def module_shapes(files: DataFrame, exports: DataFrame, module_of: DataFrame) ->
 
 def build_model(files: DataFrame, imports: DataFrame, reexports: DataFrame, exports: DataFrame, config: Config = Config()) -> ModuleModel:
     """Imports and re-exports must be resolved (to_file)."""
-    module_of = materialize(assign_modules(files, config), "module-of")
+    module_of = assign_modules(files, config)
     at = module_of.select("tree", "module", "file")
     entry_rank = F.array_position(F.array(*[F.lit(x) for x in ENTRY_NAMES]), F.regexp_extract("file", r"([^/]*)$", 1))
     in_root = module_of.where(paths.dirname(F.col("file")) == F.col("module")).withColumn("rank", entry_rank).where("rank > 0")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from ripplescope.config import load_config
+from ripplescope.config import EXTENSIONS, load_config
 from ripplescope.functions import paths, text
 
 
@@ -39,6 +39,16 @@ def test_source_candidates_order(spark):
     assert got[:2] == ["a/b.ts", "a/b.tsx"] and got[6] == "a/b.js/index.ts" and len(got) == 18
 
 
+def test_source_stems_with_each_extension_are_the_candidates(spark):
+    bases = ["a/b", "a/b.js", "a/.js", ".", ".js", "a/..js", "a/...js", "a.b/c.d"]
+    for base, stems, named in zip(bases, values(spark, paths.source_stems, bases), values(spark, paths.source_candidates, bases)):
+        assert [s + e for s in stems for e in EXTENSIONS] == named, base
+
+
+def test_paths_without_special_segments_stay(spark):
+    assert values(spark, paths.normalise, [None, "...", "a/.b/..c/d.", "a/", "/a", "a/.", "a/..", "..", "a\n/b"]) == [None, "...", "a/.b/..c/d.", "a", "a", "a", ".", "..", "a\n/b"]
+
+
 def test_dist_to_source(spark):
     got = values(spark, paths.dist_to_source, ["p/dist/x/y.d.ts", "p/src/x.ts"])
     assert got[0][:2] == ["p/src/x/y.ts", "p/src/x/y/index.ts"] and got[1] == ["p/src/x.ts"]

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ripplescope.config import Config
+from ripplescope.config import EXTENSIONS, Config
+from ripplescope.functions import paths
 from ripplescope.operators import facts, modules, symbol
+from ripplescope.plans.bindings import impact_tables
 from ripplescope.plans.report import build_report, module_models
 from ripplescope.schemas import TABLES
 from ripplescope.sinks.module_report import report_json, report_text, write_json
@@ -189,3 +191,30 @@ def test_unlimited_edge_comparison_lists_no_walk(spark, monkeypatch):
             want.add((s, edge, len(met), sum(f + 1 for f in met), 2 * (3 in met) + (7 in met), len(out), len({m for _, m in out if m})))
     got = symbol.compare_edges(seeds, functions, spark.createDataFrame([*calls], "from_fn long, to_fn long"), stops, None, None)
     assert {(r.symbol, r.edge, r.reach, r.transitive, r.stops, r.crossings, r.modules) for r in got.collect() if r.edge != "package"} == want
+
+
+def test_paths_are_matched_once_for_each_file(spark):
+    # a condition on the module would go below the aggregate, to each row that files are made of
+    made = spark.range(40).groupBy((F.col("id") % 4).alias("u")).count().select(F.lit("head").alias("tree"), F.concat(F.lit("m/"), F.col("u").cast("string"), F.lit("/x.ts")).alias("file"))
+    placed = modules.assign_modules(made.unionByName(made.limit(1).withColumn("file", F.lit("out/x.ts"))), CONFIG)
+    assert "Aggregate" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(placed.select("file", "module")) == [(f"m/{u}/x.ts", f"m/{u}") for u in range(4)]
+
+
+def test_specifiers_find_the_files_that_their_candidates_name(spark):
+    files = [f"{d}{name}{e}" for d in ("", "a/", "a/b/", "a/src/") for name in ("index", "x", "x.d", "", "src/index") for e in (*EXTENSIONS, ".json", "")]
+    files = [f for i, f in enumerate(files) if i % 3 != 1 and f]
+    specs = ["./x", "./x.js", "..", "../index", ".", "./b", "./.js", "../..", "../../a", "./x.d", "./src", "../src/", "./x.json"]
+    edges = [("head", at, i, s) for at in ("a/b/f.ts", "a/f.ts", "f.ts", "../f.ts") for i, s in enumerate(specs)]
+    df = spark.createDataFrame(edges, "tree string, from_file string, stmt_no int, spec string")
+    got = modules.resolve_imports(df, spark.createDataFrame([("head", f) for f in files], "tree string, file string"), spark.createDataFrame([], "tree string, pkg string, dir string"))
+    based = df.withColumn("base", paths.join(paths.dirname(F.col("from_file")), F.col("spec")))
+    named = {(r.from_file, r.spec): [] if r.base.startswith("..") else r.c for r in based.withColumn("c", paths.source_candidates(F.col("base"))).collect()}
+    assert {(r.from_file, r.spec): r.to_file for r in got.collect()} == {k: next((f for f in c if f in files), None) for k, c in named.items()}
+    assert sum(r.to_file is not None for r in got.collect()) > 15
+
+
+def test_report_tables_read_events_no_more(spark):
+    made = impact_tables(spark, "/root/testdata/sf0.001")
+    for name in ("files", "imports", "exports", "functions", "calls", "decl_seeds", "change_set"):
+        assert made[name].count() and not [f for f in made[name].inputFiles() if "events" in f], name
